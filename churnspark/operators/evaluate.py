@@ -91,12 +91,12 @@ def classification_report(counts: DataFrame) -> DataFrame:
 
 def score_splits(df: DataFrame, score: str, per_task: int = SCORES_PER_TASK) -> list[float]:
     """Bucket edges so that one bucket holds about per_task distinct scores (one sketch pass)."""
-    grid = 1_024
+    grid = MAX_BUCKETS
     row = df.agg(
         F.approx_count_distinct(named(score)).alias("n"),
-        F.percentile_approx(named(score), [i / grid for i in range(1, grid)], 10_000).alias("edges"),
+        F.percentile_approx(named(score), [i / grid for i in range(1, grid)], 4 * grid).alias("edges"),
     ).first()
-    buckets = min(grid, MAX_BUCKETS, -(-int(row["n"] or 0) // per_task))
+    buckets = min(grid, -(-int(row["n"] or 0) // per_task))
     if buckets <= 1:
         return []
     step = grid / buckets
@@ -136,7 +136,11 @@ def running_totals(groups: DataFrame, splits: Sequence[float] = (), by: Sequence
 
 def ranking_metrics(df: DataFrame, score: str, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
     """roc_auc (0.5 with one class only) and pr_auc = average precision (0 with one class only)."""
-    run = running_totals(score_groups(df, score, label, by), score_splits(df, score), by)
+    return _ranking(score_groups(df, score, label, by), score_splits(df, score), by)
+
+
+def _ranking(groups: DataFrame, splits: Sequence[float], by: Sequence[str]) -> DataFrame:
+    run = running_totals(groups, splits, by)
     pos, neg = F.col("pos").cast(_EXACT), F.col("neg").cast(_EXACT)
     cum_pos = F.col("cum_pos").cast(_EXACT)
     sums = run.groupBy(*by).agg(
@@ -173,12 +177,27 @@ def roc_points(df: DataFrame, score: str, label: str = LABEL) -> DataFrame:
     )
 
 
-def evaluate(df: DataFrame, score: str, pred: str, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts and rates, threshold metrics and ranking metrics, one row per `by`."""
-    counts = threshold_metrics(confusion(df, pred, label, by))
-    ranks = ranking_metrics(df, score, label, by)
+def evaluate(df: DataFrame, score: str, pred: str, label: str = LABEL, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Confusion counts and rates, threshold metrics and ranking metrics, one row per `by`.
+
+    Confusion counts and ranking are both sums over the same (score, prediction) groups,
+    so the scored rows are read once; the second use of the groups reuses their shuffle.
+    `rows`, when known, saves the sketch pass on inputs one task can order.
+    """
+    keys = [*by, "score"]
+    splits = [] if rows is not None and rows <= SCORES_PER_TASK else score_splits(df, score)
+    judged = df.withColumn("x_pred", named(pred).cast("int"))
+    groups = score_groups(judged, score, label, [*by, "x_pred"])
+    p = F.col("x_pred")
+    counts = groups.groupBy(*by).agg(*[
+        F.coalesce(F.sum(F.when(p == k, F.col(c))), F.lit(0)).alias(name)
+        for name, k, c in (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))
+    ])
+    counts = threshold_metrics(_with_rates(counts))
+    scores = groups.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranks = _ranking(scores, splits, by)
     if by:
-        return counts.join(ranks, list(by))
+        return counts.join(F.broadcast(ranks), list(by))  # one row per group, as many as there are candidates
     return counts.withColumns({
         "roc_auc": ranks.select("roc_auc").scalar(), "pr_auc": ranks.select("pr_auc").scalar()
     })

@@ -102,15 +102,19 @@ def build(spark: SparkSession, stats: Statistics) -> PipelineModel:
     stages = [SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")]
     vectors = []
     if k:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            stats.levels, [f"f_k{j}" for j in range(k)], [f"i_k{j}" for j in range(k)], handleInvalid="keep"
-        )
+        # one model per column: the several-columns constructor pads shorter level lists with nulls
+        indexers = [
+            StringIndexerModel.from_labels(found, inputCol=f"f_k{j}", outputCol=f"i_k{j}", handleInvalid="keep")
+            for j, found in enumerate(stats.levels)
+        ]
         # The unseen level gets the last slot and dropLast removes it: unseen -> all zeros.
-        empty = indexer.transform(spark.createDataFrame([], ", ".join(f"f_k{j} string" for j in range(k))))
+        empty = PipelineModel(indexers).transform(
+            spark.createDataFrame([], ", ".join(f"f_k{j} string" for j in range(k)))
+        )
         encoder = OneHotEncoder(
             inputCols=[f"i_k{j}" for j in range(k)], outputCols=[f"v_k{j}" for j in range(k)], dropLast=True
         ).fit(empty)
-        stages += [indexer, encoder]
+        stages += [*indexers, encoder]
         vectors = [f"v_k{j}" for j in range(k)]
     stages.append(VectorAssembler(inputCols=[f"z_n{i}" for i in range(n)] + vectors, outputCol="x_features"))
     return PipelineModel(stages)
@@ -123,12 +127,13 @@ def fit(df: DataFrame, prof: TableProfile, max_levels: int = MAX_LEVELS) -> Pipe
 
 def levels_of(model: PipelineModel) -> list[list[str]]:
     """Levels per categorical feature of a fitted (or reloaded) pipeline."""
+    found = []
     for stage in model.stages:
         if isinstance(stage, StringIndexerModel):
-            return [list(v) for v in stage.labelsArray]
-        if isinstance(stage, PipelineModel) and (inner := levels_of(stage)):
-            return inner
-    return []
+            found.append(list(stage.labels))
+        elif isinstance(stage, PipelineModel):
+            found += levels_of(stage)
+    return found
 
 
 def slots(model: PipelineModel, prof: TableProfile) -> list[tuple[int, str, str | None]]:

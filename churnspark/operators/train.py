@@ -26,10 +26,6 @@ from churnspark.session import shared_folder, stage
 log = logging.getLogger(__name__)
 
 WEIGHT = "x_weight"
-_COLS = dict(
-    featuresCol="x_features", labelCol=LABEL, predictionCol="x_prediction",
-    probabilityCol="x_probability", rawPredictionCol="x_raw",
-)
 CV_METRICS = ["roc_auc", "pr_auc", "f1"]
 HOLDOUT_METRICS = [
     "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc",
@@ -39,29 +35,34 @@ HOLDOUT_METRICS = [
 
 @dataclass(frozen=True)
 class Candidate:
-    """A named classifier; `make` gets the number of training rows."""
+    """A named classifier; `make` gets the number of training rows. Any Spark classifier fits."""
 
     name: str
     make: Callable[[int], Estimator]
+    weighted: bool = False
+
+    def estimator(self, rows: int) -> Estimator:
+        out = (
+            self.make(rows).setFeaturesCol("x_features").setLabelCol(LABEL).setPredictionCol("x_prediction")
+            .setProbabilityCol("x_probability").setRawPredictionCol("x_raw")
+        )
+        return out.setWeightCol(WEIGHT) if self.weighted else out
 
 
 def default_candidates(
     lr_iterations: int = 1000, trees: int = 160, tree_depth: int = 10, rounds: int = 120, boost_depth: int = 4,
 ) -> list[Candidate]:
     """The four candidates in their fixed order; sizes are parameters, defaults the full ones."""
+    boosting = dict(maxIter=rounds, stepSize=0.08, maxDepth=boost_depth, seed=SEED)
     return [
         # ridge strength 1/n on the mean loss equals a unit penalty on the summed loss
         Candidate("logistic_regression", lambda n: LogisticRegression(
-            maxIter=lr_iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-            weightCol=WEIGHT, **_COLS)),
+            maxIter=lr_iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False), weighted=True),
         Candidate("random_forest", lambda n: RandomForestClassifier(
-            numTrees=trees, maxDepth=tree_depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt",
-            weightCol=WEIGHT, seed=SEED, **_COLS)),
-        Candidate("gradient_boosting", lambda n: GBTClassifier(
-            maxIter=rounds, stepSize=0.08, maxDepth=boost_depth, seed=SEED, **_COLS)),
+            numTrees=trees, maxDepth=tree_depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=SEED), weighted=True),
+        Candidate("gradient_boosting", lambda n: GBTClassifier(**boosting)),
         Candidate("stochastic_boosting", lambda n: GBTClassifier(
-            maxIter=rounds, stepSize=0.08, maxDepth=boost_depth, subsamplingRate=0.8,
-            featureSubsetStrategy="onethird", seed=SEED, **_COLS)),
+            subsamplingRate=0.8, featureSubsetStrategy="onethird", **boosting)),
     ]
 
 
@@ -101,7 +102,7 @@ def fit_one(train: DataFrame, prof: TableProfile, candidate: Candidate) -> Pipel
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     try:
-        return PipelineModel([encoder, candidate.make(sum(sizes)).fit(encoded)])
+        return PipelineModel([encoder, candidate.estimator(sum(sizes)).fit(encoded)])
     finally:
         encoded.unpersist()
 
@@ -119,8 +120,9 @@ def _fit_and_evaluate(
     held = encoder.transform(test).select(LABEL, "x_features").persist()
 
     def one(candidate: Candidate):
+        estimator = candidate.estimator(sum(sizes))
         try:
-            return candidate.name, candidate.make(sum(sizes)).fit(encoded)
+            return candidate.name, estimator.fit(encoded)
         except Exception as problem:  # a candidate that cannot be fitted scores zero, the others go on
             log.warning("%s could not be fitted: %s", candidate.name, problem)
             return candidate.name, None
@@ -137,7 +139,7 @@ def _fit_and_evaluate(
         every = scored[0]
         for more in scored[1:]:
             every = every.unionByName(more)
-        rows = evaluate(every, "x_score", "x_prediction", by=["candidate"]).collect()
+        rows = evaluate(every, "x_score", "x_prediction", by=["candidate"], rows=held.count()).collect()
         return {r["candidate"]: r.asDict() for r in rows}
     finally:
         encoded.unpersist()
