@@ -37,9 +37,11 @@ def strip(col: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain finite number becomes null."""
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """Text to double; anything that does not match NUMBER becomes null.
+
+    Extracting the match (empty when there is none) evaluates `text` only once.
+    """
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def clean_number(col: Column, dtype: T.DataType = T.StringType()) -> Column:

@@ -159,11 +159,12 @@ def _dimension(df: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:
 def tenure_buckets(df: DataFrame, tenure: str, label: str = LABEL) -> DataFrame:
     """Customers and churn rate per tenure bucket; empty buckets stay with a null rate."""
     months = F.coalesce(F.nanvl(named(tenure).cast("double"), F.lit(0.0)), F.lit(0.0))
-    pos = F.when(months <= TENURE_FLOOR, F.lit(None).cast("int"))
+    rows = df.select(months.alias("months"), named(label).alias("y"))
+    pos = F.when(F.col("months") <= TENURE_FLOOR, F.lit(None).cast("int"))
     for i, (_, upper) in enumerate(TENURE_BUCKETS):
-        pos = pos.when(months <= upper, i)
-    counted = df.groupBy(pos.alias("pos")).agg(
-        F.count(F.lit(1)).alias("customers"), F.avg(named(label)).alias("churn_rate")
+        pos = pos.when(F.col("months") <= upper, i)
+    counted = rows.groupBy(pos.alias("pos")).agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("y").alias("churn_rate")
     )
     dimension = _dimension(df, "bucket", [b for b, _ in TENURE_BUCKETS])
     return (

@@ -92,9 +92,9 @@ def classification_report(counts: DataFrame) -> DataFrame:
 def score_splits(df: DataFrame, score: str, per_task: int = SCORES_PER_TASK) -> list[float]:
     """Bucket edges so that one bucket holds about per_task distinct scores (one sketch pass)."""
     grid = MAX_BUCKETS
-    row = df.agg(
-        F.approx_count_distinct(named(score)).alias("n"),
-        F.percentile_approx(named(score), [i / grid for i in range(1, grid)], 4 * grid).alias("edges"),
+    shares = ", ".join(f"{i / grid}D" for i in range(1, grid))
+    row = df.select(named(score).alias("s")).selectExpr(
+        "approx_count_distinct(s) AS n", f"percentile_approx(s, array({shares}), {4 * grid}) AS edges"
     ).first()
     buckets = min(grid, -(-int(row["n"] or 0) // per_task))
     if buckets <= 1:

@@ -26,6 +26,7 @@ from churnspark.session import shared_folder, stage
 log = logging.getLogger(__name__)
 
 WEIGHT = "x_weight"
+SPREAD_ROWS = 5_000_000
 CV_METRICS = ["roc_auc", "pr_auc", "f1"]
 HOLDOUT_METRICS = [
     "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc",
@@ -86,6 +87,20 @@ def class_sizes(df: DataFrame) -> tuple[int, int]:
     return row["n0"], row["n1"]
 
 
+def staged_inputs(df: DataFrame, prof: TableProfile) -> tuple[DataFrame, tuple[int, int]]:
+    """The model inputs written once to the shared folder, and the class sizes.
+
+    A table of a few million rows may come back as one file; it is spread over the
+    cores, because every iteration of every fit runs on these partitions. Larger
+    tables keep the partitions of their files.
+    """
+    table = stage(inputs(df, prof), "training")
+    sizes = class_sizes(table)
+    if sum(sizes) <= SPREAD_ROWS:
+        table = table.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return table, sizes
+
+
 def weighted(df: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """Balanced class weights as two literals."""
     w = [sum(sizes) / (2.0 * max(1, n)) for n in sizes]
@@ -198,8 +213,7 @@ def train_and_compare(
     candidates = list(candidates or default_candidates())
     if spark.sparkContext.getCheckpointDir() is None:  # lets boosting cut its own lineage
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    table = stage(inputs(df, prof), "training")
-    sizes = class_sizes(table)
+    table, sizes = staged_inputs(df, prof)
     if min(sizes) < 1:
         raise ValueError("Target column must contain both churned and retained customers.")
 

@@ -84,19 +84,22 @@ def metrics(df: DataFrame, prof: TableProfile, training: bool = True) -> DataFra
     rows, missing<i> per feature; when training also churned, retained, unread (outcome
     texts not recognised) and n<i>, s<i>, r<i> (count, std, correlation) per numeric column.
     """
+    # parsed once in a projection, then used by several aggregates
+    parts = [is_missing(named(c), df.schema[c].dataType).alias(f"m{i}") for i, c in enumerate(prof.all_features)]
     aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [
-        F.count_if(is_missing(named(c), df.schema[c].dataType)).alias(f"missing{i}")
-        for i, c in enumerate(prof.all_features)
-    ]
+    aggs += [F.count_if(F.col(f"m{i}")).alias(f"missing{i}") for i in range(len(prof.all_features))]
     if training and prof.target:
         y, unread = outcome(named(prof.target), prof.target_kind)
-        aggs += [F.count_if(y == k).alias(tag) for k, tag in ((1, "churned"), (0, "retained"))]
-        aggs.append(F.count_if(unread).alias("unread"))
-        for i, c in enumerate(prof.numeric):
-            x = number_column(df, prof, c)
-            aggs += [F.count(x).alias(f"n{i}"), F.stddev_samp(x).alias(f"s{i}"), F.corr(x, y.cast("double")).alias(f"r{i}")]
-    return df.agg(*aggs)
+        parts += [y.alias("y"), unread.alias("u")]
+        parts += [number_column(df, prof, c).alias(f"x{i}") for i, c in enumerate(prof.numeric)]
+        aggs += [F.count_if(F.col("y") == k).alias(tag) for k, tag in ((1, "churned"), (0, "retained"))]
+        aggs.append(F.count_if("u").alias("unread"))
+        for i in range(len(prof.numeric)):
+            aggs += [
+                F.count(f"x{i}").alias(f"n{i}"), F.stddev_samp(f"x{i}").alias(f"s{i}"),
+                F.corr(f"x{i}", F.col("y").cast("double")).alias(f"r{i}"),
+            ]
+    return df.select(*parts).agg(*aggs)
 
 
 def _high_cardinality(df: DataFrame, prof: TableProfile) -> list[tuple[str, int]]:

@@ -94,7 +94,7 @@ def train_champion(spark, sf):
 
 def _fitted(spark, sf, position: int):
     df = books.labelled(spark, sf, MODEL_COLUMNS)
-    rows = train.inputs(df, BOOK_PROFILE)
+    rows, _ = train.staged_inputs(df, BOOK_PROFILE)
     return train.fit_one(rows, BOOK_PROFILE, train.default_candidates(**SMALL)[position])
 
 
@@ -121,7 +121,7 @@ def global_drivers(spark, sf):
 def holdout_evaluation(spark, sf):
     """Every metric of a boosted model on the held-out fifth."""
     df = books.labelled(spark, sf, MODEL_COLUMNS)
-    rows = train.inputs(df, BOOK_PROFILE)
+    rows, _ = train.staged_inputs(df, BOOK_PROFILE)
     learn_rows, test_rows = split.holdout(rows, "x_id")
     model = train.fit_one(learn_rows, BOOK_PROFILE, train.default_candidates(**SMALL)[2])
     scored = train.probability(model.transform(test_rows)).select(LABEL, "x_score", "x_prediction")
