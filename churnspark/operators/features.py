@@ -21,6 +21,7 @@ from churnspark.operators.summary import frequencies, numeric_summary
 # A model holds one weight per level on the driver and in every task, so the number
 # of levels is checked before they are fetched. It is a limit on the model, not on rows.
 MAX_LEVELS = 20_000
+NO_VALUE = "(none)"  # the only level of a column that is empty in the training rows
 
 
 def with_inputs(df: DataFrame, prof: TableProfile) -> DataFrame:
@@ -58,7 +59,7 @@ def learn(df: DataFrame, n_numeric: int, n_categorical: int, max_levels: int = M
             mu = (n * r["mean"] + (total - n) * r["median"]) / total
             var = (n * (r["std_pop"] ** 2 + (r["mean"] - mu) ** 2) + (total - n) * (r["median"] - mu) ** 2) / total
             median[i], mean[i], std[i] = r["median"], mu, var**0.5 or 1.0
-    mode, levels = [""] * n_categorical, [[] for _ in range(n_categorical)]
+    mode, levels = [NO_VALUE] * n_categorical, [[] for _ in range(n_categorical)]
     if n_categorical:
         counted = frequencies(df, [f"x_k{j}" for j in range(n_categorical)]).limit(max_levels + 1).collect()
         if len(counted) > max_levels:
@@ -73,7 +74,7 @@ def learn(df: DataFrame, n_numeric: int, n_categorical: int, max_levels: int = M
             best[j] = min(best.get(j, (0, "")), (-r["n"], r["value"]))
         for j, (_, value) in best.items():
             mode[j] = value
-        levels = [sorted(v) or [""] for v in levels]
+        levels = [sorted(v) or [NO_VALUE] for v in levels]
     return Statistics(median, mean, std, mode, levels)
 
 

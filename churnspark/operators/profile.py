@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnspark.functions.stats import correlation
 from churnspark.functions.text import clean_number, is_missing, named, norm_name, strip
 from churnspark.operators.summary import frequencies, long_text, numeric_summary, text_summary
 
@@ -320,9 +321,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every pair, pairwise complete rows, one pass."""
-    cols = {c: F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")) for c in columns}
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    numbers = df.select(*[F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")).alias(at[c]) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(cols[a], cols[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = numbers.agg(*[correlation(F.col(at[a]), F.col(at[b])).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     index = {pair: i for i, pair in enumerate(pairs)}
     rows = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{index.get((a, b), index.get((b, a)))}").alias("r"))

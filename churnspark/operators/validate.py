@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL, outcome
+from churnspark.functions.stats import correlation
 from churnspark.functions.text import is_missing, named
 from churnspark.operators.clean import number_column
 from churnspark.operators.profile import TableProfile, exact_distinct, profile
@@ -62,7 +63,7 @@ def leak_correlations(cleaned: DataFrame, columns: list[str], label: str = LABEL
         F.count(F.lit(1)).alias("rows"),
         *[agg.alias(f"{tag}{i}") for i, c in enumerate(columns) for tag, agg in (
             ("n", F.count(named(c))), ("s", F.stddev_samp(named(c))),
-            ("r", F.corr(named(c), named(label).cast("double"))),
+            ("r", correlation(named(c), named(label))),
         )],
     )
     rows = [
@@ -97,7 +98,7 @@ def metrics(df: DataFrame, prof: TableProfile, training: bool = True) -> DataFra
         for i in range(len(prof.numeric)):
             aggs += [
                 F.count(f"x{i}").alias(f"n{i}"), F.stddev_samp(f"x{i}").alias(f"s{i}"),
-                F.corr(f"x{i}", F.col("y").cast("double")).alias(f"r{i}"),
+                correlation(F.col(f"x{i}"), F.col("y")).alias(f"r{i}"),
             ]
     return df.select(*parts).agg(*aggs)
 
