@@ -72,38 +72,38 @@ def churn_mix(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def cohorts(df: DataFrame, groupings: Mapping[str, Column], label: str = LABEL, spend: str | None = None) -> DataFrame:
-    """(column, segment, customers, churners, revenue, churn_rate, lift) for every grouping at once.
+    """(column, segment, customers, churners, [revenue,] churn_rate, lift) for every grouping at once.
 
-    The groupings are unpivoted, so one shuffle of partial counts serves them all.
-    Portfolio totals are the sums over one grouping's own groups, null group
-    included; that second aggregate reuses the same shuffle, not a second scan.
+    The groupings are turned into rows, so one shuffle of partial counts serves them all.
+    Portfolio totals are the sums over one grouping's own groups, null group included;
+    that second aggregate reuses the same shuffle instead of scanning again.
     """
     names = list(groupings)
-    wide = df.select(
-        named(label).alias("y"),
-        (money(named(spend)) if spend else F.lit(0).cast(MONEY)).alias("spend"),
-        *[groupings[name].cast("string").alias(f"g{i}") for i, name in enumerate(names)],
-    )
-    long = wide.unpivot(["y", "spend"], [f"g{i}" for i in range(len(names))], "grouping", "segment")
-    groups = long.groupBy("grouping", "segment").agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.count_if(F.col("y") == 1).alias("churners"),
-        F.sum(F.when(F.col("y") == 1, F.col("spend"))).alias("revenue"),
-        F.count("segment").alias("known"),
-    )
-    totals = groups.groupBy("grouping").agg(
-        F.sum("customers").alias("all_customers"), F.sum("churners").alias("all_churners"),
-        F.sum("revenue").alias("all_revenue"), F.sum("known").alias("all_known"),
+    values = F.array(*[
+        F.struct(F.lit(i).alias("grouping"), groupings[name].cast("string").alias("segment")) for i, name in enumerate(names)
+    ])
+    # explode instead of unpivot: the two uses of `groups` below must stay identical plans
+    long = df.select(
+        named(label).alias("y"), *([money(named(spend)).alias("spend")] if spend else []), F.inline(values)
     )
+    churned = F.col("y") == 1
+    measures = {"customers": F.count(F.lit(1)), "churners": F.count_if(churned)}
+    if spend:
+        measures["revenue"] = F.coalesce(F.sum(F.when(churned, F.col("spend"))), F.lit(0).cast(MONEY))
+    groups = long.groupBy("grouping", "segment").agg(*[m.alias(name) for name, m in measures.items()])
+    totals = groups.groupBy("grouping").agg(*[F.sum(name).alias(f"all_{name}") for name in measures])
     rate = F.col("churners") / F.col("customers")
-    column = F.get(F.array(*[F.lit(n) for n in names]), F.substring("grouping", 2, 9).cast("int"))
+    column = F.get(F.array(*[F.lit(n) for n in names]), F.col("grouping"))
+    # Drops the null group. Naming every total here (the added tests never hold) keeps the
+    # filter above the join, so both uses of `groups` stay identical and share one shuffle.
+    shown = F.col("segment").isNotNull() | (F.col("all_customers") < 0) | (F.col("all_churners") < 0)
+    if spend:
+        shown = shown | F.isnan(F.col("all_revenue").cast("double"))
     return (
         groups.join(F.broadcast(totals), "grouping")  # one total per requested grouping
-        .where(F.col("known") > 0)
+        .where(shown)
         .select(
-            column.alias("column"), "segment", "customers", "churners",
-            F.coalesce("revenue", F.lit(0).cast(MONEY)).alias("revenue"),
-            rate.alias("churn_rate"),
+            column.alias("column"), "segment", *measures, rate.alias("churn_rate"),
             (rate - F.col("all_churners") / F.col("all_customers")).alias("lift"),
         )
     )
@@ -116,7 +116,7 @@ def segment_lift(
     """Churn rate and lift over the portfolio for every value of the categorical columns."""
     table = cohorts(df, {c: named(c) for c in list(columns)[:max_columns]}, label)
     high = (F.col("lift") > F.lit(min_lift)) & (F.col("customers") >= min_customers)
-    return table.drop("revenue").withColumn("is_high_risk", high)
+    return table.withColumn("is_high_risk", high)
 
 
 def high_risk_segments(segments: DataFrame) -> DataFrame:
@@ -142,13 +142,11 @@ def churn_rate_by(df: DataFrame, column: str, label: str = LABEL) -> DataFrame:
 
 def worst_cohort(groups: DataFrame) -> DataFrame:
     """Per column the segment with the highest churn rate (then more customers, then smaller value)."""
+    figures = [c for c in groups.columns if c not in ("column", "segment")]
     best = F.min(F.struct(
-        (-F.col("churn_rate")).alias("by_rate"), (-F.col("customers")).alias("by_size"), F.col("segment"),
-        F.col("customers"), F.col("churners"), F.col("revenue"), F.col("churn_rate"), F.col("lift"),
+        (-F.col("churn_rate")).alias("by_rate"), (-F.col("customers")).alias("by_size"), "segment", *figures
     ))
-    return groups.groupBy("column").agg(best.alias("b")).select(
-        "column", "b.segment", "b.customers", "b.churners", "b.revenue", "b.churn_rate", "b.lift"
-    )
+    return groups.groupBy("column").agg(best.alias("b")).select("column", "b.segment", *[f"b.{c}" for c in figures])
 
 
 def _dimension(df: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:

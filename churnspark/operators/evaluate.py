@@ -128,7 +128,8 @@ def running_totals(groups: DataFrame, splits: Sequence[float] = (), by: Sequence
         (F.sum("pos").over(above) - F.col("pos")).alias("over_pos"),
         (F.sum("neg").over(above) - F.col("neg")).alias("over_neg"),
     )
-    return inside.join(F.broadcast(offsets), [*keys, "bucket"]).select(
+    # `inside` is already partitioned by these keys, so only the small side moves
+    return inside.join(offsets, [*keys, "bucket"]).select(
         *keys, "score", "pos", "neg",
         (F.col("in_pos") + F.col("over_pos")).alias("cum_pos"), (F.col("in_neg") + F.col("over_neg")).alias("cum_neg"),
     )
@@ -197,7 +198,7 @@ def evaluate(df: DataFrame, score: str, pred: str, label: str = LABEL, by: Seque
     scores = groups.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranks = _ranking(scores, splits, by)
     if by:
-        return counts.join(F.broadcast(ranks), list(by))  # one row per group, as many as there are candidates
+        return counts.join(ranks, list(by))
     return counts.withColumns({
         "roc_auc": ranks.select("roc_auc").scalar(), "pr_auc": ranks.select("pr_auc").scalar()
     })

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
 from churnspark.functions.text import named
-from churnspark.operators.diagnose import cohorts, spend_column, tenure_column, worst_cohort
+from churnspark.operators.diagnose import MONEY, cohorts, spend_column, tenure_column, worst_cohort
 from churnspark.operators.profile import TableProfile
 
 EARLY_MONTHS = 6
@@ -134,7 +134,8 @@ def pillar_cohorts(df: DataFrame, columns: dict[str, str], spend: str | None, la
             groupings[kind] = F.when(says_no(named(name)), F.lit("no"))
         else:
             groupings[kind] = named(name)
-    return worst_cohort(cohorts(df, groupings, label, spend))
+    found = worst_cohort(cohorts(df, groupings, label, spend))
+    return found if spend else found.withColumn("revenue", F.lit(0).cast(MONEY))
 
 
 def _filled(text: str, column: Column) -> Column:

@@ -291,9 +291,12 @@ def category_fields(df: DataFrame, columns: Sequence[str], limit: int = MAX_OPTI
     )
 
 
-def describe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """count, unique/top/freq for text columns, mean/std/min/quartiles/max for numeric ones."""
-    figures = numeric_summary(df, numeric).select(
+def describe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 1) -> DataFrame:
+    """count, unique/top/freq for text columns, mean/std/min/quartiles/max for numeric ones.
+
+    rounds: see numeric_summary; pass rounds_for(rows) on tables of billions of rows.
+    """
+    figures = numeric_summary(df, numeric, rounds=rounds).select(
         "column", "count",
         F.lit(None).cast("bigint").alias("unique"), F.lit(None).cast("string").alias("top"),
         F.lit(None).cast("bigint").alias("freq"), "mean", "std", "min",
@@ -333,9 +336,9 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def five_numbers(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+def five_numbers(df: DataFrame, columns: Sequence[str], label: str, rounds: int = 1) -> DataFrame:
     """min, quartiles and max of each numeric column per class."""
-    return numeric_summary(df, columns, label=label).select(
+    return numeric_summary(df, columns, label=label, rounds=rounds).select(
         label, "column", "min", *[F.get("quantiles", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max"
     )
 

@@ -35,15 +35,20 @@ def numeric_summary(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     label: str | None = None,
     accuracy: int = 10_000,
+    rounds: int = 1,
 ) -> DataFrame:
     """Per ([label], column): count, mean, std, std_pop, min, max, quantiles (array, one per prob).
 
     Quantiles interpolate linearly between neighbours, as `percentile` does.
 
-    Pass 1 sketches the ranks `prob ± 2/accuracy`; pass 2 counts the values between
-    the two sketched bounds and lumps everything below and above into one row each,
-    so about 4/accuracy of the values are shuffled. The bracket table is broadcast; it
-    has columns × probs rows, twice that with the 0/1 label, whatever the data size.
+    Pass 1 sketches the ranks `prob ± 2/accuracy`; the last pass counts the values
+    between the two sketched bounds and lumps everything below and above into one row
+    each, so about 4/accuracy of the values are shuffled. Every further round is one
+    more pass that narrows the brackets about 150 times, for columns so long that
+    4/accuracy of them is still too much for one task (see `rounds_for`). A sketch that
+    missed its rank raises an error, it never changes a result. The bracket table is
+    broadcast; it has columns × probs rows, twice that with the 0/1 label, whatever
+    the data size.
     """
     by = [label] if label else []
     keys = [*by, "column"]
@@ -70,10 +75,13 @@ def numeric_summary(
         ),
     )
     brackets = stats.select(*keys, F.explode(bracket).alias("b")).select(*keys, "b.*")
+    for _ in range(rounds - 1):
+        brackets = _narrowed(values, brackets, keys, accuracy)
     side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
     counted = (
         values.join(F.broadcast(brackets), keys)
-        .groupBy(*keys, "i", "rank", side.alias("side"), F.when(side == 0, F.col("value")).alias("inside"))
+        .select(*keys, "i", "rank", "value", side.alias("side"))
+        .groupBy(*keys, "i", "rank", "side", F.when(F.col("side") == 0, F.col("value")).alias("inside"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
     in_order = Window.partitionBy(*keys, "i").orderBy("side", "inside")
@@ -86,7 +94,7 @@ def numeric_summary(
             F.when((F.col("side") == -1) & (rank == F.col("upto") - 1), F.col("last"))
             .when((F.col("side") == 1) & (rank == F.col("before")), F.col("first"))
             .when(F.col("side") == 0, F.col("inside"))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket; lower `accuracy`")).cast("double"))
+            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
         )
         return F.max(F.when(hit, value))
 
@@ -100,6 +108,38 @@ def numeric_summary(
     return stats.drop("bounds").join(F.broadcast(quantiles), keys)
 
 
+def rounds_for(rows: int, accuracy: int = 10_000, per_task: int = 5_000_000) -> int:
+    """Bracket rounds after which at most about per_task values per quantile are left to order."""
+    rounds, left = 1, 4 * rows / accuracy
+    while left > per_task:
+        rounds, left = rounds + 1, left / 150
+    return rounds
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, keys: Sequence[str], accuracy: int) -> DataFrame:
+    """Brackets cut down to the neighbourhood of the wanted rank, from a sketch of the values inside."""
+    grid = 1_000
+    shares = ", ".join(f"{i / grid}D" for i in range(grid + 1))
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    found = (
+        values.join(F.broadcast(brackets), keys)
+        .select(*keys, "i", "rank", (F.col("value") < F.col("low")).alias("is_below"), F.when(inside, F.col("value")).alias("v"))
+        .groupBy(*keys, "i", "rank")
+        .agg(
+            F.count_if("is_below").alias("below"), F.count("v").alias("n"),
+            F.expr(f"percentile_approx(v, array({shares}), {accuracy})").alias("grid"),
+        )
+    )
+    place = (F.col("rank") - F.col("below")) / F.greatest(F.lit(1), F.col("n")) * grid
+
+    def edge(at: Column) -> Column:
+        return F.get("grid", F.least(F.lit(grid), F.greatest(F.lit(0), at)).cast("int"))
+
+    return found.select(
+        *keys, "i", "rank", edge(F.floor(place) - 3).alias("low"), edge(F.ceil(place) + 3).alias("high")
+    )
+
+
 def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) over non-null values of all columns, in one shuffle."""
     return (

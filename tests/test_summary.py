@@ -4,14 +4,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from churnspark.operators.summary import numeric_summary, text_summary
+from churnspark.operators.summary import numeric_summary, rounds_for, text_summary
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-def check(spark, values, accuracy=10_000):
+def check(spark, values, accuracy=10_000, rounds=1):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    row = numeric_summary(df, ["x"], PROBS, accuracy=accuracy).first()
+    row = numeric_summary(df, ["x"], PROBS, accuracy=accuracy, rounds=rounds).first()
     assert row["count"] == len(values)
     np.testing.assert_allclose(row["quantiles"], np.quantile(np.array(values, float), PROBS), rtol=1e-12, atol=1e-12)
     np.testing.assert_allclose(row["mean"], np.mean(values), rtol=1e-9, atol=1e-9)
@@ -32,6 +32,18 @@ def test_brackets_are_exact(spark, accuracy):
     check(spark, np.concatenate([np.zeros(7_000), rng.normal(size=13_000)]), accuracy)  # one value holds a third
 
 
+@pytest.mark.parametrize("rounds", [2, 3])
+def test_further_rounds_are_exact(spark, rounds):
+    rng = np.random.default_rng(4)
+    check(spark, np.round(rng.normal(size=30_000), 4), 1_000, rounds)
+    check(spark, np.concatenate([np.full(10_000, 0.25), rng.random(20_000)]), 1_000, rounds)
+    check(spark, [1.0, 2.0, 4.0], rounds=rounds)
+
+
+def test_rounds_grow_with_the_table():
+    assert [rounds_for(n) for n in (10**4, 10**9, 10**11, 10**13, 10**15)] == [1, 1, 2, 3, 3]
+
+
 def test_by_label_and_nulls(spark):
     df = spark.createDataFrame([(0, 1.0), (0, None), (0, 3.0), (1, float("nan")), (1, 5.0)], "_y int, x double")
     rows = {r["_y"]: r for r in numeric_summary(df, ["x"], [0.5], label="_y").collect()}
