@@ -207,7 +207,7 @@ def _rollup_sql() -> str:
         f"WHEN {' OR '.join(f'contains(lower(feature), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{text}'" for words, text in explain.DRIVER_TEXTS
     )
     order = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cats))
-    return sql(f"""SELECT row_number() OVER (ORDER BY s DESC, CASE feature {order} END) AS rank, feature, 'Categorical' AS feature_type,
+    return sql(f"""SELECT cast(row_number() OVER (ORDER BY s DESC, CASE feature {order} END) AS int) AS rank, feature, 'Categorical' AS feature_type,
   round(s, 4) AS importance_score, round(s * 100, 1) AS importance_pct,
   CASE {arms} ELSE 'Key predictor ''' || feature || ''' contributing to portfolio churn differentiation.' END AS description
 FROM (SELECT feature, sum(imp) / (SELECT sum(imp) FROM slots) AS s FROM slots GROUP BY 1)""", F1,

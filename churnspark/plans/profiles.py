@@ -277,13 +277,13 @@ QUERIES = {
     "missing_by_column_dirty": (missing_by_column_dirty, _missing_sql(DIRTY, "dirty", F3)),
     "field_profile_numeric": (field_profile_numeric, sql(FIELDS, F1, f"long AS ({stacked(NUMS, 'book', cast='double')})")),
     "field_profile_categorical": (field_profile_categorical, sql(
-        """SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY value) AS position, value,
+        """SELECT "column", cast(row_number() OVER (PARTITION BY "column" ORDER BY value) AS int) AS position, value,
            row_number() OVER (PARTITION BY "column" ORDER BY value) = 1 AS is_default
            FROM (SELECT DISTINCT "column", value FROM long WHERE value IS NOT NULL)
            QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY value) <= 50""",
         F1, f"long AS ({stacked(CATS, 'book')})")),
     "field_profile_capped": (field_profile_capped,
-        """SELECT 's_name' AS "column", row_number() OVER (ORDER BY s_name) AS position, s_name AS value,
+        """SELECT 's_name' AS "column", cast(row_number() OVER (ORDER BY s_name) AS int) AS position, s_name AS value,
            row_number() OVER (ORDER BY s_name) = 1 AS is_default FROM (SELECT DISTINCT s_name FROM supplier)
            QUALIFY row_number() OVER (ORDER BY s_name) <= 50"""),
     "preview": (preview, sql(

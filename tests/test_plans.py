@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from churnspark.operators import diagnose
+from churnspark.operators import diagnose, evaluate
 from churnspark.operators.profile import numeric_fields
 from churnspark.plans import learning
 from churnspark.plans.registry import ALL
@@ -69,3 +69,13 @@ def test_split_does_not_move_rows(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 2).cast("int").alias("_y"))
     plan = plan_of(learning.split.mark_holdout(rows, "o_orderkey"))
     assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_evaluation_scans_once(spark, sf):
+    """Confusion counts and ranking metrics of all candidates share one scan."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(
+        (F.col("o_custkey") % 2).cast("int").alias("_y"), (F.col("o_totalprice") / 500000.0).alias("score"),
+        (F.col("o_totalprice") > 250000).cast("int").alias("pred"), F.col("o_orderstatus").alias("candidate"),
+    )
+    final = final_plan(evaluate.evaluate(rows, "score", "pred", by=["candidate"], rows=1000)).split("== Initial Plan ==")[0]
+    assert len(re.findall("FileScan parquet", final)) == 1
