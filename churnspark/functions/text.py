@@ -68,8 +68,10 @@ def clean_category(col: Column, blank_is_missing: bool = False) -> Column:
     return F.when(~text.isin(tokens), text)
 
 
-def money_or_zero(col: Column) -> Column:
-    """Tolerant currency parser; failure and null give 0.0."""
+def money_or_zero(col: Column, dtype: T.DataType = T.StringType()) -> Column:
+    """Tolerant currency parser; failure and null give 0.0. Numbers are taken as they are."""
+    if isinstance(dtype, T.NumericType):
+        return F.coalesce(clean_number(col, dtype), F.lit(0.0))
     text = col.cast("string")
     for mark in CURRENCY_MARKS:
         text = F.replace(text, F.lit(mark), F.lit(""))

@@ -41,11 +41,12 @@ def decide(
         "churn_probability": F.round(s, 4),
         "churn_risk_pct": F.round(s * 100, 1),
     })
-    banded = _banded(banded, money_or_zero(named(spend)) if spend else F.lit(0.0), high, med)
+    banded = _banded(banded, spend, high, med)
     return banded.withColumn("recommended_action", rules.next_best_action(F.col("x_record"), driver)).drop("x_record")
 
 
-def _banded(df: DataFrame, monthly: Column, high: float, med: float) -> DataFrame:
+def _banded(df: DataFrame, spend: str | None, high: float, med: float) -> DataFrame:
+    monthly = money_or_zero(named(spend), df.schema[spend].dataType) if spend else F.lit(0.0)
     s, band = F.col("churn_score"), F.col("risk_band")
     return (
         df.withColumn("risk_band", rules.risk_band(s, high, med))
@@ -62,7 +63,7 @@ def reband(scored: DataFrame, spend: str | None, high: float, med: float) -> Dat
     """New thresholds on an already scored book: a projection of the stored score, no model run."""
     high, med = rules.check_thresholds(high, med)
     order = scored.columns
-    return _banded(scored, money_or_zero(named(spend)) if spend else F.lit(0.0), high, med).select(*[named(c) for c in order])
+    return _banded(scored, spend, high, med).select(*[named(c) for c in order])
 
 
 def check_coverage(columns: Sequence[str], prof: TableProfile) -> None:
