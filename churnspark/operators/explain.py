@@ -134,54 +134,64 @@ def attribute(
     """Add top_risk_elevators, top_retention_anchors, risk_summary and top_driver.
 
     parts: (feature, effect, shown value, plain value). Sorting and cutting happen inside
-    the row, so nothing is exploded or shuffled.
+    the row, so nothing is exploded or shuffled; no lambda is involved, so it all compiles.
     """
     low, high = IMPACT_RANGE
-    items = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("feature"), shown.alias("value"), effect.alias("effect"))
-        for i, (name, effect, shown, _) in enumerate(parts)
-    ])
+    kept = [named(c) for c in df.columns]
+    # effects, then their roundings, as plain columns: each is needed several times below
+    raw = df.select(
+        *kept, score.alias("x_p"),
+        *[effect.alias(f"x_e{i}") for i, (_, effect, _, _) in enumerate(parts)],
+        *[shown.alias(f"x_v{i}") for i, (_, _, shown, _) in enumerate(parts)],
+        *[plain.alias(f"x_t{i}") for i, (_, _, _, plain) in enumerate(parts[:FALLBACK_FEATURES])],
+    )
+    numbered = raw.select("*", *[F.round(f"x_e{i}", 4).alias(f"x_r{i}") for i in range(len(parts))])
 
-    def item(feature: Column, value: Column, effect: Column, impact: Column, rising: Column) -> Column:
+    def item(feature: str, value: Column, effect: Column, impact: Column, rising: bool) -> Column:
         return F.struct(
-            feature.alias("feature"), value.alias("value"),
-            F.concat(feature, F.lit(": "), value).alias("label"), effect.alias("effect_raw"),
+            F.lit(feature).alias("feature"), value.alias("value"),
+            F.concat(F.lit(f"{feature}: "), value).alias("label"), effect.alias("effect_raw"),
             impact.cast("int").alias("impact_pct"),
-            F.when(rising, "increases_risk").otherwise("reduces_risk").alias("direction"),
+            F.lit("increases_risk" if rising else "reduces_risk").alias("direction"),
         )
 
-    def ranked(keep, sign: int, k: int) -> Column:
-        keyed = F.transform(
-            F.filter(F.col("x_items"), keep),
-            lambda s: F.struct(
-                (F.round(s["effect"], 4) * sign).alias("key"), s["pos"].alias("pos"),
-                item(
-                    s["feature"], s["value"], F.round(s["effect"], 4),
-                    F.least(F.lit(high), F.greatest(F.lit(low), F.floor(F.abs(s["effect"]) * 100))), s["effect"] > 0,
-                ).alias("item"),
-            ),
-        )
-        return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["item"])
+    def ranked(rising: bool, k: int) -> Column:
+        """The k strongest items of one direction; descending order puts the nulls last."""
+        entries, hits = [], F.lit(0)
+        for i, (feature, *_) in enumerate(parts):
+            e, r = F.col(f"x_e{i}"), F.col(f"x_r{i}")
+            hit = e > MIN_EFFECT if rising else e < -MIN_EFFECT
+            impact = F.least(F.lit(high), F.greatest(F.lit(low), F.floor(F.abs(e) * 100)))
+            entries.append(F.when(hit, F.struct(
+                (r if rising else -r).alias("strength"), F.lit(-i).alias("order"),
+                item(feature, F.col(f"x_v{i}"), r, impact, rising).alias("item"),
+            )))
+            hits = hits + F.coalesce(hit.cast("int"), F.lit(0))
+        best = F.slice(F.sort_array(F.array(*entries), False), F.lit(1), F.least(F.lit(k), hits))
+        return best.getField("item")
 
     fallback = F.array(*[
-        item(F.lit(name), plain, F.lit(FALLBACK_EFFECT), F.lit(FALLBACK_IMPACT), F.lit(True))
-        for name, _, _, plain in parts[:FALLBACK_FEATURES]
+        item(feature, F.col(f"x_t{i}"), F.lit(FALLBACK_EFFECT), F.lit(FALLBACK_IMPACT), True)
+        for i, (feature, *_) in enumerate(parts[:FALLBACK_FEATURES])
     ])
-    out = df.withColumn("x_items", items).withColumns({
-        "x_up": ranked(lambda s: s["effect"] > MIN_EFFECT, -1, up),
-        "top_retention_anchors": ranked(lambda s: s["effect"] < -MIN_EFFECT, 1, down),
-    })
+    listed = numbered.select(*kept, "x_p", *[f"x_t{i}" for i in range(len(parts[:FALLBACK_FEATURES]))],
+                             ranked(True, up).alias("x_up"), ranked(False, down).alias("top_retention_anchors"))
     nothing = (F.size("x_up") == 0) & (F.size("top_retention_anchors") == 0)
-    out = out.withColumn("top_risk_elevators", F.when(nothing, fallback).otherwise(F.col("x_up")))
-    labels = F.concat_ws(", ", F.transform(F.slice("top_risk_elevators", 1, 3), lambda s: s["label"]))
+    chosen = listed.select(
+        *kept, "x_p", F.when(nothing, fallback).otherwise(F.col("x_up")).alias("top_risk_elevators"), "top_retention_anchors"
+    )
+    labels = F.concat_ws(", ", F.slice("top_risk_elevators", 1, 3).getField("label"))
     summary = (
         F.when(F.size("top_risk_elevators") == 0, NO_FACTOR)
-        .when(score >= F.lit(rules.HIGH), F.concat(F.lit(HIGH_TEXT), labels, F.lit(".")))
-        .when(score >= F.lit(rules.MEDIUM), F.concat(F.lit(MODERATE_TEXT), labels, F.lit(".")))
+        .when(F.col("x_p") >= F.lit(rules.HIGH), F.concat(F.lit(HIGH_TEXT), labels, F.lit(".")))
+        .when(F.col("x_p") >= F.lit(rules.MEDIUM), F.concat(F.lit(MODERATE_TEXT), labels, F.lit(".")))
         .otherwise(LOW_TEXT)
     )
     first = F.get("top_risk_elevators", F.lit(0))["label"]
-    return out.withColumns({"risk_summary": summary, "top_driver": F.coalesce(first, F.lit(NO_DRIVER))}).drop("x_items", "x_up")
+    return chosen.select(
+        *kept, "top_risk_elevators", "top_retention_anchors", summary.alias("risk_summary"),
+        F.coalesce(first, F.lit(NO_DRIVER)).alias("top_driver"),
+    )
 
 
 def local(transformed: DataFrame, model: PipelineModel, prof: TableProfile, score: Column, up: int = 4, down: int = 3) -> DataFrame:

@@ -29,6 +29,7 @@ from churnspark.operators import activity, diagnose, explain, playbook, report,
 from churnspark.operators.clean import clean
 from churnspark.operators.profile import TableProfile, preview
 from churnspark.operators.validate import validate
+from churnspark.session import tune
 from churnspark.sources.files import read_table, require_rows, strip_names, write_csv
 
 
@@ -43,7 +44,7 @@ def load_clean(spark: SparkSession, path: str, filename: str = "") -> tuple[Data
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = tune(spark), root.rstrip("/")
 
     # --- folders ------------------------------------------------------------------------
 
