@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import sharding, simhash, vectors
+from churnspark.llm import bpe, sharding, simhash, vectors
 from churnspark.llm.tables import table
 
 
@@ -13,6 +14,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: The public vocabulary file; any word-end BPE file of that format may take its place.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, WORD_BPE, decoded="decoded")
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -35,6 +50,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op7_bpe": (op7_bpe, None),
     "op8_sharding": (op8_sharding, None),
     "op9_embedding_near_dedup": (op9_embedding_near_dedup, None),
 }

@@ -1,9 +1,15 @@
-"""Reading the training-data tables and the train / held-out rule the learned operators share."""
+"""Reading the training-data tables and helpers the operators of this subpackage share."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows a Python worker holds as objects at a time; Arrow batches are cut to it.
+ROWS_AT_ONCE = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +20,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def arrow_rows(frame: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow behind a name of its own, so that operators read alike."""
-    return frame.mapInArrow(function, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that results are sent on before more are made."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
