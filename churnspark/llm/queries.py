@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, sharding, simhash, vectors
+from churnspark.llm import bpe, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import table
 
 
@@ -14,6 +14,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+    base = secrets.of_kinds(F.col("findings"), secrets.BASE)
+    return found.select(
+        "doc_id",
+        *[F.size(secrets.of_kinds(F.col("findings"), (r,))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("findings")).alias("spans"),
+    )
+
+
 #: The public vocabulary file; any word-end BPE file of that format may take its place.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,6 +61,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op5_secret_scans": (op5_secret_scans, secrets.oracle()),
     "op7_bpe": (op7_bpe, None),
     "op8_sharding": (op8_sharding, None),
     "op9_embedding_near_dedup": (op9_embedding_near_dedup, None),
