@@ -6,7 +6,6 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
@@ -17,7 +16,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm.tables import slices
+from churnspark.llm.tables import add_columns, place
 
 SUFFIX = "</w>"
 NEVER = np.int64(1) << 40
@@ -302,42 +301,30 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: str | No
     empty result; a column already called like a result is replaced.
     """
     shared = share(docs.sparkSession, path)
-    results = [ids_col] + ([decoded] if decoded else [])
-    kept = docs.drop(*results)
-    schema = kept.schema.add(ids_col, "array<int>")
-    if decoded:
-        schema = schema.add(decoded, "string")
-    at = kept.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    new = {ids_col: "array<int>"} | ({decoded: "string"} if decoded else {})
+    at = place(docs, text_col, *new)
+
+    def run(batch: pa.RecordBatch) -> list:
         tool = encoder(shared)
-        for batch in slices(batches):
-            ids, bounds = tool.encode(batch.column(at).to_pylist())
-            columns = [*batch.columns, pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids))]
-            if decoded:
-                columns.append(pa.array(decode_ids(tool.vocabulary, ids, bounds), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        ids, bounds = tool.encode(batch.column(at).to_pylist())
+        out = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids))]
+        return out + ([pa.array(decode_ids(tool.vocabulary, ids, bounds), pa.string())] if decoded else [])
 
-    return kept.mapInArrow(run, schema)
+    return add_columns(docs, run, **new)
 
 
 def decode(frame: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns and the text of the ids; null ids decode to null, ids out of range raise an error."""
     shared = share(frame.sparkSession, path)
-    kept = frame.drop(text_col)
-    schema = kept.schema.add(text_col, "string")
-    at = kept.columns.index(ids_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = encoder(shared).vocabulary
-        for batch in slices(batches):
-            lists = batch.column(at)
-            bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
-            texts = decode_ids(vocabulary, lists.flatten().to_numpy(), bounds)
-            texts = [t if present else None for t, present in zip(texts, lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
-
-    return kept.mapInArrow(run, schema)
+    at = place(frame, ids_col, text_col)
+
+    def run(batch: pa.RecordBatch) -> list:
+        vocabulary, lists = encoder(shared).vocabulary, batch.column(at)
+        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+        texts = decode_ids(vocabulary, lists.flatten().to_numpy(), bounds)
+        return [pa.array([t if there else None for t, there in zip(texts, lists.is_valid().to_pylist())], pa.string())]
+
+    return add_columns(frame, run, **{text_col: "string"})
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, secrets, sharding, simhash, vectors
-from churnspark.llm.tables import table
+from churnspark.llm import bpe, quality, secrets, sharding, simhash, vectors
+from churnspark.llm.tables import held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.REJECT_BELOW).cast("int").alias("predicted"),
+    )
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs)
@@ -61,6 +70,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_secret_scans": (op5_secret_scans, secrets.oracle()),
     "op7_bpe": (op7_bpe, None),
     "op8_sharding": (op8_sharding, None),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows a Python worker holds as objects at a time; Arrow batches are cut to it.
 ROWS_AT_ONCE = 256
@@ -25,3 +25,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def add_columns(frame: DataFrame, function: Callable[[pa.RecordBatch], list], **new: str) -> DataFrame:
+    """`frame` and columns made from a record batch by `function`; columns of those names are replaced.
+
+    The function sees the columns by place, so any names will do.
+    """
+    kept = frame.drop(*new)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch)], names=schema.names)
+
+    return kept.toDF(*[f"c{k}" for k in range(len(kept.columns))]).mapInArrow(run, schema)
+
+
+def place(frame: DataFrame, column: str, *replaced: str) -> int:
+    """Where `column` is once the `replaced` columns are gone."""
+    return frame.drop(*replaced).columns.index(column)
