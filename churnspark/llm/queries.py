@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, quality, secrets, sharding, simhash, vectors
+from churnspark.llm import bpe, langid, quality, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import held_out, table
 
 
@@ -34,6 +34,12 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 #: The public vocabulary file; any word-end BPE file of that format may take its place.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_secret_scans": (op5_secret_scans, secrets.oracle()),
+    "op6_language_id": (op6_language_id, None),
     "op7_bpe": (op7_bpe, None),
     "op8_sharding": (op8_sharding, None),
     "op9_embedding_near_dedup": (op9_embedding_near_dedup, None),
