@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, langid, quality, secrets, sharding, simhash, vectors
+from churnspark.llm import bpe, decontaminate, langid, quality, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import held_out, table
 
 
@@ -14,6 +14,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and each item it leaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", "leak.item_id", "leak.score", F.col("leak.question").alias("question_overlap"),
+        F.col("leak.answer").alias("answer_overlap"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +86,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_secret_scans": (op5_secret_scans, secrets.oracle()),
     "op6_language_id": (op6_language_id, None),
