@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, decontaminate, langid, quality, secrets, sharding, simhash, vectors
+from churnspark.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import held_out, table
 
 
@@ -83,6 +83,19 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+#: The query's key; a user of the operator brings one of their own and keeps it secret.
+PII_KEY = b"key of the registered query"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = pii.pseudonymise(docs, PII_KEY)
+    listed = F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"]))
+    return clean.select(
+        "doc_id", F.col("clean_text").alias("text"), F.size("pii").cast("long").alias("n_found"), F.concat_ws(",", listed).alias("spans"),
+    )
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
@@ -93,4 +106,5 @@ QUERIES = {
     "op7_bpe": (op7_bpe, None),
     "op8_sharding": (op8_sharding, None),
     "op9_embedding_near_dedup": (op9_embedding_near_dedup, None),
+    "op10_pii": (op10_pii, None),
 }
