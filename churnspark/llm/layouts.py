@@ -145,7 +145,7 @@ class Layouts:
     def page(self) -> str:
         """A page; its main text carries MAIN in every line."""
         r = self.draw
-        if r.random() < 0.01:
+        if r.random() < 0.03:
             return MAIN + escape(self.text(60), quote=False)
         before = [self.region(k) for k in ("header", "nav", "notice", "ad", "side", "form") if r.random() < 0.35]
         after = [self.region(k) for k in ("comments", "related", "side", "ad", "form", "notice", "nav", "footer") if r.random() < 0.35]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, simhash, vectors
+from churnspark.llm import bpe, decontaminate, html, langid, pii, quality, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import held_out, table
 
 
@@ -14,6 +14,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.extract(pages, html.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and each item it leaks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,6 +105,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op2_html_extraction": (op2_html_extraction, None),
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_secret_scans": (op5_secret_scans, secrets.oracle()),
