@@ -182,6 +182,8 @@ class Kind:
 
 def _valid_phone(text: str) -> bool:
     digits = _digits_of(text)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", text):
+        return False  # a social security number that did not validate
     return 9 <= len(digits) <= 15 and (text[0] in "+(" or len(re.findall(r"\d[ .-]+(?=\d)", text)) >= 2)
 
 
@@ -196,7 +198,7 @@ KINDS = (
     Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), lambda t: True, _social),
     Kind("date", re.compile(r"(?<![\w/-])(?<!\d\.)(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"),
          lambda t: _as_date(t) is not None, _date),
-    Kind("phone", re.compile(r"(?:(?<!\w)\+\d{1,3}[ .-]?|(?<!\w)(?<!\d\.))(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"), _valid_phone, _phone),
+    Kind("phone", re.compile(r"(?:(?<![+\d])\+\d{1,3}[ .-]?|(?<!\w)(?<!\d\.))(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"), _valid_phone, _phone),
 )
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*\Z")

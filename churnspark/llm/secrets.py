@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from churnspark.llm.tables import quoted
 from churnspark.session import shared_folder, stage
 
 
@@ -136,7 +137,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     # bounded by the findings of one text; a rerun that appended a blob twice adds nothing
     by_blob = stage(hits.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("findings")), "findings")
     return addressed.join(by_blob, "blob", "left").select(
-        *docs.columns, "blob", F.coalesce(F.col("findings").cast(_SPANS), _nothing()).alias("findings")
+        *quoted(docs.columns), "blob", F.coalesce(F.col("findings").cast(_SPANS), _nothing()).alias("findings")
     )
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from churnspark.llm.tables import quoted
 from churnspark.session import stage
 
 SHARDS = 24
@@ -70,7 +71,7 @@ def shuffle_into_shards(frame: DataFrame, shards: int = SHARDS, seed: int = SEED
         frame.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "shard-input"
     )
     rows = numbered.count()
-    columns = [c for c in numbered.columns if c != "__row"]
+    columns = quoted([c for c in numbered.columns if c != "__row"])
     blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / block_rows))
     dealt = numbered.withColumn("__block", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(blocks)).cast("int"))
     counted = dict(map(tuple, dealt.groupBy("__block").count().collect()))

@@ -42,6 +42,11 @@ def add_columns(frame: DataFrame, function: Callable[[pa.RecordBatch], list], **
     return kept.toDF(*[f"c{k}" for k in range(len(kept.columns))]).mapInArrow(run, schema)
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names that select() takes as they are, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def place(frame: DataFrame, column: str, *replaced: str) -> int:
     """Where `column` is once the `replaced` columns are gone."""
     return frame.drop(*replaced).columns.index(column)
