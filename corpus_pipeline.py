@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.llm import bpe, decontaminate, quality, secrets, simhash
 from churnspark.llm.queries import WORD_BPE
-from churnspark.llm.tables import table
+from churnspark.llm.tables import quoted, table
 from churnspark.session import stage
 
 REDACTED = "[secret]"
@@ -20,18 +20,18 @@ REDACTED = "[secret]"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; the labels are those of the folder."""
     scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= quality.REJECT_BELOW).select(*docs.columns)
+    return scored.where(F.col("quality_score") >= quality.REJECT_BELOW).select(*quoted(docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs).select(*quoted(docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    return found.where(F.size("leaks") == 0).select(*quoted(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.size("findings") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         clean = clean.withColumn("n_chars", changed)
-    return clean.select(*docs.columns)
+    return clean.select(*quoted(docs.columns))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
