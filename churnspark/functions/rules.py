@@ -29,10 +29,11 @@ ACTION_DEFAULT = "Schedule dedicated account manager check-in to review usage an
 
 
 def check_thresholds(high: float, med: float) -> tuple[float, float]:
-    """0 < med < high <= 1, rounded to two places."""
+    """Both rounded to two places, which is how they are stored; then 0 < med < high <= 1 must hold."""
+    high, med = round(high, 2), round(med, 2)
     if not 0.0 < med < high <= 1.0:
-        raise ValueError("thresholds must satisfy 0 < medium < high <= 1")
-    return round(high, 2), round(med, 2)
+        raise ValueError("thresholds must satisfy 0 < medium < high <= 1 on two places")
+    return high, med
 
 
 def risk_band(score: Column, high: float = HIGH, med: float = MEDIUM) -> Column:

@@ -20,9 +20,9 @@ def append(
 
 
 def feed(log: DataFrame, categories: Sequence[str] = ("ALL",), n: int | None = None) -> DataFrame:
-    """Newest first; 'ALL' or an empty choice shows every category."""
+    """Newest first, equal times by the other columns; 'ALL' or an empty choice shows every category."""
     rows = log if "ALL" in categories or not categories else log.where(F.col("category").isin(list(categories)))
-    ordered = rows.orderBy(F.desc("ts"))
+    ordered = rows.orderBy(F.desc("ts"), *[F.col(c) for c in ("category", "level", "title", "detail", "account_id")])
     return ordered if n is None else ordered.limit(n)
 
 

@@ -21,10 +21,6 @@ TENURE_BUCKETS = [
 ]
 TENURE_FLOOR = -0.1
 
-# How many columns each overview covers.
-MAX_SEGMENT_COLUMNS = 12
-MAX_PROFILE_COLUMNS = 8
-
 MONEY = "decimal(20,4)"
 
 
@@ -111,9 +107,9 @@ def cohorts(df: DataFrame, groupings: Mapping[str, Column], label: str = LABEL,
 
 def segment_lift(
     df: DataFrame, columns: Sequence[str], label: str = LABEL,
-    min_customers: int = 15, min_lift: float = 0.05, max_columns: int = MAX_SEGMENT_COLUMNS,
+    min_customers: int = 15, min_lift: float = 0.05, max_columns: int | None = None,
 ) -> DataFrame:
-    """Churn rate and lift over the portfolio for every value of the categorical columns."""
+    """Churn rate and lift over the portfolio for every value of the categorical columns (the first max_columns, if given)."""
     table = cohorts(df, {c: named(c) for c in list(columns)[:max_columns]}, label)
     high = (F.col("lift") > F.lit(min_lift)) & (F.col("customers") >= min_customers)
     return table.withColumn("is_high_risk", high)
@@ -123,8 +119,8 @@ def high_risk_segments(segments: DataFrame) -> DataFrame:
     return segments.where("is_high_risk")
 
 
-def order_segments(segments: DataFrame, columns: Sequence[str], mode: str = "lift", max_columns: int = 6) -> DataFrame:
-    """Segments of the first columns, each column's rows ordered by lift, rate or population."""
+def order_segments(segments: DataFrame, columns: Sequence[str], mode: str = "lift", max_columns: int | None = None) -> DataFrame:
+    """Segments column by column, each column's rows ordered by lift, rate or population."""
     key = {"lift": "lift", "rate": "churn_rate", "population": "customers"}[mode]
     shown = list(columns)[:max_columns]
     place = F.array_position(F.array(*[F.lit(c) for c in shown]), F.col("column"))
@@ -171,7 +167,7 @@ def tenure_buckets(df: DataFrame, tenure: str, label: str = LABEL) -> DataFrame:
     )
 
 
-def class_profile(df: DataFrame, columns: Sequence[str], label: str = LABEL, max_columns: int = MAX_PROFILE_COLUMNS) -> DataFrame:
+def class_profile(df: DataFrame, columns: Sequence[str], label: str = LABEL, max_columns: int | None = None) -> DataFrame:
     """Mean of each numeric column among retained and among churned rows, one pass."""
     shown = list(columns)[:max_columns]
     y = named(label)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
 from churnspark.functions.text import named
+from churnspark.session import stage
 
 SCORES_PER_TASK = 500_000
-MAX_BUCKETS = 4_096
 _EXACT = "decimal(19,0)"
 
 
@@ -57,8 +57,9 @@ def threshold_metrics(counts: DataFrame) -> DataFrame:
     })
 
 
-def classification_report(counts: DataFrame) -> DataFrame:
-    """Rows for both classes, accuracy, macro and support-weighted averages, from one confusion row."""
+def classification_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows for both classes, accuracy, macro and support-weighted averages, from each confusion row."""
+    keys = [named(b) for b in by]
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
 
     def one(name: str, hit: Column, wrong: Column, lost: Column) -> Column:
@@ -68,7 +69,7 @@ def classification_report(counts: DataFrame) -> DataFrame:
         )
 
     wide = counts.select(
-        one("0", tn, fn, fp).alias("a"), one("1", tp, fp, fn).alias("b"),
+        *keys, one("0", tn, fn, fp).alias("a"), one("1", tp, fp, fn).alias("b"),
         _ratio(tp + tn, tp + tn + fp + fn).alias("acc"), (tp + tn + fp + fn).alias("n"),
     )
 
@@ -86,21 +87,23 @@ def classification_report(counts: DataFrame) -> DataFrame:
         F.col("a"), F.col("b"), accuracy, mean("macro avg", F.lit(1.0), F.lit(1.0)),
         mean("weighted avg", F.col("a.support").cast("double"), F.col("b.support").cast("double")),
     )
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
-def score_splits(df: DataFrame, score: str, per_task: int = SCORES_PER_TASK) -> list[float]:
-    """Bucket edges so that one bucket holds about per_task distinct scores (one sketch pass)."""
-    grid = MAX_BUCKETS
-    shares = ", ".join(f"{i / grid}D" for i in range(1, grid))
-    row = df.select(named(score).alias("s")).selectExpr(
-        "approx_count_distinct(s) AS n", f"percentile_approx(s, array({shares}), {4 * grid}) AS edges"
-    ).first()
-    buckets = min(grid, -(-int(row["n"] or 0) // per_task))
+def score_splits(groups: DataFrame, score: str = "score", per_task: int | None = None) -> list[float]:
+    """Bucket edges so that one bucket holds about per_task rows of `groups`, which has one row per distinct score.
+
+    Ties are counted away before the edges are taken: a score that holds nearly all rows of the
+    data is one row here. The number of buckets follows the number of distinct scores.
+    """
+    per_task = per_task or SCORES_PER_TASK
+    scores = groups.select(named(score).alias("s"))
+    buckets = -(-scores.count() // per_task)
     if buckets <= 1:
         return []
-    step = grid / buckets
-    return sorted({row["edges"][int(i * step) - 1] for i in range(1, buckets)})
+    shares = [i / buckets for i in range(1, buckets)]
+    row = scores.agg(F.percentile_approx("s", shares, max(10_000, 8 * buckets)).alias("edges")).first()
+    return sorted(set(row["edges"]))
 
 
 def score_groups(df: DataFrame, score: str, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
@@ -114,7 +117,7 @@ def score_groups(df: DataFrame, score: str, label: str = LABEL, by: Sequence[str
 def running_totals(groups: DataFrame, splits: Sequence[float] = (), by: Sequence[str] = ()) -> DataFrame:
     """Add cum_pos, cum_neg: labels with this score or a higher one."""
     keys = list(by)
-    if not splits:
+    if not splits:  # one bucket
         down = Window.partitionBy(*keys).orderBy(F.desc("score"))
         return groups.withColumns({"cum_pos": F.sum("pos").over(down), "cum_neg": F.sum("neg").over(down)})
     edges = [float("-inf"), *splits, float("inf")]
@@ -122,7 +125,7 @@ def running_totals(groups: DataFrame, splits: Sequence[float] = (), by: Sequence
     down = Window.partitionBy(*keys, "bucket").orderBy(F.desc("score"))
     inside = bucketed.withColumns({"in_pos": F.sum("pos").over(down), "in_neg": F.sum("neg").over(down)})
     sums = bucketed.groupBy(*keys, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows
+    above = Window.partitionBy(*keys).orderBy(F.desc("bucket"))  # one row per bucket
     offsets = sums.select(
         *keys, "bucket",
         (F.sum("pos").over(above) - F.col("pos")).alias("over_pos"),
@@ -135,9 +138,12 @@ def running_totals(groups: DataFrame, splits: Sequence[float] = (), by: Sequence
     )
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, score: str, label: str = LABEL, by: Sequence[str] = (), per_task: int | None = None,
+) -> DataFrame:
     """roc_auc (0.5 with one class only) and pr_auc = average precision (0 with one class only)."""
-    return _ranking(score_groups(df, score, label, by), score_splits(df, score), by)
+    groups = stage(score_groups(df, score, label, by), "scores")
+    return _ranking(groups, score_splits(groups, "score", per_task), by)
 
 
 def _ranking(groups: DataFrame, splits: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -168,9 +174,13 @@ def average_precision(df: DataFrame, score: str, label: str = LABEL) -> DataFram
 
 
 def roc_points(df: DataFrame, score: str, label: str = LABEL) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score, highest first to be drawn by `threshold`."""
-    run = running_totals(score_groups(df, score, label), score_splits(df, score))
-    totals = df.agg(F.count_if(named(label) == 0)).scalar(), df.agg(F.count_if(named(label) == 1)).scalar()
+    """(threshold, fpr, tpr) for every distinct score, highest first to be drawn by `threshold`.
+
+    The scored rows are read once; edges, totals and running sums come from the grouped scores.
+    """
+    groups = stage(score_groups(df, score, label), "scores")
+    run = running_totals(groups, score_splits(groups, "score"))
+    totals = groups.agg(F.sum("neg")).scalar(), groups.agg(F.sum("pos")).scalar()
     return run.select(
         F.col("score").alias("threshold"),
         (F.col("cum_neg") / F.nullif(totals[0], F.lit(0))).alias("fpr"),
@@ -178,17 +188,16 @@ def roc_points(df: DataFrame, score: str, label: str = LABEL) -> DataFrame:
     )
 
 
-def evaluate(df: DataFrame, score: str, pred: str, label: str = LABEL, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def evaluate(df: DataFrame, score: str, pred: str, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and rates, threshold metrics and ranking metrics, one row per `by`.
 
-    Confusion counts and ranking are both sums over the same (score, prediction) groups,
-    so the scored rows are read once; the second use of the groups reuses their shuffle.
-    `rows`, when known, saves the sketch pass on inputs one task can order.
+    Confusion counts and ranking are both sums over the same (score, prediction) groups, which
+    are written once, so the scored rows are read once.
     """
     keys = [*by, "score"]
-    splits = [] if rows is not None and rows <= SCORES_PER_TASK else score_splits(df, score)
     judged = df.withColumn("x_pred", named(pred).cast("int"))
-    groups = score_groups(judged, score, label, [*by, "x_pred"])
+    groups = stage(score_groups(judged, score, label, [*by, "x_pred"]), "scores")
+    splits = score_splits(groups, "score")
     p = F.col("x_pred")
     counts = groups.groupBy(*by).agg(*[
         F.coalesce(F.sum(F.when(p == k, F.col(c))), F.lit(0)).alias(name)

@@ -48,11 +48,16 @@ def driver_text(feature: Column) -> Column:
 
 
 def model_weights(model: PipelineModel) -> tuple[str, list[float]]:
-    """('linear', coefficients) or ('tree', importances) of the classifier, one number per slot."""
+    """('linear', coefficients) or ('tree', importances) of the classifier, one number per slot.
+
+    A classifier that knows neither counts every slot alike.
+    """
     classifier = model.stages[-1]
     if hasattr(classifier, "coefficients"):
         return "linear", [float(v) for v in classifier.coefficients.toArray()]
-    return "tree", [float(v) for v in classifier.featureImportances.toArray()]
+    if hasattr(classifier, "featureImportances"):
+        return "tree", [float(v) for v in classifier.featureImportances.toArray()]
+    return "tree", [1.0] * classifier.numFeatures
 
 
 def importance_rollup(importances: DataFrame, features: Sequence[str], numeric: Sequence[str]) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from churnspark.operators.clean import feature_columns
 from churnspark.operators.profile import TableProfile
-from churnspark.operators.summary import frequencies, numeric_summary, rounds_for
+from churnspark.operators.summary import frequencies, numeric_summary
 
-# A model holds one weight per level on the driver and in every task, so the number
-# of levels is checked before they are fetched. It is a limit on the model, not on rows.
+# A linear or tree model holds one weight per level on the driver and in every task, so the
+# number of levels is checked before they are fetched. It is a limit on the model, not on
+# rows; callers that can hold wider models raise it.
 MAX_LEVELS = 20_000
 NO_VALUE = "(none)"  # the only level of a column that is empty in the training rows
 
@@ -50,7 +51,7 @@ def learn(df: DataFrame, n_numeric: int, n_categorical: int, max_levels: int = M
     median, mean, std = [0.0] * n_numeric, [0.0] * n_numeric, [1.0] * n_numeric
     if n_numeric:
         total = df.count()
-        found = numeric_summary(df, [f"x_n{i}" for i in range(n_numeric)], [0.5], rounds=rounds_for(total)).select(
+        found = numeric_summary(df, [f"x_n{i}" for i in range(n_numeric)], [0.5]).select(
             "column", "count", "mean", "std_pop", F.get("quantiles", F.lit(0)).alias("median")
         )
         for r in found.collect():

@@ -61,7 +61,6 @@ LEAKAGE_NAMES = [
 DATE_PARTS = ["date", "time", "timestamp", "created", "signup", "joined"]
 
 NUMERIC_FROM = 0.80
-MAX_OPTIONS = 50
 
 
 @dataclass
@@ -202,8 +201,8 @@ def profile(df: DataFrame, filename: str = "", scoring_only: bool = False) -> Ta
     at = {name: i for i, name in enumerate(columns)}
 
     if by_value:
-        # Few distinct words by the sketch (counts this small are near exact): fetch the sets.
-        few = [c for c in columns if row[f"n{at[c]}"] > 0 and row[f"w{at[c]}"] <= 6]
+        # The sketch only picks candidates, at twice the size that can matter; the sets themselves decide.
+        few = [c for c in columns if row[f"n{at[c]}"] > 0 and row[f"w{at[c]}"] <= 12]
         if few:
             sets = df.agg(*[F.collect_set(_word(named(c))).alias(f"s{at[c]}") for c in few]).first()
             target = target_by_values(columns, {c: set(sets[f"s{at[c]}"]) for c in few})
@@ -213,7 +212,7 @@ def profile(df: DataFrame, filename: str = "", scoring_only: bool = False) -> Ta
         maybe = [
             c for c in columns
             if c != target and any(p in c.lower() for p in ID_PARTS)
-            and row[f"n{at[c]}"] == rows and row[f"d{at[c]}"] >= 0.8 * rows
+            and row[f"n{at[c]}"] == rows and row[f"d{at[c]}"] >= 0.5 * rows
         ]
         if maybe:
             unique = {
@@ -233,7 +232,8 @@ def profile(df: DataFrame, filename: str = "", scoring_only: bool = False) -> Ta
         ratio = row[f"p{i}"] or 0.0
         if name == target:
             numeric = isinstance(dtype, T.NumericType) or ratio == 1.0
-            out.target_kind = "boolean" if flags else "numeric" if numeric else "text"
+            # words true and false are in the lists of outcome texts; only a real boolean is cast
+            out.target_kind = "boolean" if isinstance(dtype, T.BooleanType) else "numeric" if numeric else "text"
             continue
         if name == id_column:
             continue
@@ -277,24 +277,25 @@ def numeric_fields(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*wide).select(F.explode(F.array(*rows)).alias("r")).select("r.*", F.col("r.mean").alias("default"))
 
 
-def category_fields(df: DataFrame, columns: Sequence[str], limit: int = MAX_OPTIONS) -> DataFrame:
-    """The first options of each categorical column in value order, with the default marked.
+def category_fields(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The options of each categorical column in value order, with the default marked.
 
-    The rank filter is applied inside each partition before the shuffle, so at most
-    `limit` values per column and partition reach the final sort.
+    With `limit` only the first so many; the rank filter is then applied inside each partition
+    before the shuffle. The options of a column are what a form lists, one row per distinct value.
     """
-    values = frequencies(df, columns).where(~F.lower("value").isin("nan", "none", "null"))
+    values = long_text(df, columns).where(F.col("value").isNotNull()).distinct()
+    values = values.where(~F.lower("value").isin("nan", "none", "null"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    return (
-        values.select("column", "value", rank.alias("position")).where(F.col("position") <= limit)
-        .select("column", "position", "value", (F.col("position") == 1).alias("is_default"))
-    )
+    ranked = values.select("column", "value", rank.alias("position"))
+    if limit is not None:
+        ranked = ranked.where(F.col("position") <= limit)
+    return ranked.select("column", "position", "value", (F.col("position") == 1).alias("is_default"))
 
 
-def describe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 1) -> DataFrame:
+def describe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int | None = None) -> DataFrame:
     """count, unique/top/freq for text columns, mean/std/min/quartiles/max for numeric ones.
 
-    rounds: see numeric_summary; pass rounds_for(rows) on tables of billions of rows.
+    rounds: see numeric_summary.
     """
     figures = numeric_summary(df, numeric, rounds=rounds).select(
         "column", "count",
@@ -336,7 +337,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def five_numbers(df: DataFrame, columns: Sequence[str], label: str, rounds: int = 1) -> DataFrame:
+def five_numbers(df: DataFrame, columns: Sequence[str], label: str, rounds: int | None = None) -> DataFrame:
     """min, quartiles and max of each numeric column per class."""
     return numeric_summary(df, columns, label=label, rounds=rounds).select(
         label, "column", "min", *[F.get("quantiles", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], "max"
@@ -346,5 +347,5 @@ def five_numbers(df: DataFrame, columns: Sequence[str], label: str, rounds: int
 def preview(df: DataFrame, order_by: str, rows: int = 15, columns: int = 14, label: str = "_y") -> DataFrame:
     """First rows and columns as text, nulls blank; ordered so the result is repeatable."""
     shown = [c for c in df.columns if c != label][:columns]
-    top = df.orderBy(named(order_by)).limit(rows)
+    top = df.orderBy(named(order_by), *[named(c).cast("string") for c in shown if c != order_by]).limit(rows)
     return top.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(c) for c in shown])

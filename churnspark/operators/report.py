@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from churnspark.functions.label import LABEL
 from churnspark.functions.text import named
 from churnspark.operators.diagnose import (
-    MAX_SEGMENT_COLUMNS, kpis, order_segments, segment_lift, spend_column, tenure_column,
+    kpis, order_segments, segment_lift, spend_column, tenure_column,
 )
 from churnspark.operators.playbook import pillars
 from churnspark.operators.profile import TableProfile
@@ -68,6 +68,7 @@ def rounded_kpis(figures: DataFrame) -> DataFrame:
 def dataset_profile(spark: SparkSession, prof: TableProfile) -> DataFrame:
     features = f"{len(prof.all_features)} features ({len(prof.numeric)} numeric, {len(prof.categorical)} categorical)"
     leaks = f"{len(prof.leakage_columns)} columns" if prof.leakage_columns else "None detected (Clean)"
+    # Labels and defaults of the profile table.
     return spark.createDataFrame(
         [
             ("Source File", prof.filename or "Active Extract"),
@@ -119,7 +120,8 @@ def top_accounts(scored: DataFrame, id_column: str | None, features: Sequence[st
     wanted = [id_column or "customerID", *ACCOUNT_COLUMNS]
     shown = [c for c in scored.columns if c in wanted]
     shown += [c for c in list(features)[:6] if c in scored.columns and c not in shown]
-    order = [F.desc("churn_probability")] + ([named(id_column).asc()] if id_column in scored.columns else [])
+    ties = [named(id_column)] if id_column in scored.columns else [named(c).cast("string") for c in shown]
+    order = [F.desc("churn_probability"), *ties]
     return scored.orderBy(*order).limit(n).select(*[named(c) for c in shown])
 
 
@@ -134,7 +136,7 @@ def tables(
         "executive_summary": executive_summary(figures),
         "dataset_profile": dataset_profile(spark, prof),
         "segment_risk_matrix": segment_matrix_text(
-            order_segments(segment_lift(cleaned, prof.categorical, LABEL), prof.categorical, "rate", MAX_SEGMENT_COLUMNS)
+            order_segments(segment_lift(cleaned, prof.categorical, LABEL), prof.categorical, "rate")
         ),
         "retention_playbook": playbook_table(pillars(cleaned, prof)),
     }
@@ -146,6 +148,6 @@ def tables(
 
 
 def export(report: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """One folder per table. The tables are small aggregates, so one file each."""
+    """One folder per table; as many files as the table's size asks for."""
     for name, df in report.items():
-        (write_csv if fmt == "csv" else write_parquet)(df.coalesce(1), f"{folder}/{name}")
+        (write_csv if fmt == "csv" else write_parquet)(df, f"{folder}/{name}")

@@ -23,9 +23,13 @@ _PREFIX = 4  # 65,536 prefixes
 
 
 def split_key(df: DataFrame, id_column: str | None, salt: str) -> Column:
-    """32 hex digits, uniform, the same on every recomputation. Rows without an id hash as a whole."""
-    ident = named(id_column).cast("string") if id_column else F.to_json(F.struct(*[named(c) for c in df.columns]))
-    return F.md5(F.concat(F.coalesce(ident, F.lit("")), F.lit(f"-{salt}")))
+    """32 hex digits, uniform, the same on every recomputation.
+
+    A row without an id, or with a null one, hashes as a whole.
+    """
+    whole = F.to_json(F.struct(*[named(c) for c in df.columns]))
+    ident = F.coalesce(named(id_column).cast("string"), whole) if id_column else whole
+    return F.md5(F.concat(ident, F.lit(f"-{salt}")))
 
 
 def cut_keys(df: DataFrame, key: Column, label: str, shares: Sequence[tuple[int, int]]) -> dict[int, list[str]]:
@@ -90,7 +94,8 @@ def mark_holdout(
 ) -> DataFrame:
     """Add boolean `is_test`.
 
-    exact: each class gives round(share·n) rows (two counting passes). Otherwise the
+    exact: each class gives round(share·n) rows where keys are unique, and at most so many
+    where copies of an id must stay together (two counting passes). Otherwise the
     key is compared with the share directly: no extra pass, sizes right on average.
     """
     key = split_key(df, id_column, str(seed))
@@ -111,7 +116,11 @@ def fold_count(class_sizes: Sequence[int], folds: int = FOLDS) -> int:
 
 
 def mark_folds(df: DataFrame, id_column: str | None, k: int, label: str = LABEL, seed: int = SEED) -> DataFrame:
-    """Add `fold` 0..k-1; fold sizes of a class differ by at most one row."""
+    """Add `fold` 0..k-1; with unique keys the fold sizes of a class differ by at most one row.
+
+    Copies of an id stay together, so an id that holds more than a fold's share can leave
+    another fold smaller, or without rows.
+    """
     key = split_key(df, id_column, str(seed))
     cuts = cut_keys(df, key, label, [(f, k) for f in range(1, k)])
     return df.withColumn("fold", _slot(key, label, cuts))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnspark.functions.text import named
+from churnspark.session import stage
 
 
 def long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +36,7 @@ def numeric_summary(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     label: str | None = None,
     accuracy: int = 10_000,
-    rounds: int = 1,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Per ([label], column): count, mean, std, std_pop, min, max, quantiles (array, one per prob).
 
@@ -45,9 +46,9 @@ def numeric_summary(
     between the two sketched bounds and lumps everything below and above into one row
     each, so about 4/accuracy of the values are shuffled. Every further round is one
     more pass that narrows the brackets about 150 times, for columns so long that
-    4/accuracy of them is still too much for one task (see `rounds_for`). A sketch that
-    missed its rank raises an error, it never changes a result. The bracket table is
-    broadcast; it has columns × probs rows, twice that with the 0/1 label, whatever
+    4/accuracy of them is still too much for one task; without `rounds` their number follows
+    from the longest column's count, which the sketch pass returns. Should a sketch miss its
+    rank, its bracket is widened and counted again. The bracket table is broadcast; it has columns × probs rows, twice that with the 0/1 label, whatever
     the data size.
     """
     by = [label] if label else []
@@ -65,6 +66,9 @@ def numeric_summary(
         F.max("value").alias("max"),
         F.percentile_approx("value", wanted, accuracy).alias("bounds"),
     )
+    stats = stage(stats, "sketches")  # columns x labels rows, used three times below
+    if rounds is None:
+        rounds = rounds_for(stats.agg(F.max("count").alias("n")).first()["n"] or 0, accuracy)
     bracket = F.transform(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]),
         lambda s: F.struct(
@@ -77,6 +81,23 @@ def numeric_summary(
     brackets = stats.select(*keys, F.explode(bracket).alias("b")).select(*keys, "b.*")
     for _ in range(rounds - 1):
         brackets = _narrowed(values, brackets, keys, accuracy)
+    picked = stage(_picked(values, brackets, keys), "ranks")
+    slack = 3
+    while not (missed := picked.where("lower IS NULL OR upper IS NULL")).isEmpty():
+        # a sketch missed its rank: bracket anew from the whole range, with ever more room
+        slack *= 4
+        whole = missed.join(stats, keys).select(*keys, "i", "rank", F.col("min").alias("low"), F.col("max").alias("high"))
+        again = _picked(values, _narrowed(values, whole, keys, accuracy, slack), keys)
+        picked = stage(picked.where("lower IS NOT NULL AND upper IS NOT NULL").unionByName(again), "ranks")
+    quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("rank") - F.floor("rank"))
+    quantiles = picked.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", quantile.alias("q")))), lambda s: s["q"]).alias("quantiles")
+    )
+    return stats.drop("bounds").join(F.broadcast(quantiles), keys)
+
+
+def _picked(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, i, rank, lower, upper): the values at the ranks around each wanted rank, null where the bracket missed."""
     side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
     counted = (
         values.join(F.broadcast(brackets), keys)
@@ -94,18 +115,10 @@ def numeric_summary(
             F.when((F.col("side") == -1) & (rank == F.col("upto") - 1), F.col("last"))
             .when((F.col("side") == 1) & (rank == F.col("before")), F.col("first"))
             .when(F.col("side") == 0, F.col("inside"))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
         )
         return F.max(F.when(hit, value))
 
-    picked = placed.groupBy(*keys, "i", "rank").agg(
-        at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper")
-    )
-    quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("rank") - F.floor("rank"))
-    quantiles = picked.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", quantile.alias("q")))), lambda s: s["q"]).alias("quantiles")
-    )
-    return stats.drop("bounds").join(F.broadcast(quantiles), keys)
+    return placed.groupBy(*keys, "i", "rank").agg(at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper"))
 
 
 def rounds_for(rows: int, accuracy: int = 10_000, per_task: int = 5_000_000) -> int:
@@ -116,7 +129,7 @@ def rounds_for(rows: int, accuracy: int = 10_000, per_task: int = 5_000_000) ->
     return rounds
 
 
-def _narrowed(values: DataFrame, brackets: DataFrame, keys: Sequence[str], accuracy: int) -> DataFrame:
+def _narrowed(values: DataFrame, brackets: DataFrame, keys: Sequence[str], accuracy: int, slack: int = 3) -> DataFrame:
     """Brackets cut down to the neighbourhood of the wanted rank, from a sketch of the values inside."""
     grid = 1_000
     shares = ", ".join(f"{i / grid}D" for i in range(grid + 1))
@@ -136,7 +149,7 @@ def _narrowed(values: DataFrame, brackets: DataFrame, keys: Sequence[str], accur
         return F.get("grid", F.least(F.lit(grid), F.greatest(F.lit(0), at)).cast("int"))
 
     return found.select(
-        *keys, "i", "rank", edge(F.floor(place) - 3).alias("low"), edge(F.ceil(place) + 3).alias("high")
+        *keys, "i", "rank", edge(F.floor(place) - slack).alias("low"), edge(F.ceil(place) + slack).alias("high")
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from churnspark.functions.label import LABEL, outcome
 from churnspark.functions.text import named
 from churnspark.operators import features
-from churnspark.operators.evaluate import evaluate
+from churnspark.operators.evaluate import classification_report, evaluate
 from churnspark.operators.profile import TableProfile
 from churnspark.operators.split import FOLDS, SEED, fold_count, mark_folds, mark_holdout
 from churnspark.session import shared_folder, stage
@@ -26,7 +26,6 @@ from churnspark.session import shared_folder, stage
 log = logging.getLogger(__name__)
 
 WEIGHT = "x_weight"
-SPREAD_ROWS = 5_000_000
 CV_METRICS = ["roc_auc", "pr_auc", "f1"]
 HOLDOUT_METRICS = [
     "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc",
@@ -73,6 +72,7 @@ class TrainResult:
     metrics: DataFrame
     meta: DataFrame
     champion: str
+    reports: DataFrame  # class report of each candidate on the held-out rows
 
 
 def inputs(df: DataFrame, prof: TableProfile) -> DataFrame:
@@ -90,15 +90,15 @@ def class_sizes(df: DataFrame) -> tuple[int, int]:
 def staged_inputs(df: DataFrame, prof: TableProfile) -> tuple[DataFrame, tuple[int, int]]:
     """The model inputs written once to the shared folder, and the class sizes.
 
-    A table of a few million rows may come back as one file; it is spread over the
-    cores, because every iteration of every fit runs on these partitions. Larger
-    tables keep the partitions of their files.
+    Rows are dealt by a hash of themselves before they are written, so every iteration of every
+    fit runs on even partitions, without another shuffle, and the samples of forests and boosting
+    do not depend on how the extract happened to be laid out.
     """
-    table = stage(inputs(df, prof), "training")
-    sizes = class_sizes(table)
-    if sum(sizes) <= SPREAD_ROWS:
-        table = table.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return table, sizes
+    narrow = inputs(df, prof)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = narrow.repartition(parts, F.xxhash64(*[named(c) for c in narrow.columns]))
+    table = stage(dealt, "training")
+    return table, class_sizes(table)
 
 
 def weighted(df: DataFrame, sizes: tuple[int, int]) -> DataFrame:
@@ -111,9 +111,11 @@ def probability(df: DataFrame) -> DataFrame:
     return df.withColumn("x_score", F.get(vector_to_array("x_probability"), F.lit(1)))
 
 
-def fit_one(train: DataFrame, prof: TableProfile, candidate: Candidate) -> PipelineModel:
+def fit_one(
+    train: DataFrame, prof: TableProfile, candidate: Candidate, max_levels: int = features.MAX_LEVELS,
+) -> PipelineModel:
     """Feature statistics and classifier from the same rows, as one saved-and-reloadable model."""
-    encoder = features.fit(train, prof)
+    encoder = features.fit(train, prof, max_levels)
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     try:
@@ -124,12 +126,13 @@ def fit_one(train: DataFrame, prof: TableProfile, candidate: Candidate) -> Pipel
 
 def _fit_and_evaluate(
     train: DataFrame, test: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], parallelism: int,
+    max_levels: int = features.MAX_LEVELS,
 ) -> dict[str, dict]:
     """Metrics per candidate. Features are learned on `train` only and shared by the candidates.
 
     All candidates' predictions are evaluated in one grouped job.
     """
-    encoder = features.fit(train, prof)
+    encoder = features.fit(train, prof, max_levels)
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     held = encoder.transform(test).select(LABEL, "x_features").persist()
@@ -154,7 +157,7 @@ def _fit_and_evaluate(
         every = scored[0]
         for more in scored[1:]:
             every = every.unionByName(more)
-        rows = evaluate(every, "x_score", "x_prediction", by=["candidate"], rows=held.count()).collect()
+        rows = evaluate(every, "x_score", "x_prediction", by=["candidate"]).collect()
         return {r["candidate"]: r.asDict() for r in rows}
     finally:
         encoded.unpersist()
@@ -168,14 +171,19 @@ def _spread(values: Sequence[float]) -> tuple[float, float]:
 
 def cross_validate(
     train: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], folds: int = FOLDS, parallelism: int = 4,
+    max_levels: int = features.MAX_LEVELS,
 ) -> dict[str, dict]:
-    """Mean and population std of ROC-AUC, PR-AUC and F1 over stratified folds; zeros when a fit fails."""
+    """Mean and population std of ROC-AUC, PR-AUC and F1 over stratified folds; zeros when a fit fails.
+
+    A fold left without rows, because copies of an id stay together, is not evaluated.
+    """
     k = fold_count(class_sizes(train), folds)
     marked = mark_folds(train, "x_id" if prof.id_column else None, k)
     results: dict[str, list[dict]] = {c.name: [] for c in candidates}
-    for fold in range(k):
+    filled = sorted(r["fold"] for r in marked.groupBy("fold").count().collect())  # at most k rows
+    for fold in filled:
         got = _fit_and_evaluate(
-            marked.where(F.col("fold") != fold), marked.where(F.col("fold") == fold), prof, candidates, parallelism
+            marked.where(F.col("fold") != fold), marked.where(F.col("fold") == fold), prof, candidates, parallelism, max_levels
         )
         for name, row in got.items():
             results[name].append(row)
@@ -183,7 +191,7 @@ def cross_validate(
     for name, rows in results.items():
         out[name] = {"cv_folds": k}
         for metric in CV_METRICS:
-            complete = len(rows) == k
+            complete = rows and len(rows) == len(filled)
             mean, std = _spread([r[metric] for r in rows]) if complete else (0.0, 0.0)
             out[name][f"cv_{metric}_mean"], out[name][f"cv_{metric}_std"] = round(mean, 4), round(std, 4)
     return out
@@ -203,6 +211,7 @@ def comparison(metrics: DataFrame) -> DataFrame:
 def train_and_compare(
     df: DataFrame, prof: TableProfile, candidates: Sequence[Candidate] | None = None, folds: int = FOLDS,
     test_share: tuple[int, int] = (1, 5), exact_split: bool = True, parallelism: int = 4,
+    max_levels: int = features.MAX_LEVELS,
 ) -> TrainResult:
     """Holdout, cross-validation on the training part, champion, refit on all rows.
 
@@ -221,8 +230,8 @@ def train_and_compare(
     marked = mark_holdout(table, ident, share=test_share, exact=exact_split)
     train, test = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
     test_sizes = class_sizes(test)
-    cv = cross_validate(train, prof, candidates, folds, parallelism)
-    held = _fit_and_evaluate(train, test, prof, candidates, parallelism)
+    cv = cross_validate(train, prof, candidates, folds, parallelism, max_levels)
+    held = _fit_and_evaluate(train, test, prof, candidates, parallelism, max_levels)
 
     rows = []
     for position, candidate in enumerate(candidates):
@@ -239,10 +248,11 @@ def train_and_compare(
     if not held:
         raise ValueError("no candidate could be fitted")
     best = select_champion(metrics).first()["candidate"]
-    model = fit_one(table, prof, next(c for c in candidates if c.name == best))
+    model = fit_one(table, prof, next(c for c in candidates if c.name == best), max_levels)
 
     now = datetime.now(timezone.utc)
     total, n_test = sum(sizes), sum(test_sizes)
+    # Names and texts of the training summary.
     summary = [
         ("model_version", "string", "v1"), ("best_model", "string", best),
         ("best_model_display", "string", best.replace("_", " ").title()),
@@ -254,4 +264,5 @@ def train_and_compare(
         ("feature_count", "bigint", len(prof.all_features)),
     ]
     meta = spark.createDataFrame([tuple(v for _, _, v in summary)], ", ".join(f"{k} {t}" for k, t, _ in summary))
-    return TrainResult(model, metrics, meta, best)
+    reports = classification_report(metrics.where("training_status = 'Completed'"), by=["candidate"])
+    return TrainResult(model, metrics, meta, best, reports)

@@ -103,139 +103,123 @@ def metrics(df: DataFrame, prof: TableProfile, training: bool = True) -> DataFra
     return df.select(*parts).agg(*aggs)
 
 
-def _high_cardinality(df: DataFrame, prof: TableProfile) -> list[tuple[str, int]]:
-    """Columns over both limits; only sketch counts near a limit are counted exactly."""
+def _wide_columns(df: DataFrame, prof: TableProfile) -> dict[str, int]:
+    """Exact distinct counts of the categorical columns over both limits; the sketch only picks candidates."""
     count, share = CARDINALITY
-    counts = {c: prof.distinct.get(c, 0) for c in prof.categorical}
+    maybe = [c for c in prof.categorical if prof.distinct.get(c, 0) > count / 2]
+    if not maybe:
+        return {}
+    exact = {r["column"]: r["n_distinct"] for r in exact_distinct(df, maybe).collect()}
+    return {c: exact[c] for c in maybe if exact[c] > count and exact[c] > share * prof.rows}
 
-    def near(n: int) -> bool:
-        return abs(n - count) <= 0.2 * count or abs(n - share * prof.rows) <= 0.2 * share * prof.rows
 
-    unsure = [c for c, n in counts.items() if n > 0.8 * count and near(n)]
-    if unsure:
-        counts.update({r["column"]: r["n_distinct"] for r in exact_distinct(df, unsure).collect()})
-    return [(c, n) for c, n in counts.items() if n > count and n / max(1, prof.rows) > share]
+def facts(df: DataFrame, prof: TableProfile, training: bool) -> dict:
+    """Every figure the checks speak of, from the one-row aggregate and the profile."""
+    m = metrics(df, prof, training).first()
+    rows, columns = m["rows"], prof.columns
+    missing = {c: m[f"missing{i}"] for i, c in enumerate(prof.all_features)}
+    heavy = {c: n / rows for c, n in missing.items() if n > MAX_MISSING * rows}
+    wide = _wide_columns(df, prof)
+    labelled = bool(training and prof.target)
+    mirrors = {
+        c: abs(m[f"r{i}"]) for i, c in enumerate(prof.numeric)
+        if m[f"n{i}"] == rows and (m[f"s{i}"] or 0) > 0 and abs(m[f"r{i}"] or 0) > LEAK_CORRELATION
+    } if labelled else {}
+    churned, retained = (m["churned"], m["retained"]) if labelled else (0, 0)
+    return {
+        "rows": rows, "training": training, "labelled": labelled, "target": prof.target, "id": prof.id_column,
+        "columns": ", ".join(columns[:10]) + (f", … {len(columns) - 10} more" if len(columns) > 10 else ""),
+        "churned": churned, "retained": retained, "rate": churned / rows, "classes": (churned > 0) + (retained > 0),
+        "unread": m["unread"] if labelled else 0,
+        "copies": duplicate_count(df, prof.id_column).first()["duplicates"] if prof.id_column else 0,
+        "features": len(prof.all_features), "numeric": len(prof.numeric), "categorical": len(prof.categorical),
+        "gaps": sum(missing.values()), "n_heavy": len(heavy), "heavy": ", ".join(f"{c} ({s:.0%})" for c, s in heavy.items()),
+        "n_wide": len(wide), "wide": ", ".join(f"{c} ({n} distinct)" for c, n in wide.items()),
+        "n_constant": len(prof.constant_columns), "constant": ", ".join(prof.constant_columns[:3]),
+        "n_leaks": len(prof.leakage_columns), "leaks": ", ".join(prof.leakage_columns),
+        "n_mirrors": len(mirrors), "mirrors": ", ".join(f"{c} ({r:.2f})" for c, r in mirrors.items()),
+    }
+
+
+@dataclass(frozen=True)
+class Finding:
+    """One outcome of a check: the SQL condition on the facts that leads to it, its status, figure and texts.
+
+    The texts are templates over the facts; `notice` goes to the errors of a failure or to the warnings.
+    """
+
+    check: str
+    when: str
+    status: str
+    figure: str | None
+    message: str
+    notice: str = ""
+
+
+# Names of the checks and what they tell. Of the findings of one check the first that holds counts.
+FINDINGS = [
+    Finding("Sample Size", f"training AND rows < {MIN_TRAIN_ROWS}", "fail", "rows", "{rows} rows, {least} are needed",
+            "Insufficient data: {rows} rows, training needs {least}."),
+    Finding("Sample Size", f"rows < {SMALL_ROWS}", "warning", "rows", "{rows} rows, a small sample", "Small sample of {rows} rows."),
+    Finding("Sample Size", "true", "pass", "rows", "{rows:,} rows"),
+    Finding("Feature Count", "features = 0", "fail", "features", "No feature left", "No column can serve as a feature."),
+    Finding("Feature Count", "true", "pass", "features", "{features} features: {numeric} numeric, {categorical} categorical"),
+    Finding("ID Uniqueness", "id IS NULL", "pass", None, "No identifier column; rows stand for themselves"),
+    Finding("ID Uniqueness", "copies > 0", "warning", "copies", "{copies:,} repeated values in '{id}'",
+            "{copies:,} duplicate identifiers in '{id}'; remove the copies."),
+    Finding("ID Uniqueness", "true", "pass", "copies", "'{id}' is unique"),
+    Finding("Missing Values", "n_heavy > 0", "warning", "n_heavy", "{n_heavy} column(s) mostly empty",
+            "More than {gap_limit:.0%} missing in {heavy}; gaps will be filled."),
+    Finding("Missing Values", "true", "pass", "gaps", "{gaps:,} missing entries in all features"),
+    Finding("Categorical Cardinality", "n_wide > 0", "warning", "n_wide", "{n_wide} column(s) with very many values",
+            "High cardinality: {wide}."),
+    Finding("Categorical Cardinality", "true", "pass", "n_wide", "No categorical column is too wide"),
+    Finding("Constant Columns", "n_constant > 0", "warning", "n_constant", "{n_constant} column(s) left out",
+            "{n_constant} constant column(s), such as {constant}."),
+    Finding("Data Leakage Prevention", "n_leaks > 0", "warning", "n_leaks", "{n_leaks} column(s) left out",
+            "Known only after the outcome, by name: {leaks}."),
+    Finding("Data Leakage Prevention", "true", "pass", "n_leaks", "No name points to the time after the outcome"),
+    Finding("Target Column", "training AND NOT labelled", "fail", None, "No outcome column among: {columns}",
+            "No churn target column detected among: {columns}."),
+    Finding("Target Variance", "labelled AND classes = 1", "fail", "classes", "Only one class",
+            "'{target}' has only 1 class; churned and retained rows are both needed."),
+    Finding("Target Column", "labelled AND classes = 2", "pass", "rate",
+            "'{target}': {rate:.1%} churned ({churned:,} of {rows:,})"),
+    Finding("Class Balance", f"labelled AND classes = 2 AND rate NOT BETWEEN {BALANCE[0]} AND {BALANCE[1]}", "warning", "rate",
+            "Far from even: {rate:.1%} churned", "Severe class imbalance: {rate:.1%} churned."),
+    Finding("Class Balance", "labelled AND classes = 2", "pass", "rate", "Enough of both classes ({rate:.1%} churned)"),
+    Finding("Target Labels", "labelled AND unread > 0", "warning", "unread", "{unread:,} outcomes not recognised",
+            "{unread:,} outcome values were not recognised and count as retained."),
+    Finding("Target Labels", "labelled", "pass", "unread", "All outcomes recognised"),
+    Finding("Target Correlation", "labelled AND n_mirrors > 0", "warning", "n_mirrors", "{n_mirrors} column(s) mirror the outcome",
+            "Correlation with the outcome above {leak_limit}: {mirrors}."),
+    Finding("Target Correlation", "labelled", "pass", "n_mirrors", "No numeric column mirrors the outcome"),
+]
 
 
 def validate(df: DataFrame, filename: str = "", training: bool = True, prof: TableProfile | None = None) -> ValidationReport:
-    """Run every check; an error makes the extract unusable, a warning does not."""
+    """Hold the facts of an extract against FINDINGS; a failure makes it unusable, a warning does not."""
     df = df.toDF(*[c.strip() for c in df.columns])
     if not df.columns or df.isEmpty():
-        return ValidationReport(
-            "error", ["The uploaded file contains no data rows."], [], [("File Content", "fail", 0.0, "File is empty")]
-        )
+        return ValidationReport("error", ["The file has no data rows."], [], [("File Content", "fail", 0.0, "No rows")])
     prof = prof or profile(df, filename, scoring_only=not training)
-    m = metrics(df, prof, training).first()
-    rows = m["rows"]
-    report = ValidationReport("valid", profile=prof)
-    errors, warnings = report.errors, report.warnings
-
-    def add(check: str, status: str, metric: float | None, message: str) -> None:
-        report.checks.append((check, status, None if metric is None else float(metric), message))
-
-    if training and not prof.target:
-        shown = ", ".join(prof.columns[:10])
-        if len(prof.columns) > 10:
-            shown += f", ... (+{len(prof.columns) - 10} more)"
-        errors.append(f"No churn target column detected. Detected columns: [{shown}].")
-        add("Target Column", "fail", None, f"Missing churn outcome column (Detected columns: [{shown}])")
-    elif training:
-        churned, retained = m["churned"], m["retained"]
-        if 0 in (churned, retained):
-            only = 1 if churned else 0
-            errors.append(
-                f"Target column '{prof.target}' contains only 1 class ({only}). "
-                "Both churned and retained customers are required."
-            )
-            add("Target Variance", "fail", 1, "Target column has only one class")
-        else:
-            rate = churned / rows
-            add(
-                "Target Column", "pass", rate,
-                f"Found '{prof.target}' · {rate:.1%} churn rate ({churned:,} churned, {retained:,} retained)",
-            )
-            if BALANCE[0] <= rate <= BALANCE[1]:
-                add("Class Balance", "pass", rate, f"Healthy distribution ({rate:.1%} churn rate)")
-            else:
-                warnings.append(f"Severe class imbalance detected: churn rate is {rate:.1%}.")
-                add("Class Balance", "warning", rate, f"High imbalance ({rate:.1%} churn rate)")
-        unread = m["unread"]
-        if unread:
-            warnings.append(f"{unread:,} outcome values were not recognised and count as retained.")
-            add("Target Labels", "warning", unread, f"{unread:,} unrecognised outcome values")
-        else:
-            add("Target Labels", "pass", 0, "All outcome values recognised")
-
-    if training and rows < MIN_TRAIN_ROWS:
-        errors.append(f"Insufficient observations: dataset has {rows} rows. At least {MIN_TRAIN_ROWS} rows are required.")
-        add("Sample Size", "fail", rows, f"{rows} rows (minimum {MIN_TRAIN_ROWS} required)")
-    elif rows < SMALL_ROWS:
-        warnings.append(f"Small dataset ({rows} rows).")
-        add("Sample Size", "warning", rows, f"{rows} rows (usable, small sample)")
-    else:
-        add("Sample Size", "pass", rows, f"{rows:,} customer records")
-
-    if prof.id_column:
-        copies = duplicate_count(df, prof.id_column).first()["duplicates"]
-        if copies > 0:
-            warnings.append(f"Found {copies:,} duplicate customer IDs in column '{prof.id_column}'. Deduplication recommended.")
-            add("ID Uniqueness", "warning", copies, f"{copies:,} duplicate IDs found in '{prof.id_column}'")
-        else:
-            add("ID Uniqueness", "pass", 0, f"Customer ID '{prof.id_column}' is 100% unique")
-    else:
-        add("ID Uniqueness", "pass", None, "No explicit ID column; row hashes used")
-
-    n_features = len(prof.all_features)
-    if not n_features:
-        errors.append("No predictor features detected.")
-        add("Feature Count", "fail", 0, "No usable features found")
-    else:
-        add(
-            "Feature Count", "pass", n_features,
-            f"{n_features} features ({len(prof.numeric)} numeric, {len(prof.categorical)} categorical)",
-        )
+    known = facts(df, prof, training)
+    table = df.sparkSession.createDataFrame([tuple(known.values())], ", ".join(f"{k} {_SQL_TYPES[k]}" for k in known))
+    holds = table.select(*[F.expr(f.when).alias(f"f{k}") for k, f in enumerate(FINDINGS)]).first()
+    first: dict[str, Finding] = {}
+    for k, f in enumerate(FINDINGS):
+        if holds[f"f{k}"]:
+            first.setdefault(f.check, f)
+    texts = known | {"least": MIN_TRAIN_ROWS, "gap_limit": MAX_MISSING, "leak_limit": LEAK_CORRELATION}
+    checks = [
+        (f.check, f.status, None if f.figure is None else float(known[f.figure]), f.message.format(**texts)) for f in first.values()
+    ]
+    notices = {status: [f.notice.format(**texts) for f in first.values() if f.status == status] for status in ("fail", "warning")}
+    status = "error" if notices["fail"] else "warning" if notices["warning"] else "valid"
+    return ValidationReport(status, notices["fail"], notices["warning"], checks, prof)
 
-    missing = {c: m[f"missing{i}"] for i, c in enumerate(prof.all_features)}
-    heavy = {c: n / rows for c, n in missing.items() if n / rows > MAX_MISSING}
-    if heavy:
-        listed = ", ".join(f"{c} ({share:.0%})" for c, share in heavy.items())
-        warnings.append(f"High missingness (>40%) in columns: {listed}. Imputation will be applied.")
-        add("Missing Values", "warning", len(heavy), f"High missing values in {len(heavy)} column(s)")
-    else:
-        total = sum(missing.values())
-        add("Missing Values", "pass", total, f"Missing value rate is low ({total:,} missing entries across features)")
-
-    wide = _high_cardinality(df, prof)
-    if wide:
-        listed = ", ".join(f"{c} ({n} distinct)" for c, n in wide)
-        warnings.append(f"High-cardinality categorical fields: {listed}.")
-        add("Categorical Cardinality", "warning", len(wide), f"{len(wide)} high-cardinality column(s)")
-    else:
-        add("Categorical Cardinality", "pass", 0, "Categorical column cardinality is appropriate")
-
-    if prof.constant_columns:
-        n = len(prof.constant_columns)
-        warnings.append(f"Detected {n} constant column(s) (e.g. {', '.join(prof.constant_columns[:3])}).")
-        add("Constant Columns", "warning", n, f"{n} constant column(s) excluded")
-
-    if prof.leakage_columns:
-        n = len(prof.leakage_columns)
-        warnings.append(f"Suspicious post-churn leakage columns detected: {', '.join(prof.leakage_columns)}.")
-        add("Data Leakage Prevention", "warning", n, f"Excluded {n} potential post-churn column(s)")
-    else:
-        add("Data Leakage Prevention", "pass", 0, "No obvious post-churn leakage keywords detected")
 
-    if training and prof.target:
-        leaks = [
-            (c, abs(m[f"r{i}"])) for i, c in enumerate(prof.numeric)
-            if m[f"n{i}"] == rows and (m[f"s{i}"] or 0) > 0 and abs(m[f"r{i}"] or 0) > LEAK_CORRELATION
-        ]
-        if leaks:
-            listed = ", ".join(f"{c} (corr={r:.2f})" for c, r in leaks)
-            warnings.append(f"Numeric features with near-perfect target correlation (>0.98): {listed}.")
-            add("Target Correlation", "warning", len(leaks), f"{len(leaks)} near-perfect numeric correlation(s)")
-        else:
-            add("Target Correlation", "pass", 0, "No numeric feature mirrors the target")
-
-    report.status = "error" if errors else "warning" if warnings else "valid"
-    return report
+_TEXTS = ("target", "id", "columns", "heavy", "wide", "constant", "leaks", "mirrors")
+_SQL_TYPES = dict.fromkeys(_TEXTS, "string") | {"training": "boolean", "labelled": "boolean", "rate": "double"} | dict.fromkeys(
+    ("rows", "churned", "retained", "classes", "unread", "copies", "features", "numeric", "categorical", "gaps",
+     "n_heavy", "n_wide", "n_constant", "n_leaks", "n_mirrors"), "bigint")

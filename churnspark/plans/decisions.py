@@ -259,6 +259,35 @@ def roc_auc(spark, sf):
     return evaluate.roc_auc(_judged(spark, sf), "score")
 
 
+def roc_auc_tied(spark, sf):
+    """One score holds nearly all rows and few scores fit a bucket."""
+    judged = books.with_pseudo_score(books.labelled(spark, sf, ["account_id", "tenure", "MonthlyCharges"]))
+    tied = judged.withColumn("score", F.when(F.col("account_id") % 50 == 0, F.col("MonthlyCharges")).otherwise(F.lit(0.5)))
+    return evaluate.ranking_metrics(tied, "score", per_task=20).select("roc_auc", F.round("pr_auc", 9).alias("pr_auc"))
+
+
+TIED = """g AS (SELECT CASE WHEN account_id % 50 = 0 THEN MonthlyCharges ELSE 0.5::double END AS s,
+  count(*) FILTER (_y = 1) AS pos, count(*) FILTER (_y = 0) AS neg FROM book GROUP BY 1),
+run AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g
+  WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def class_report_by_region(spark, sf):
+    """One report for each of several confusion rows, as training keeps them by candidate."""
+    rows = books.with_pseudo_score(books.labelled(spark, sf, ["tenure", "Region"]))
+    judged = rows.withColumn("pred", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    out = evaluate.classification_report(evaluate.confusion(judged, "pred", by=["Region"]), by=["Region"])
+    return out.where(F.col("class").isin("0", "1")).withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
+
+
+REGION_REPORT = """SELECT Region, k AS "class",
+  round(coalesce(hit / nullif(hit + wrong, 0), 0), 9) AS "precision", round(coalesce(hit / nullif(hit + lost, 0), 0), 9) AS recall,
+  round(coalesce(2 * hit / nullif(2 * hit + wrong + lost, 0), 0), 9) AS f1, hit + lost AS support
+FROM (SELECT Region, k, count(*) FILTER (_y = k::int AND (score >= 0.5)::int = k::int) AS hit,
+    count(*) FILTER (_y <> k::int AND (score >= 0.5)::int = k::int) AS wrong, count(*) FILTER (_y = k::int AND (score >= 0.5)::int <> k::int) AS lost
+  FROM book CROSS JOIN (VALUES ('0'), ('1')) AS v(k) GROUP BY ALL)"""
+
+
 def average_precision(spark, sf):
     return evaluate.average_precision(_judged(spark, sf), "score").select(F.round("pr_auc", 9).alias("pr_auc"))
 
@@ -306,6 +335,8 @@ QUERIES = {
         'SELECT (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS "precision", tp / (tp + fn) AS recall, '
         "2 * tp / (2 * tp + fp + fn) AS f1 FROM c", F1, COUNTS)),
     "classification_report": (classification_report, sql("SELECT * FROM (WITH " + REPORT + ")", F1, COUNTS)),
+    "roc_auc_tied": (roc_auc_tied, sql(f"SELECT {AUC} AS roc_auc, round({AP}, 9) AS pr_auc FROM run", F1, TIED)),
+    "class_report_by_region": (class_report_by_region, sql(REGION_REPORT)),
     "roc_auc": (roc_auc, sql(f"SELECT {AUC} AS roc_auc FROM run", F1, ORDERED)),
     "average_precision": (average_precision, sql(f"SELECT round({AP}, 9) AS pr_auc FROM run", F1, ORDERED)),
     "roc_points": (roc_points, sql("SELECT s AS threshold, cn / n AS fpr, cp / p AS tpr FROM run", F1, ORDERED)),

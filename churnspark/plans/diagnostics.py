@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
@@ -71,16 +72,45 @@ def _seg_sql(body: str) -> str:
     return sql(body, F1, SEGMENTS)
 
 
+def _placed(ordered):
+    """With the place of each row in its column, so that the order is compared too."""
+    here = Window.partitionBy("column").orderBy(F.monotonically_increasing_id())
+    return ordered.withColumn("place", F.row_number().over(here))
+
+
 def high_risk_segments(spark, sf):
     return diagnose.high_risk_segments(_segments(spark, sf))
 
 
 def segment_by_population(spark, sf):
-    return diagnose.order_segments(_segments(spark, sf), CATS, "population")
+    return _placed(diagnose.order_segments(_segments(spark, sf), CATS, "population"))
 
 
 def segment_by_lift(spark, sf):
-    return diagnose.order_segments(_segments(spark, sf), CATS, "lift")
+    return _placed(diagnose.order_segments(_segments(spark, sf), CATS, "lift"))
+
+
+WIDE_TEXTS = [f"c{i}" for i in range(14)]
+WIDE_NUMBERS = [f"n{i}" for i in range(10)]
+
+
+def segment_lift_wide(spark, sf):
+    """Fourteen categorical columns: none is left out."""
+    rows = books.labelled(spark, sf, ["account_id"])
+    wide = rows.withColumns({c: (F.col("account_id") * (i + 3) % (i + 2)).cast("string") for i, c in enumerate(WIDE_TEXTS)})
+    return diagnose.segment_lift(wide, WIDE_TEXTS)
+
+
+def class_profile_wide(spark, sf):
+    """Ten numeric columns: none is left out."""
+    rows = books.labelled(spark, sf, ["account_id"])
+    wide = rows.withColumns({c: (F.col("account_id") % (i + 7)).cast("double") for i, c in enumerate(WIDE_NUMBERS)})
+    return diagnose.class_profile(wide, WIDE_NUMBERS)
+
+
+WIDE_SEGMENTS = "long AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", cast(account_id * {i + 3} % {i + 2} AS varchar) AS value, _y FROM book""" for i, c in enumerate(WIDE_TEXTS)
+) + "), " + SEGMENTS.split("),\n", 1)[1]
 
 
 def segment_risk_matrix(spark, sf):
@@ -250,12 +280,15 @@ def playbook_summary(spark, sf):
 LEVELS = {"error": "critical", "click": "warning", "purchase": "success"}
 
 
-def event_log(spark, sf):
+def event_log(spark, sf, types=None):
+    """The log of all events, or of some types; the filter is on the stored column, so the scan can skip."""
     kind = F.col("event_type")
     level = F.lit("info")
     for name, mark in LEVELS.items():
         level = F.when(kind == name, mark).otherwise(level)
-    return books.table(spark, sf, "events").select(
+    events = books.table(spark, sf, "events")
+    events = events if types is None else events.where(kind.isin(types))
+    return events.select(
         "ts", F.upper(kind).alias("category"), level.alias("level"), kind.alias("title"),
         F.col("props").alias("detail"), F.col("user_id").cast("string").alias("account_id"),
     )
@@ -271,7 +304,7 @@ def activity_summary(spark, sf):
 
 
 def activity_filter(spark, sf):
-    return activity.feed(event_log(spark, sf), ["ERROR", "SIGNUP"])
+    return activity.feed(event_log(spark, sf, ["error", "signup"]), ["ERROR", "SIGNUP"])
 
 
 QUERIES = {
@@ -282,8 +315,14 @@ QUERIES = {
         "UNION ALL SELECT 'Churned', cast(sum(_y) AS bigint) FROM book")),
     "segment_lift": (_segments, _seg_sql("SELECT * FROM flagged")),
     "high_risk_segments": (high_risk_segments, _seg_sql("SELECT * FROM flagged WHERE is_high_risk")),
-    "segment_by_population": (segment_by_population, _seg_sql("SELECT * FROM flagged")),
-    "segment_by_lift": (segment_by_lift, _seg_sql("SELECT * FROM flagged")),
+    "segment_by_population": (segment_by_population, _seg_sql(
+        'SELECT *, cast(row_number() OVER (PARTITION BY "column" ORDER BY customers DESC, segment) AS int) AS place FROM flagged')),
+    "segment_by_lift": (segment_by_lift, _seg_sql(
+        'SELECT *, cast(row_number() OVER (PARTITION BY "column" ORDER BY lift DESC, segment) AS int) AS place FROM flagged')),
+    "segment_lift_wide": (segment_lift_wide, sql("SELECT * FROM flagged", F1, WIDE_SEGMENTS)),
+    "class_profile_wide": (class_profile_wide, sql(" UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", avg(account_id % {i + 7}) FILTER (_y = 0) AS retained_mean,
+            avg(account_id % {i + 7}) FILTER (_y = 1) AS churned_mean FROM book""" for i, c in enumerate(WIDE_NUMBERS)))),
     "segment_risk_matrix": (segment_risk_matrix, _seg_sql(
         "SELECT *, CASE WHEN lift > 0.10::double THEN 'high' WHEN lift > 0.02::double THEN 'medium' END AS severity FROM flagged")),
     "churn_rate_by_column": (churn_rate_by_column, sql(

@@ -13,8 +13,6 @@ from churnspark.sources import books
 
 CATS, NUMS = books.CATEGORICAL, books.NUMERIC
 MODEL_COLUMNS = ["account_id", *NUMS, *CATS]
-# Registered runs use small models; the library defaults are the full sizes.
-SMALL = dict(lr_iterations=50, trees=20, tree_depth=5, rounds=8, boost_depth=3)
 
 KEYED = """keyed AS (SELECT *, md5(concat(cast(account_id AS varchar), '-42')) AS key FROM book),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY _y ORDER BY key) AS rn, count(*) OVER (PARTITION BY _y) AS n FROM keyed)"""
@@ -32,6 +30,26 @@ def cv_folds(spark, sf):
     return split.mark_folds(books.labelled(spark, sf, ["account_id"]), "account_id", 5)
 
 
+def _half_without_id(spark, sf):
+    """Every second account has no id to split by; its number stays as a plain column."""
+    rows = books.labelled(spark, sf, ["account_id", "tenure"])
+    return rows.withColumns({"ref": F.col("account_id"), "account_id": F.when(F.col("account_id") % 2 == 0, F.col("account_id"))})
+
+
+def holdout_null_ids(spark, sf):
+    """Rows of each class on both sides when half of the ids are null."""
+    marked = split.mark_holdout(_half_without_id(spark, sf), "account_id")
+    return marked.groupBy(LABEL, "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cv_folds_null_ids(spark, sf):
+    marked = split.mark_folds(_half_without_id(spark, sf), "account_id", 5)
+    return marked.groupBy(LABEL, "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+SIZES = "c AS (SELECT _y, count(*) AS n FROM book GROUP BY 1)"
+
+
 def class_weights(spark, sf):
     return split.class_weights(books.labelled(spark, sf, []))
 
@@ -87,7 +105,7 @@ MODES = "m AS (SELECT " + ", ".join(
 def train_champion(spark, sf):
     """All candidates with cross-validation; one row each, best ROC-AUC first."""
     df = books.labelled(spark, sf, MODEL_COLUMNS)
-    result = train.train_and_compare(df, BOOK_PROFILE, train.default_candidates(**SMALL), folds=2)
+    result = train.train_and_compare(df, BOOK_PROFILE)
     table = train.comparison(result.metrics)
     return table.withColumn("is_champion", F.col("candidate") == result.champion)
 
@@ -95,7 +113,7 @@ def train_champion(spark, sf):
 def _fitted(spark, sf, position: int):
     df = books.labelled(spark, sf, MODEL_COLUMNS)
     rows, _ = train.staged_inputs(df, BOOK_PROFILE)
-    return train.fit_one(rows, BOOK_PROFILE, train.default_candidates(**SMALL)[position])
+    return train.fit_one(rows, BOOK_PROFILE, train.default_candidates()[position])
 
 
 def score_book(spark, sf):
@@ -123,15 +141,14 @@ def holdout_evaluation(spark, sf):
     df = books.labelled(spark, sf, MODEL_COLUMNS)
     rows, _ = train.staged_inputs(df, BOOK_PROFILE)
     learn_rows, test_rows = split.holdout(rows, "x_id")
-    model = train.fit_one(learn_rows, BOOK_PROFILE, train.default_candidates(**SMALL)[2])
+    model = train.fit_one(learn_rows, BOOK_PROFILE, train.default_candidates()[2])
     scored = train.probability(model.transform(test_rows)).select(LABEL, "x_score", "x_prediction")
     return evaluate.evaluate(scored, "x_score", "x_prediction")
 
 
 def governance_table(spark, sf):
     df = books.labelled(spark, sf, MODEL_COLUMNS)
-    candidates = train.default_candidates(**SMALL)[:2]
-    result = train.train_and_compare(df, BOOK_PROFILE, candidates, folds=2)
+    result = train.train_and_compare(df, BOOK_PROFILE)
     return report.governance(result.metrics, result.champion)
 
 
@@ -140,6 +157,10 @@ QUERIES = {
     "hash_split": (hash_split, sql("SELECT account_id, _y, substr(key, 1, 4) < '3333' AS is_test FROM keyed", F1, KEYED)),
     "cv_folds": (cv_folds, sql(
         "SELECT account_id, _y, " + " + ".join(f"(rn > (2 * {f} * n + 5) // 10)::int" for f in range(1, 5)) + " AS fold FROM ranked", F1, KEYED)),
+    "holdout_null_ids": (holdout_null_ids, sql(
+        "SELECT _y, true AS is_test, (2 * n + 5) // 10 AS n FROM c UNION ALL SELECT _y, false, n - (2 * n + 5) // 10 FROM c", F1, SIZES)),
+    "cv_folds_null_ids": (cv_folds_null_ids, sql(
+        "SELECT _y, f AS fold, (2 * (f + 1) * n + 5) // 10 - (2 * f * n + 5) // 10 AS n FROM c, (SELECT unnest(range(5))::int AS f)", F1, SIZES)),
     "class_weights": (class_weights, sql(
         "SELECT _y, count(*) AS n, (SELECT count(*) FROM book) / (2 * count(*)) AS weight FROM book GROUP BY 1")),
     "median_impute": (median_impute, sql("SELECT * FROM filled", F1, MEDIANS, FILLED)),

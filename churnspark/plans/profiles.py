@@ -103,7 +103,12 @@ def field_profile_categorical(spark, sf):
 
 
 def field_profile_capped(spark, sf):
-    """A column with more than 50 distinct values."""
+    """The first 50 options, as asked for."""
+    return prof_ops.category_fields(books.table(spark, sf, "supplier"), ["s_name"], limit=50)
+
+
+def field_profile_long(spark, sf):
+    """A column with more than 50 distinct values, all of them."""
     return prof_ops.category_fields(books.table(spark, sf, "supplier"), ["s_name"])
 
 
@@ -129,6 +134,14 @@ def normalize_target(spark, sf):
     return books.accounts_dirty(spark, sf).select("account_id", F.col("Churn").alias("raw"), y.alias("label"), unread.alias("unrecognised"))
 
 
+def normalize_target_flags(spark, sf):
+    """An outcome told in words true and false, padded and in mixed case, as a CSV file has it."""
+    rows = books.labelled(spark, sf, ["account_id"])
+    told = rows.select("account_id", F.when(F.col("_y") == 1, F.lit(" True ")).otherwise(F.lit("FALSE")).alias("Churn"))
+    y, unread = outcome(F.col("Churn"), prof_ops.profile(told).target_kind)
+    return told.select("account_id", F.col("Churn").alias("raw"), y.alias("label"), unread.alias("unrecognised"))
+
+
 def clean_extract(spark, sf):
     """The whole cleaned extract as the workspace stores it."""
     return clean(books.accounts_dirty(spark, sf), DIRTY_PROFILE)
@@ -279,13 +292,17 @@ QUERIES = {
     "field_profile_categorical": (field_profile_categorical, sql(
         """SELECT "column", cast(row_number() OVER (PARTITION BY "column" ORDER BY value) AS int) AS position, value,
            row_number() OVER (PARTITION BY "column" ORDER BY value) = 1 AS is_default
-           FROM (SELECT DISTINCT "column", value FROM long WHERE value IS NOT NULL)
-           QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY value) <= 50""",
+           FROM (SELECT DISTINCT "column", value FROM long WHERE value IS NOT NULL)""",
         F1, f"long AS ({stacked(CATS, 'book')})")),
     "field_profile_capped": (field_profile_capped,
         """SELECT 's_name' AS "column", cast(row_number() OVER (ORDER BY s_name) AS int) AS position, s_name AS value,
            row_number() OVER (ORDER BY s_name) = 1 AS is_default FROM (SELECT DISTINCT s_name FROM supplier)
            QUALIFY row_number() OVER (ORDER BY s_name) <= 50"""),
+    "field_profile_long": (field_profile_long,
+        """SELECT 's_name' AS "column", cast(row_number() OVER (ORDER BY s_name) AS int) AS position, s_name AS value,
+           row_number() OVER (ORDER BY s_name) = 1 AS is_default FROM (SELECT DISTINCT s_name FROM supplier)"""),
+    "normalize_target_flags": (normalize_target_flags, sql(
+        "SELECT account_id, CASE _y WHEN 1 THEN ' True ' ELSE 'FALSE' END AS raw, _y AS label, false AS unrecognised FROM book")),
     "preview": (preview, sql(
         "SELECT " + ", ".join(f"coalesce(cast({c} AS varchar), '') AS {c}" for c in ["account_id", "tenure", *CATS, "Churn"])
         + " FROM book QUALIFY row_number() OVER (ORDER BY book.account_id) <= 15")),

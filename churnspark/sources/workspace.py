@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from datetime import datetime, timezone
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -27,12 +29,17 @@ from pyspark.sql import functions as F
 from churnspark.functions import rules
 from churnspark.operators import activity, diagnose, explain, playbook, report, score, train
 from churnspark.operators.clean import clean
-from churnspark.operators.profile import TableProfile, preview
+from churnspark.operators.profile import TableProfile, category_fields, numeric_fields, preview
 from churnspark.operators.validate import validate
 from churnspark.session import tune
 from churnspark.sources.files import read_table, require_rows, strip_names, write_csv
 
 
+# Names of the audited actions.
+AUDIT_INGEST, AUDIT_RESET, AUDIT_TRAIN = "DATA_INGEST", "WORKSPACE_RESET", "MODEL_TRAIN"
+AUDIT_THRESHOLDS, AUDIT_BATCH = "THRESHOLD_UPDATE", "BATCH_SCORE"
+
+
 def load_clean(spark: SparkSession, path: str, filename: str = "") -> tuple[DataFrame, TableProfile]:
     """Read a file, infer the roles, return the cleaned frame and its profile."""
     df = require_rows(strip_names(read_table(spark, path)))
@@ -42,9 +49,20 @@ def load_clean(spark: SparkSession, path: str, filename: str = "") -> tuple[Data
     return clean(df, report_.profile), report_.profile
 
 
+def _of_one_run(method):
+    """A call reads and writes one run, even if something is ingested meanwhile."""
+    @wraps(method)
+    def pinned(self, *args, **kw):
+        with self.one_run():
+            return method(self, *args, **kw)
+
+    return pinned
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = tune(spark), root.rstrip("/")
+        self._pinned: str | None = None
 
     # --- folders ------------------------------------------------------------------------
 
@@ -52,29 +70,46 @@ class Workspace:
         path = f"{self.root}/{run}/{name}" if run else f"{self.root}/{name}"
         try:
             return self.spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise  # an unreadable table is not an absent one
             return None
 
     def run_id(self) -> str | None:
         runs = self._read("runs")
         return None if runs is None else runs.agg(F.max("run_id").alias("r")).first()["r"]
 
-    def _path(self, name: str) -> str:
-        run = self.run_id()
+    def _run(self) -> str:
+        """The run a call works on from beginning to end, whatever is ingested meanwhile."""
+        run = self._pinned or self.run_id()
         if run is None:
             raise ValueError("Ingest a customer extract first.")
-        return f"{self.root}/{run}/{name}"
+        return run
+
+    @contextmanager
+    def one_run(self):
+        """Everything inside belongs to the newest run at entry."""
+        outer, self._pinned = self._pinned, self._pinned or self.run_id()
+        try:
+            yield self._pinned
+        finally:
+            self._pinned = outer
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{self._run()}/{name}"
 
     def _write_text(self, text: str, run: str, name: str) -> None:
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.root}/{run}/{name}")
 
     def _document(self, name: str) -> str | None:
-        run = self.run_id()
+        run = self._pinned or self.run_id()
         if run is None:
             return None
         try:
             return self.spark.read.text(f"{self.root}/{run}/{name}", wholetext=True).first()["value"]
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def audit(self, action: str, details: str = "") -> None:
@@ -84,7 +119,7 @@ class Workspace:
         ).write.mode("append").parquet(f"{self.root}/audit")
 
     def audit_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/audit").orderBy(F.desc("ts"))
+        return self.spark.read.parquet(f"{self.root}/audit").orderBy(F.desc("ts"), "action", "details")
 
     def log_activity(self, title: str, detail: str, **kw) -> None:
         activity.append(self.spark, f"{self.root}/activity", title, detail, **kw)
@@ -113,8 +148,9 @@ class Workspace:
         self.spark.createDataFrame([(run, now)], "run_id string, ts timestamp").coalesce(1).write.mode("append").parquet(
             f"{self.root}/runs"
         )
-        self.audit("DATA_INGEST", f"File: {filename} ({prof.rows} rows)")
-        return {"run_id": run, "validation": checked.to_dict(), "kpis": self.overview().first().asDict()}
+        self.audit(AUDIT_INGEST, f"File: {filename} ({prof.rows} rows)")
+        with self.one_run():
+            return {"run_id": run, "validation": checked.to_dict(), "kpis": self.overview().first().asDict()}
 
     def extract(self) -> DataFrame:
         return self.spark.read.parquet(self._path("extract"))
@@ -132,16 +168,27 @@ class Workspace:
         self.spark.createDataFrame([(run, now)], "run_id string, ts timestamp").coalesce(1).write.mode("append").parquet(
             f"{self.root}/runs"
         )
-        self.audit("WORKSPACE_RESET", "New empty run")
+        self.audit(AUDIT_RESET, "New empty run")
 
     # --- diagnostics --------------------------------------------------------------------
 
+    @_of_one_run
+    def fields(self) -> dict:
+        """What an input form needs: the identifier, the number of features and both kinds of fields."""
+        df, prof = self.extract(), self.profile()
+        return {
+            "id_column": prof.id_column, "feature_count": len(prof.all_features),
+            "numeric": numeric_fields(df, prof.numeric), "categorical": category_fields(df, prof.categorical),
+        }
+
+    @_of_one_run
     def overview(self) -> DataFrame:
         prof = self.profile()
         return report.rounded_kpis(
             diagnose.kpis(self.extract(), diagnose.spend_column(prof.numeric), diagnose.tenure_column(prof.numeric))
         )
 
+    @_of_one_run
     def analytics(self) -> dict[str, DataFrame]:
         df, prof = self.extract(), self.profile()
         out = {
@@ -157,7 +204,9 @@ class Workspace:
 
     # --- model --------------------------------------------------------------------------
 
+    @_of_one_run
     def train(self, **options) -> train.TrainResult:
+        """Train, score and store under the run that was newest at the call."""
         df, prof = self.extract(), self.profile()
         result = train.train_and_compare(df, prof, **options)
         version = uuid.uuid4().hex[:8]
@@ -166,15 +215,16 @@ class Workspace:
         score.score(df, result.model, prof, high, med).write.parquet(self._path(f"scored/{version}"))
         result.metrics.coalesce(1).write.parquet(self._path(f"metrics/{version}"))
         result.meta.coalesce(1).write.parquet(self._path(f"meta/{version}"))
+        result.reports.coalesce(1).write.parquet(self._path(f"reports/{version}"))
         row = (version, datetime.now(timezone.utc), result.champion)
         self.spark.createDataFrame([row], "version string, ts timestamp, champion string").coalesce(1).write.mode(
             "append"
         ).parquet(self._path("versions"))
-        self.audit("MODEL_TRAIN", f"Champion: {result.champion}")
+        self.audit(AUDIT_TRAIN, f"Champion: {result.champion}")
         return result
 
     def _version(self) -> tuple[str, str] | None:
-        run = self.run_id()
+        run = self._pinned or self.run_id()
         versions = self._read("versions", run) if run else None
         if versions is None:
             return None
@@ -193,14 +243,18 @@ class Workspace:
     def metrics(self) -> DataFrame:
         return self.spark.read.parquet(self._path(f"metrics/{self._model_version()}"))
 
+    def class_reports(self) -> DataFrame:
+        return self.spark.read.parquet(self._path(f"reports/{self._model_version()}"))
+
     def thresholds(self) -> tuple[float, float]:
-        run = self.run_id()
+        run = self._pinned or self.run_id()
         stored = self._read("thresholds", run) if run else None
         if stored is None:
             return rules.HIGH, rules.MEDIUM
         row = stored.agg(F.max_by(F.struct("high", "medium"), "ts").alias("t")).first()["t"]
         return row["high"], row["medium"]
 
+    @_of_one_run
     def set_thresholds(self, high: float, med: float) -> dict[str, float]:
         """Append the new pair; the scored book is re-banded when it is read."""
         high, med = rules.check_thresholds(high, med)
@@ -208,24 +262,32 @@ class Workspace:
         self.spark.createDataFrame([row], "high double, medium double, ts timestamp").coalesce(1).write.mode(
             "append"
         ).parquet(self._path("thresholds"))
-        self.audit("THRESHOLD_UPDATE", f"High: {high}, Med: {med}")
+        self.audit(AUDIT_THRESHOLDS, f"High: {high}, Med: {med}")
         return {"high": high, "medium": med}
 
+    @_of_one_run
     def scored(self) -> DataFrame:
         stored = self.spark.read.parquet(self._path(f"scored/{self._model_version()}"))
         return score.reband(stored, diagnose.spend_column(self.profile().numeric), *self.thresholds())
 
+    @_of_one_run
     def predict(self, records: DataFrame) -> DataFrame:
         """Score records with explanations."""
         return score.score_explained(records, self.model(), self.profile(), *self.thresholds())
 
     def predict_batch(self, path: str) -> DataFrame:
-        out = score.score_batch(self.spark, path, self.model(), self.profile(), *self.thresholds())
-        self.audit("BATCH_SCORE", f"File: {path.rstrip('/').rsplit('/', 1)[-1]}")
-        return out
+        """Score a file, keep the result with the run, and return it."""
+        with self.one_run():
+            out = score.score_batch(self.spark, path, self.model(), self.profile(), *self.thresholds())
+            stored = self._path(f"batches/{uuid.uuid4().hex[:8]}")
+        out.write.parquet(stored)
+        done = self.spark.read.schema(out.schema).parquet(stored)
+        self.audit(AUDIT_BATCH, f"File: {path.rstrip('/').rsplit('/', 1)[-1]} ({done.count()} rows)")
+        return done
 
     # --- bundles and exports ------------------------------------------------------------
 
+    @_of_one_run
     def insights(self) -> dict[str, DataFrame]:
         df, prof = self.extract(), self.profile()
         rows = playbook.pillars(df, prof)
@@ -239,6 +301,7 @@ class Workspace:
             out["governance"] = report.governance(self.metrics(), found[1])
         return out
 
+    @_of_one_run
     def status(self) -> dict:
         text, found = self._document("profile"), self._version()
         high, med = self.thresholds()
@@ -251,6 +314,7 @@ class Workspace:
             "thresholds": {"high": high, "medium": med},
         }
 
+    @_of_one_run
     def export_tables(self, folder: str, fmt: str = "parquet") -> list[str]:
         found = self._version()
         made = report.tables(
@@ -260,6 +324,7 @@ class Workspace:
         report.export(made, folder, fmt)
         return sorted(made)
 
+    @_of_one_run
     def export_book(self, path: str) -> None:
         """The scored book as CSV; before training the cleaned extract without the label."""
         write_csv(self.scored() if self._version() else self.extract().drop("_y"), path)

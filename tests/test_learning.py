@@ -12,7 +12,10 @@ from churnspark.operators import explain, features, score, train
 from churnspark.operators.clean import clean
 from churnspark.operators.profile import TableProfile, profile
 from churnspark.plans.diagnostics import BOOK_PROFILE
-from churnspark.plans.learning import MODEL_COLUMNS, SMALL
+from churnspark.plans.learning import MODEL_COLUMNS
+
+# tests of the mechanics use small models; the registered queries use the full sizes
+SMALL = dict(lr_iterations=50, trees=20, tree_depth=5, rounds=8, boost_depth=3)
 from churnspark.sources import books
 
 TINY = train.default_candidates(lr_iterations=30, trees=8, tree_depth=4, rounds=4, boost_depth=3)

@@ -71,11 +71,19 @@ def test_split_does_not_move_rows(spark, sf):
     assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
 
 
-def test_evaluation_scans_once(spark, sf):
-    """Confusion counts and ranking metrics of all candidates share one scan."""
+def test_evaluation_scans_once(spark, sf, monkeypatch):
+    """Confusion counts and ranking metrics of all candidates share one scan of the scored rows."""
+    written, write = [], evaluate.stage
+
+    def noted(df, name):
+        written.append(df)
+        return write(df, name)
+
+    monkeypatch.setattr(evaluate, "stage", noted)
     rows = spark.read.parquet(f"{sf}/orders.parquet").select(
         (F.col("o_custkey") % 2).cast("int").alias("_y"), (F.col("o_totalprice") / 500000.0).alias("score"),
         (F.col("o_totalprice") > 250000).cast("int").alias("pred"), F.col("o_orderstatus").alias("candidate"),
     )
-    final = final_plan(evaluate.evaluate(rows, "score", "pred", by=["candidate"], rows=1000)).split("== Initial Plan ==")[0]
-    assert len(re.findall("FileScan parquet", final)) == 1
+    frames = [evaluate.evaluate(rows, "score", "pred", by=["candidate"]), *written]
+    plans = [final_plan(df).split("== Initial Plan ==")[0] for df in frames]
+    assert sum(len(re.findall(r"FileScan parquet.*orders\.parquet", p)) for p in plans) == 1

@@ -92,8 +92,9 @@ def test_resolvers():
 
 def test_category_fields_cap_before_the_shuffle(spark):
     df = spark.range(500).select(F.format_string("v%04d", "id").alias("k"))
-    out = P.category_fields(df, ["k"])
+    out = P.category_fields(df, ["k"], limit=50)
     assert [r["value"] for r in out.orderBy("position").collect()] == [f"v{i:04d}" for i in range(50)]
+    assert P.category_fields(df, ["k"]).count() == 500  # all of them unless a limit is asked for
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
