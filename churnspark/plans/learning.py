@@ -168,7 +168,7 @@ def training_facts(spark, sf):
     c = F.col
     facts = result.metrics.select(
         "candidate", "training_status", (c("tn") + c("fp")).alias("test_retained"), (c("fn") + c("tp")).alias("test_churned"), "cv_folds",
-        (c("roc_auc") >= 0.70).alias("better_than_chance"),
+        (c("roc_auc") > 0.5).alias("better_than_chance"),
         (F.least("cv_roc_auc_std", "cv_pr_auc_std", "cv_f1_std") >= 0).alias("spread_is_real"),
         (F.greatest("roc_auc", "pr_auc", "accuracy", "f1") <= 1).alias("within_one"),
     )
