@@ -31,7 +31,7 @@ from churnspark.operators import activity, diagnose, explain, playbook, report,
 from churnspark.operators.clean import clean
 from churnspark.operators.profile import TableProfile, category_fields, numeric_fields, preview
 from churnspark.operators.validate import validate
-from churnspark.session import tune
+from churnspark.session import stage, tune
 from churnspark.sources.files import read_table, require_rows, strip_names, write_csv
 
 
@@ -134,6 +134,8 @@ class Workspace:
         if isinstance(source, str):
             filename = filename or source.rstrip("/").rsplit("/", 1)[-1]
             source = read_table(self.spark, source)
+            if source.columns:  # parsed once; profile, checks and cleaning then read the columns they need
+                source = stage(source, "upload")
         df = require_rows(strip_names(source))
         checked = validate(df, filename)
         if not checked.is_valid:
