@@ -190,4 +190,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select(F.col("best.__row").alias("__row"))
     )
     kept = stage(kept, "kept")
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    # most rows stay, so `kept` grows with the documents: merged at every size, never broadcast
+    return numbered.join(kept.hint("merge"), "__row", "left_semi").drop("__row")
