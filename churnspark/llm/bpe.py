@@ -21,7 +21,7 @@ from churnspark.llm.tables import add_columns, place
 SUFFIX = "</w>"
 NEVER = np.int64(1) << 40
 #: Distinct words remembered by a worker; beyond it the memory starts afresh, results stay the same.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: White space as the tokenizer's own pattern understands it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
