@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,27 +40,39 @@ def index_positions() -> list[tuple[int, int, int]]:
     return keys
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a whole text as a signed 64-bit number; zero without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # only A-Z, only ASCII white space
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # only A-Z, only ASCII white space
+
+
+def shingles(words: list[bytes], width: int = WORDS) -> Iterator[np.ndarray]:
+    """The hashes of all runs of `width` words in slices; of all words together if there are fewer."""
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - WORDS + 1)
-    first, last = starts[:n].tolist(), ends[min(WORDS, len(words)) - 1:].tolist()
-    ones = np.zeros(64, np.int64)
+    n = max(1, len(words) - width + 1)
+    first, last = starts[:n].tolist(), ends[min(width, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, _SLICE):
-        hashes = np.array(
-            [digest(line[a:b], SEED) for a, b in zip(first[at:at + _SLICE], last[at:at + _SLICE])], np.uint64
-        )
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(first[at:at + _SLICE], last[at:at + _SLICE])], np.uint64)
+
+
+def fold(hashes: Iterable[np.ndarray]) -> int:
+    """SimHash of slices of hashes as a signed 64-bit number; zero without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
     bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """SimHash of a whole text as a signed 64-bit number; zero without words."""
+    return fold(shingles(split_words(text)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; a null text counts as empty."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, decontaminate, quality, secrets, simhash
+from churnspark.llm import bpe, decontaminate, quality, secrets, similar
 from churnspark.llm.queries import WORD_BPE
 from churnspark.llm.tables import quoted, table
 from churnspark.session import stage
@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    return simhash.keep_one(docs).select(*quoted(docs.columns))
+    """One document, the one with the smallest id, of each group of near duplicates: five-word Jaccard of 0.8."""
+    return similar.keep_one(docs).select(*quoted(docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
