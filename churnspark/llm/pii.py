@@ -174,10 +174,17 @@ def _date(text: str, step: Step) -> str:
 
 @dataclass(frozen=True)
 class Kind:
+    """A format. `inside`: where the longest match does not validate, parts of it at group borders may.
+
+    A part ends where `after` matches.
+    """
+
     name: str
     pattern: re.Pattern
     valid: Callable[[str], bool]
     replace: Callable[[str, Step], str]
+    inside: bool = False
+    after: re.Pattern = re.compile(r"(?!\w)")
 
 
 def _valid_phone(text: str) -> bool:
@@ -187,17 +194,54 @@ def _valid_phone(text: str) -> bool:
     return 9 <= len(digits) <= 15 and (text[0] in "+(" or len(re.findall(r"\d[ .-]+(?=\d)", text)) >= 2)
 
 
-#: In order of precedence: a place belongs to the first kind that takes it.
+def _valid_card(text: str) -> bool:
+    digits = _digits_of(text)
+    return 13 <= len(digits) <= 19 and luhn(digits) == 0 and len(set(digits)) > 1
+
+
+#: Length of an IBAN by country.
+_IBAN_LENGTHS = {
+    country: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
+
+
+def _valid_iban(text: str) -> bool:
+    packed = text.replace(" ", "")
+    return 15 <= len(packed) <= 34 and _iban_rest(packed[:2], packed[2:4], packed[4:]) == 1
+
+
+def _country_length(text: str) -> bool:
+    return len(text.replace(" ", "")) == _IBAN_LENGTHS.get(text[:2]) and _valid_iban(text)
+
+
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_AFTER_IBAN, _AFTER_CARD = re.compile(r"(?![A-Za-z0-9])"), re.compile(r"(?!\w|\.\d)")
+_BEFORE_CARD = r"(?:(?<=\d-)|(?<![\w+-]))(?<!\d\.)"
+
+#: In order of precedence: a place belongs to the first kind that takes it. A kind that can be told by
+#: its grouping or its country's length goes before the same kind without.
 KINDS = (
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-         lambda t: 15 <= len(p := t.replace(" ", "")) <= 34 and _iban_rest(p[:2], p[2:4], p[4:]) == 1, _iban),
+    Kind("iban", _IBAN, _country_length, _iban, True, _AFTER_IBAN),
+    Kind("iban", _IBAN, _valid_iban, _iban),
+    Kind("iban", _IBAN, lambda t: t[:2] not in _IBAN_LENGTHS and _valid_iban(t), _iban, True, _AFTER_IBAN),
     Kind("ip", re.compile(r"(?<!\w)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
          lambda t: all(int(p) < 256 for p in t.split(".")), _address),
-    Kind("card", re.compile(r"(?<![\w+-])(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\w|[-.]\d)"),
-         lambda t: luhn(d := _digits_of(t)) == 0 and len(set(d)) > 1, _card),
+    Kind("card", re.compile(_BEFORE_CARD + r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})(?!\w|\.\d)"),
+         _valid_card, _card, True, _AFTER_CARD),
     Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), lambda t: True, _social),
     Kind("date", re.compile(r"(?<![\w/-])(?<!\d\.)(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"),
          lambda t: _as_date(t) is not None, _date),
+    Kind("phone", re.compile(r"(?:(?<![+\w])\+1[ .-]?(?:\(\d{3}\)|\d{3})|(?<!\w)\(\d{3}\))[ .-]?\d{3}[ .-]?\d{4}(?!\w)"), _valid_phone, _phone),
+    Kind("card", re.compile(_BEFORE_CARD + r"\d(?:[ -]?\d){12,18}(?!\w|\.\d)"), _valid_card, _card, True, _AFTER_CARD),
+    Kind("phone", re.compile(r"(?:(?<![+\d])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|(?<!\w)\(\d{2,4}\))(?:[ .-]?\d{2,4}){2,4}(?!\w)"),
+         _valid_phone, _phone, True),
+    Kind("phone", re.compile(r"(?<![\w.-])\d{2,4}(?:[.-]\d{2,4}){2,4}(?!\w|[.-]\d)"), _valid_phone, _phone),
+    # groups apart by blanks alone do not say where a number ends: the whole stretch or nothing
     Kind("phone", re.compile(r"(?:(?<![+\d])\+\d{1,3}[ .-]?|(?<!\w)(?<!\d\.))(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"), _valid_phone, _phone),
 )
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
@@ -216,21 +260,49 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _part(kind: Kind, text: str, m: re.Match) -> int | None:
+    """The end of the longest valid part of a match that starts where it does, None without any."""
+    a, b = m.span()
+    if kind.valid(m.group()):
+        return b
+    for e in range(b - 1, a, -1) if kind.inside else ():
+        if text[e - 1].isalnum() and kind.after.match(text, e) and kind.pattern.fullmatch(text, a, e) and kind.valid(text[a:e]):
+            return e
+    return None
+
+
+def _free(text: str, found: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches between the places found that hold a digit."""
+    at = 0
+    for _, a, b in [*sorted(found, key=lambda f: f[1]), ("", len(text), len(text))]:
+        if a > at and _SOME_DIGIT(text, at, a):
+            yield at, a
+        at = b
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all validated places, none overlapping, in order of place."""
+    """(kind, start, end) of all validated places, none overlapping, in order of place.
+
+    A kind searches the stretches between the places already taken. Where its longest match does not
+    validate, the shorter ones at group borders are tried, then those that start later.
+    """
     text = text or ""
     found = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
-    if _SOME_DIGIT(text):
-        taken = bytearray(len(text)) if found else None
-        for _, a, b in found:
-            taken[a:b] = b"\1" * (b - a)
-        for kind in KINDS:
-            for m in kind.pattern.finditer(text):
-                a, b = m.span()
-                if (taken is None or not any(taken[a:b])) and kind.valid(m.group()):
-                    taken = taken if taken is not None else bytearray(len(text))
-                    taken[a:b] = b"\1" * (b - a)
-                    found.append((kind.name, a, b))
+    free = list(_free(text, found))
+    for kind in KINDS if free else ():
+        taken = []
+        for a, b in free:
+            piece, at = text[a:b], 0
+            while m := kind.pattern.search(piece, at):
+                end = _part(kind, piece, m)
+                if end is None:
+                    at = m.start() + 1 if kind.inside else m.end()
+                else:
+                    taken.append((kind.name, a + m.start(), a + end))
+                    at = end
+        if taken:
+            found += taken
+            free = list(_free(text, found))
     return sorted(found, key=lambda f: f[1])
 
 

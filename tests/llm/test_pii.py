@@ -73,3 +73,37 @@ def test_query_leaves_clean_texts_alone(spark, sf):
         if not r.n_found:
             assert r.text == texts[r.doc_id]
             assert not re.search(r"[\w.]+@[\w.]+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}", r.text)
+
+
+CARD, IBAN, PHONE = "4929348385146306", "BE68 5390 0754 7034", "+1 (826) 555-4081"
+
+
+@pytest.mark.parametrize("text, values", [
+    ("Des +1 (826) 555-4081 190.137.223.204 du", [PHONE, "190.137.223.204"]),
+    ("un. +1 (843) 555-7672 170.106.47.218 Et", ["+1 (843) 555-7672", "170.106.47.218"]),
+    (f"{PHONE} 190 137 22", [PHONE]), (f"{PHONE} {PHONE}", [PHONE, PHONE]), (f"{PHONE} {CARD}", [PHONE, CARD]),
+    (f"{CARD} 97 rows", [CARD]), (f"12 {CARD}", [CARD]), (f"12-{CARD}-7", [CARD]), ("4929 3483 8514 6306 97 12", ["4929 3483 8514 6306"]),
+    (f"{CARD} {CARD}", [CARD, CARD]), (f"{CARD} 97.51.17.173", [CARD, "97.51.17.173"]), (f"{CARD} 123-45-6789", [CARD, "123-45-6789"]),
+    (f"{IBAN} 1234 5678", [IBAN]), (f"{IBAN} EUR", [IBAN]), (f"AB12 CD34 {IBAN}", [IBAN]), (f"{IBAN} 4929 3483 8514 6306", [IBAN, "4929 3483 8514 6306"]),
+    ("+44 20 7946 0958 1234 5670", ["+44 20 7946 0958"]), ("1999 206-555-0100 2000 2001", ["206-555-0100"]),
+])
+def test_values_next_to_other_digits(text, values):
+    clean, found = pii.rewrite(text, KEY.forward)
+    covered = [k for _, a, b in found for k in range(a, b)]
+    at = 0
+    for v in values:
+        at = text.index(v, at)
+        assert set(range(at, at + len(v))) <= set(covered), (v, found)
+        at += len(v)
+    assert not any(v in clean for v in values)
+    assert pii.rewrite(clean, KEY.backward)[0] == text
+
+
+def test_no_number_is_left_in_any_text(spark, sf):
+    """Places of the formats in the given tables, whatever else a text holds."""
+    formats = re.compile(r"[\w.]+@[\w.]+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}")
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, f"a {PHONE} 190.137.223.204 b")], "doc_id long, text string"))
+    for r in pii.pseudonymise(docs, b"key").collect():
+        for m in formats.finditer(r.text or ""):
+            assert any(p.start <= m.start() and m.end() <= p.end for p in r.pii), (r.doc_id, m.group())
