@@ -39,9 +39,19 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]{16}"),
     Rule("hex", 1, r"[0-9a-f]{24,}", r"[0-9a-f]{24}"),
 )
+_64 = "[A-Za-z0-9+/]"
+_GAP = r"""[ \t\r\n\\"'>,]+"""
+#: A key with its heading: up to the END line before any other heading, whatever stands between; without
+#: one, header fields and the lines of base64 that follow, the last however short. Counted loops, since
+#: Java's expressions recurse on each turn: the largest keys in use (RSA, 16,384 bits) have 195 lines.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:--?-?-?[^-]+){0,256}-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}n?(?:Proc-Type|DEK-Info): ?[A-Z0-9a-f,-]+){{0,2}}"
+    rf"(?:{_GAP}{_64 * 24}{_64}*=?=?){{0,256}}(?:[\r\n]+[ \t>]*{_64}{{1,23}}=?=?[ \t]*(?:[\r\n]|\z))?)"
+)
 #: Kinds beyond the base ones, whose formats are unmistakable.
 MORE = (
-    Rule("key_block", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("key_block", 2, _KEY, r"PRIVATE KEY-----"),
     Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10}"),
     Rule("host_token", 1, r"(?:gh[opsu]_|glpat-|xox[abprs]-)[A-Za-z0-9-]{20,}", r"(?:gh[opsu]_|glpat-|xox[abprs]-)"),
 )

@@ -100,3 +100,37 @@ def test_columns_stay(spark, columns):
 def test_no_python_on_the_path(spark):
     plan = secrets.redact(secrets.scan(frame(spark, CASES)))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+BODY = [("Ab9+/" * 13)[:64]] * 3 + ["Qx7/w=="]
+HEAD, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+KEYS = [  # text, what is left of it
+    ("\n".join([f"see {HEAD}", *BODY, END, "and more"]), "see [secret]\nand more"),
+    ("\r\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", "", *BODY, END]) + " é", "[secret] é"),
+    (f"x {HEAD} {' '.join(BODY)} {END} y", "x [secret] y"),
+    ('{"k": "' + "\\n".join([HEAD, *BODY, END]) + '\\n"}', '{"k": "[secret]\\n"}'),
+    ("\n".join([HEAD, *BODY]), "[secret]"),
+    ("\n".join([HEAD, *BODY[:3]]) + "\nThe next line of prose", "[secret]\nThe next line of prose"),
+    ("\n".join([HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", "", *BODY[:3], "Qx7w"]), "[secret]"),
+    ("\n".join([HEAD, *BODY[:2], "-----BEGIN PRIVATE KEY-----", *BODY, "-----END PRIVATE KEY-----"]), "[secret]\n[secret]"),
+    (f"A key starts with {HEAD} as a well-known heading.", "A key starts with [secret] as a well-known heading."),
+    ("\n".join([f"{HEAD} cut off"] + ["- well-known words"] * 30_000), "[secret] cut off" + "\n- well-known words" * 30_000),
+    ("\n".join([HEAD, *BODY[:1] * 250, END]), "[secret]"), ("\n".join([HEAD, *BODY[:1] * 250]), "[secret]"),
+]
+
+
+def test_no_part_of_a_key_is_left(spark):
+    texts = [t for t, _ in KEYS]
+    rows = secrets.redact(secrets.scan(frame(spark, texts)).withColumn("n", secrets.F.size("findings"))).collect()
+    left = {r.doc_id: r.text for r in rows}
+    for k, (_, want) in enumerate(KEYS):
+        assert left[k] == want, k
+    assert {r.version for r in secrets.RULES if r.kind == "key_block"} == {2}
+
+
+def test_keys_like_sql(spark, tmp_path):
+    frame(spark, [t for t, _ in KEYS]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    run, sql = queries.QUERIES["op5_secret_scans"]
+    assert oracle.compare(run(spark, str(tmp_path)), con, sql) == []
