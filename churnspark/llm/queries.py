@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import bpe, decontaminate, html, langid, pii, quality, secrets, sharding, simhash, vectors
+from churnspark.llm import align, bpe, decontaminate, html, langid, pii, piece, quality, runs, secrets, sharding, simhash, vectors
 from churnspark.llm.tables import held_out, table
 
 
@@ -102,6 +102,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(runs.with_planted_runs(docs))
+    best = runs.longest(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.try_divide(1000 * best["length"] - (1000 * best["length"]) % best["period"], best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: Public files of merge-type pieces and of byte-level merges; any others of their formats may take their places.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece.encode(docs, PIECES, decoded="decoded")
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.link_counts(docs, BYTE_BPE, PIECES, hashed=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 #: name: (query, SQL or None)
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
@@ -114,4 +146,7 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_embedding_near_dedup": (op9_embedding_near_dedup, None),
     "op10_pii": (op10_pii, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_sentencepiece": (op12_sentencepiece, None),
+    "op13_cross_tokenizer_alignment": (op13_cross_tokenizer_alignment, None),
 }
