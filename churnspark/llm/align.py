@@ -29,35 +29,78 @@ LISTED = 20_000
 #: White space that the byte tokenizer's pattern may join with a space behind it.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _CHUNKS = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall
+#: How files of the byte-level format cut texts; a fixed value of the format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BORDERS = re.compile("(?<=\\S)(?=[ \t\n\r])").split
 
 
+#: Letters, digits and spaces below this are the same in every version of Unicode a library may have been built with.
+_LATIN = re.compile("[\x00-\u024f]*").fullmatch
+
+
+def _row(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text begins and the last one ends."""
+    bounds = np.concatenate(([0], np.cumsum([len(ids) for ids in lists]))).astype(np.int64)
+    return (np.concatenate([np.asarray(ids, np.int64) for ids in lists]) if lists else np.empty(0, np.int64)), bounds
+
+
 class Bytes:
-    """A byte-level BPE file: encoding by its library, chunk by chunk and remembered, and the bytes of each entry."""
+    """A byte-level BPE file and the bytes of each entry.
+
+    Texts of Latin letters are encoded by the faster of two libraries, whose ranks are the file's own ids;
+    all others by the library of the file's format, chunk by chunk and remembered.
+    """
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_str(text)
         self.tool.encode_special_tokens = True
         whole = json.loads(text)
-        pre = whole["pre_tokenizer"] or {}
+        pre, model = whole["pre_tokenizer"] or {}, whole["model"]
         if whole["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
             raise ValueError("only byte-level files without a normaliser or a prefix are read")
         back = {c: b for b, c in byte_letters().items()}
-        entries = whole["model"]["vocab"] | {t["content"]: t["id"] for t in whole["added_tokens"]}
-        self.surface = [b""] * (1 + max(entries.values()))
+        added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        entries = {entry: k for entry, k in model["vocab"].items() if entry not in added}
+        self.surface = [b""] * (1 + max([*entries.values(), *added.values()]))
         for entry, k in entries.items():
-            self.surface[k] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
+            self.surface[k] = bytes(map(back.__getitem__, entry))
+        for entry, k in added.items():
+            self.surface[k] = entry.encode()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [entries[a + b] for a, b in merges]
         self.memory = Memory(self._chunks)
+        self.fast = None
+        if made == sorted(set(made)) and len(made) + 256 == len(entries):
+            ranks = {self.surface[k]: k for k in entries.values()}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _chunks(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """No match of the file's pattern goes on with white space after another character, so texts are cut there."""
-        return self.memory.encode([_BORDERS(t) if _ODD_SPACE(t) else _CHUNKS(t) for t in texts])
+        """No match of the format's pattern goes on with white space after another character, so texts can be cut there."""
+        plain = [bool(self.fast and _LATIN(t)) for t in texts]
+        rest = [t for t, p in zip(texts, plain) if not p]
+        ids, at = self.memory.encode([_BORDERS(t) if _ODD_SPACE(t) else _CHUNKS(t) for t in rest])
+        others = iter([ids[p:q] for p, q in zip(at.tolist(), at[1:].tolist())])
+        return _row([self.fast.encode_to_numpy(t, disallowed_special=()) if p else next(others) for t, p in zip(texts, plain)])
+
+
+class Pieces:
+    """A merge-type piece model: encoding by its library, and the bytes of each piece."""
+
+    def __init__(self, data: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        self.tool = SentencePieceProcessor(model_proto=data)
+        self.surface = piece.Model.parse(data).surface
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return _row(self.tool.encode([t or "" for t in texts], num_threads=1))
 
 
 def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +124,11 @@ def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             else:
                 j += 1
                 y = ends_b[j]
-        p, q, most = i + 1, j + 1, min(n - i, m - j) + i
+        p, q, most = i + 1, j + 1, i + min(n - i, m - j)
         step, growing = 1, True
         while step and p < most:
-            step = min(step, most - p)
+            if step > most - p:
+                step = most - p
             if in_a[p * width:(p + step) * width] == in_b[q * width:(q + step) * width]:
                 p += step
                 q += step
@@ -118,7 +162,7 @@ class Aligned:
         b, b_at = tools.b.encode(texts)
         whole = [
             b"".join(map(side.__getitem__, ids[p:q])) == want
-            for side, ids, at in ((tools.a.surface, a.tolist(), a_at.tolist()), (tools.b.model.surface, b.tolist(), b_at.tolist()))
+            for side, ids, at in ((tools.a.surface, a.tolist(), a_at.tolist()), (tools.b.surface, b.tolist(), b_at.tolist()))
             for p, q, want in zip(at, at[1:], raw)
         ]
         fine = np.logical_and(*np.array(whole, bool).reshape(2, -1))
@@ -134,7 +178,7 @@ class Aligned:
 
     @staticmethod
     def _only(ids: np.ndarray, sizes: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return ids[np.repeat(fine, sizes)].astype(np.int64), np.where(fine, sizes, 0)
+        return ids if fine.all() else ids[np.repeat(fine, sizes)], np.where(fine, sizes, 0)
 
     @cached_property
     def n_links(self) -> np.ndarray:
@@ -188,10 +232,10 @@ class Aligned:
 class Tools:
     """Both tokenizers of a worker."""
 
-    def __init__(self, a: str, b: piece.Model):
-        self.a, self.b = Bytes(a), piece.Encoder(b)
+    def __init__(self, a: str, b: bytes):
+        self.a, self.b = Bytes(a), Pieces(b)
         self.size_a = np.array([len(s) for s in self.a.surface], np.int64)
-        self.size_b = np.array([len(s) for s in b.surface], np.int64)
+        self.size_b = np.array([len(s) for s in self.b.surface], np.int64)
         self.n_a, self.n_b = len(self.size_a), len(self.size_b)
         self.pairs = self.n_a * self.n_b
 
@@ -214,8 +258,9 @@ def _share(docs: DataFrame, a_path: str, b_path: str) -> tuple[Broadcast, int, i
     """Both files read once on the driver, and how many ids each has; their size does not depend on the data."""
     with open(a_path, encoding="utf-8") as file:
         a = file.read()
-    b = piece.Model.read(b_path).ready()
-    return docs.sparkSession.sparkContext.broadcast(((a_path, b_path), a, b)), len(Bytes(a).surface), len(b.texts)
+    with open(b_path, "rb") as file:
+        b = file.read()
+    return docs.sparkSession.sparkContext.broadcast(((a_path, b_path), a, b)), len(Bytes(a).surface), len(Pieces(b).surface)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -64,9 +64,13 @@ class Model:
 
     @classmethod
     def read(cls, path: str) -> Model:
-        """The model of a file; an error where it asks for more than merging and byte fallback."""
         with open(path, "rb") as file:
-            whole = list(_fields(file.read()))
+            return cls.parse(file.read())
+
+    @classmethod
+    def parse(cls, data: bytes) -> Model:
+        """The model of a file's bytes; an error where it asks for more than merging and byte fallback."""
+        whole = list(_fields(data))
         texts, scores, kinds = [], [], []
         for k, piece in whole:
             if k == 1:
