@@ -6,18 +6,19 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL, outcome
 from churnspark.functions.text import named
-from churnspark.operators import features
+from churnspark.operators import boost, features
 from churnspark.operators.evaluate import classification_report, evaluate
 from churnspark.operators.profile import TableProfile
 from churnspark.operators.split import FOLDS, SEED, fold_count, mark_folds, mark_holdout
@@ -33,19 +34,28 @@ HOLDOUT_METRICS = [
 ]
 
 
+def _columns(stage):
+    """The classifier or its model with this package's column names."""
+    return (
+        stage.setFeaturesCol("x_features").setPredictionCol("x_prediction")
+        .setProbabilityCol("x_probability").setRawPredictionCol("x_raw")
+    )
+
+
 @dataclass(frozen=True)
 class Candidate:
-    """A named classifier; `make` gets the number of training rows. Any Spark classifier fits."""
+    """A named classifier; `make` gets the number of training rows. Any Spark classifier fits.
+
+    A candidate with `boosting` has no `make`: the boosters of all candidates and folds grow together.
+    """
 
     name: str
-    make: Callable[[int], Estimator]
+    make: Callable[[int], Estimator] | None = None
     weighted: bool = False
+    boosting: boost.Boosting | None = None
 
     def estimator(self, rows: int) -> Estimator:
-        out = (
-            self.make(rows).setFeaturesCol("x_features").setLabelCol(LABEL).setPredictionCol("x_prediction")
-            .setProbabilityCol("x_probability").setRawPredictionCol("x_raw")
-        )
+        out = _columns(self.make(rows)).setLabelCol(LABEL)
         return out.setWeightCol(WEIGHT) if self.weighted else out
 
 
@@ -53,16 +63,15 @@ def default_candidates(
     lr_iterations: int = 1000, trees: int = 160, tree_depth: int = 10, rounds: int = 120, boost_depth: int = 4,
 ) -> list[Candidate]:
     """The four candidates in their fixed order; sizes are parameters, defaults the full ones."""
-    boosting = dict(maxIter=rounds, stepSize=0.08, maxDepth=boost_depth, seed=SEED)
     return [
         # ridge strength 1/n on the mean loss equals a unit penalty on the summed loss
         Candidate("logistic_regression", lambda n: LogisticRegression(
             maxIter=lr_iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False), weighted=True),
         Candidate("random_forest", lambda n: RandomForestClassifier(
-            numTrees=trees, maxDepth=tree_depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=SEED), weighted=True),
-        Candidate("gradient_boosting", lambda n: GBTClassifier(**boosting)),
-        Candidate("stochastic_boosting", lambda n: GBTClassifier(
-            subsamplingRate=0.8, featureSubsetStrategy="onethird", **boosting)),
+            numTrees=trees, maxDepth=tree_depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=SEED,
+            maxMemoryInMB=1024), weighted=True),
+        Candidate("gradient_boosting", boosting=boost.Boosting(rounds, boost_depth, 0.08)),
+        Candidate("regularised_boosting", boosting=boost.Boosting(rounds, boost_depth, 0.08, second_order=True, l2=1.0)),
     ]
 
 
@@ -116,6 +125,11 @@ def fit_one(
 ) -> PipelineModel:
     """Feature statistics and classifier from the same rows, as one saved-and-reloadable model."""
     encoder = features.fit(train, prof, max_levels)
+    if candidate.boosting:
+        rows = encoder.transform(train).withColumn("part", F.lit(0))
+        bins = boost.learn_bins(rows, len(prof.numeric), [len(v) for v in features.levels_of(encoder)])
+        (grown,), _ = boost.grow(rows, bins, [(candidate.boosting, boost.TEST)])
+        return PipelineModel([encoder, _columns(boost.to_spark(train.sparkSession, grown, bins))])
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     try:
@@ -164,11 +178,84 @@ def _fit_and_evaluate(
         held.unpersist()
 
 
+def _boosted(
+    marked: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], parts: Sequence[int], max_levels: int = features.MAX_LEVELS,
+) -> dict[tuple[str, int], dict]:
+    """Metrics of the boosters by candidate and held-out part; all of them grow in the same jobs.
+
+    `marked` has `part`: a fold, or boost.TEST for held-out rows. A booster of a fold learns from
+    the other folds and is measured on its own; with TEST among `parts` one more learns from all folds and is
+    measured there. Gaps are filled and columns are cut by statistics of all folds, never of TEST rows.
+    """
+    if not candidates:
+        return {}
+    encoder = features.fit(marked.where(F.col("part") != boost.TEST).drop("part"), prof, max_levels)
+    rows = encoder.transform(marked)
+    bins = boost.learn_bins(rows.where(F.col("part") != boost.TEST), len(prof.numeric), [len(v) for v in features.levels_of(encoder)])
+    try:
+        _, margins = boost.grow(rows, bins, [(c.boosting, part) for c in candidates for part in parts])
+    except Exception as problem:  # candidates that cannot be fitted score zero, the others go on
+        log.warning("boosters could not be fitted: %s", problem)
+        return {}
+    spot = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col("part")).cast("int") - 1
+    each = F.array(*[
+        F.struct(F.lit(c.name).alias("candidate"), F.get("margins", F.lit(k * len(parts)) + spot).alias("margin")) for k, c in enumerate(candidates)
+    ])
+    scored = margins.where(F.col("part").isin(list(parts))).select("part", F.col("y").alias(LABEL), F.explode(each).alias("one"))
+    scored = scored.select("part", LABEL, "one.candidate", (F.lit(1) / (1 + F.exp(-F.col("one.margin")))).alias("x_score"))
+    scored = scored.withColumn("x_prediction", (F.col("x_score") > 0.5).cast("double"))
+    return {(r["candidate"], r["part"]): r.asDict() for r in evaluate(scored, "x_score", "x_prediction", by=["candidate", "part"]).collect()}
+
+
 def _spread(values: Sequence[float]) -> tuple[float, float]:
     mean = sum(values) / len(values)
     return mean, (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
 
 
+def _measure(
+    train: DataFrame, test: DataFrame | None, prof: TableProfile, candidates: Sequence[Candidate], folds: int, parallelism: int, max_levels: int,
+) -> tuple[dict[str, dict], dict[str, dict]]:
+    """Cross-validation on `train`, and metrics of models of all of it on `test`.
+
+    The boosters are one run; the other candidates are fitted fold by fold, `parallelism` folds at a time, beside it.
+    """
+    k = fold_count(class_sizes(train), folds)
+    marked = mark_folds(train, "x_id" if prof.id_column else None, k)
+    filled = sorted(r["fold"] for r in marked.groupBy("fold").count().collect())  # at most k rows
+    boosted, others = [c for c in candidates if c.boosting], [c for c in candidates if not c.boosting]
+    got: dict[tuple[str, int], dict] = {}
+
+    def together() -> None:
+        rows = marked.withColumnRenamed("fold", "part")
+        if test is not None:
+            rows = rows.unionByName(test.withColumn("part", F.lit(boost.TEST)))
+        got.update(_boosted(rows, prof, boosted, filled + ([boost.TEST] if test is not None else []), max_levels))
+
+    def apart(part: int) -> None:
+        if part == boost.TEST:
+            found = _fit_and_evaluate(train, test, prof, others, parallelism, max_levels)
+        else:
+            inside, outside = marked.where(F.col("fold") == part), marked.where(F.col("fold") != part)
+            found = _fit_and_evaluate(outside, inside, prof, others, parallelism, max_levels)
+        got.update({(name, part): row for name, row in found.items()})
+
+    jobs = [together] if boosted else []
+    if others:
+        jobs += [partial(apart, part) for part in ([boost.TEST] if test is not None else []) + filled]
+    with ThreadPool(max(1, min(parallelism + bool(boosted), len(jobs)))) as pool:
+        # one at a time from the list: the boosters first, as they take longest
+        pool.map(inheritable_thread_target(train.sparkSession)(lambda job: job()), jobs, chunksize=1)
+
+    cv = {}
+    for c in candidates:
+        rows = [got[c.name, f] for f in filled if (c.name, f) in got]
+        cv[c.name] = {"cv_folds": k}
+        for metric in CV_METRICS:
+            mean, std = _spread([r[metric] for r in rows]) if rows and len(rows) == len(filled) else (0.0, 0.0)
+            cv[c.name][f"cv_{metric}_mean"], cv[c.name][f"cv_{metric}_std"] = round(mean, 4), round(std, 4)
+    return cv, {c.name: got[c.name, boost.TEST] for c in candidates if (c.name, boost.TEST) in got}
+
+
 def cross_validate(
     train: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], folds: int = FOLDS, parallelism: int = 4,
     max_levels: int = features.MAX_LEVELS,
@@ -177,24 +264,7 @@ def cross_validate(
 
     A fold left without rows, because copies of an id stay together, is not evaluated.
     """
-    k = fold_count(class_sizes(train), folds)
-    marked = mark_folds(train, "x_id" if prof.id_column else None, k)
-    results: dict[str, list[dict]] = {c.name: [] for c in candidates}
-    filled = sorted(r["fold"] for r in marked.groupBy("fold").count().collect())  # at most k rows
-    for fold in filled:
-        got = _fit_and_evaluate(
-            marked.where(F.col("fold") != fold), marked.where(F.col("fold") == fold), prof, candidates, parallelism, max_levels
-        )
-        for name, row in got.items():
-            results[name].append(row)
-    out = {}
-    for name, rows in results.items():
-        out[name] = {"cv_folds": k}
-        for metric in CV_METRICS:
-            complete = rows and len(rows) == len(filled)
-            mean, std = _spread([r[metric] for r in rows]) if complete else (0.0, 0.0)
-            out[name][f"cv_{metric}_mean"], out[name][f"cv_{metric}_std"] = round(mean, 4), round(std, 4)
-    return out
+    return _measure(train, None, prof, candidates, folds, parallelism, max_levels)[0]
 
 
 def select_champion(metrics: DataFrame) -> DataFrame:
@@ -230,8 +300,7 @@ def train_and_compare(
     marked = mark_holdout(table, ident, share=test_share, exact=exact_split)
     train, test = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
     test_sizes = class_sizes(test)
-    cv = cross_validate(train, prof, candidates, folds, parallelism, max_levels)
-    held = _fit_and_evaluate(train, test, prof, candidates, parallelism, max_levels)
+    cv, held = _measure(train, test, prof, candidates, folds, parallelism, max_levels)
 
     rows = []
     for position, candidate in enumerate(candidates):

@@ -183,7 +183,7 @@ def training_facts(spark, sf):
 FACTS = """SELECT candidate, 'Completed' AS training_status, sum(t) FILTER (_y = 0) AS test_retained, sum(t) FILTER (_y = 1) AS test_churned,
   5 AS cv_folds, true AS better_than_chance, true AS spread_is_real, true AS within_one, true AS champion_by_rule,
   sum(n) AS rows_total, sum(n) - sum(t) AS rows_train, sum(t) AS rows_test, 8 AS feature_count
-FROM (SELECT _y, n, (2 * n + 5) // 10 AS t FROM c) CROSS JOIN (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('stochastic_boosting')) AS v(candidate)
+FROM (SELECT _y, n, (2 * n + 5) // 10 AS t FROM c) CROSS JOIN (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('regularised_boosting')) AS v(candidate)
 GROUP BY candidate"""
 
 

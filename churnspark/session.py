@@ -49,9 +49,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="churnspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="churnspark-")
+    return _LOCAL[application]
+
+
+#: Folders of local applications without a setting; the setting itself cannot be changed in a running application.
+_LOCAL: dict[str, str] = {}
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +65,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used before iterative work: the expensive upstream plan runs once, readers
     get column pruning, and a lost executor only costs a re-read.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """Write df to a new folder among the shared ones and return it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def iterative_session(spark: SparkSession, partitions: int) -> SparkSession:
+    """A session of the same application for hundreds of equal small aggregates: nothing is left to re-plan at run time."""
+    session = tune(spark.newSession())
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return session

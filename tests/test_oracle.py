@@ -5,9 +5,7 @@ import pytest
 import oracle
 from churnspark.plans.registry import ALL
 
-WITH_SQL = sorted(n for n, (_, sql) in ALL.items() if sql and n != "training_facts")
-# full-size training of four candidates over five folds; training_facts holds the same run against SQL
-SLOW = {"train_champion", "governance_table", "training_facts"}
+WITH_SQL = sorted(n for n, (_, sql) in ALL.items() if sql)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def test_equal(spark, sf, con, name):
     assert oracle.compare(run(spark, sf), con, sql) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(WITH_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(WITH_SQL)))
 def test_runs(spark, sf, name):
     assert ALL[name][0](spark, sf).count() > 0
 
