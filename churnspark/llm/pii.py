@@ -67,10 +67,13 @@ class Permutation:
 
 Step = Callable[[int, int, str], int]
 
+#: The digits a format may have; those of other scripts belong to none.
+DIGITS = frozenset("0123456789")
+
 
 def _characters(text: str, step: Step, tweak: str) -> str:
     """Digits stay digits, letters keep their case, everything else its place."""
-    bases = [(48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else None for c in text]
+    bases = [(48, 10) if c in DIGITS else (97, 26) if c.islower() else (65, 26) if c.isupper() else None for c in text]
     value, size = 0, 1
     for c, base in zip(text, bases):
         if base:
@@ -86,7 +89,7 @@ def _characters(text: str, step: Step, tweak: str) -> str:
 
 def _put_digits(shape: str, digits: str) -> str:
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in shape)
+    return "".join(next(rest) if c in DIGITS else c for c in shape)
 
 
 def luhn(digits: str) -> int:
@@ -95,7 +98,7 @@ def luhn(digits: str) -> int:
 
 
 def _digits_of(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    return "".join(c for c in text if c in DIGITS)
 
 
 def _email(text: str, step: Step) -> str:
@@ -113,7 +116,7 @@ def _card(text: str, step: Step) -> str:
 
 def _phone(text: str, step: Step) -> str:
     """The country code stays; the rest is permuted as one number, however it is written."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
     head, rest = (code.group(), text[code.end():]) if code else ("", text)
     digits = _digits_of(rest)
     return head + _put_digits(rest, str(step(int(digits), 10 ** len(digits), f"phone{len(digits)}")).zfill(len(digits)))
@@ -189,9 +192,9 @@ class Kind:
 
 def _valid_phone(text: str) -> bool:
     digits = _digits_of(text)
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", text):
+    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", text):
         return False  # a social security number that did not validate
-    return 9 <= len(digits) <= 15 and (text[0] in "+(" or len(re.findall(r"\d[ .-]+(?=\d)", text)) >= 2)
+    return 9 <= len(digits) <= 15 and (text[0] in "+(" or len(re.findall(r"[0-9][ .-]+(?=[0-9])", text)) >= 2)
 
 
 def _valid_card(text: str) -> bool:
@@ -219,9 +222,9 @@ def _country_length(text: str) -> bool:
     return len(text.replace(" ", "")) == _IBAN_LENGTHS.get(text[:2]) and _valid_iban(text)
 
 
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_AFTER_IBAN, _AFTER_CARD = re.compile(r"(?![A-Za-z0-9])"), re.compile(r"(?!\w|\.\d)")
-_BEFORE_CARD = r"(?:(?<=\d-)|(?<![\w+-]))(?<!\d\.)"
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_AFTER_IBAN, _AFTER_CARD = re.compile(r"(?![A-Za-z0-9])"), re.compile(r"(?!\w|\.[0-9])")
+_BEFORE_CARD = r"(?:(?<=[0-9]-)|(?<![\w+-]))(?<![0-9]\.)"
 
 #: In order of precedence: a place belongs to the first kind that takes it. A kind that can be told by
 #: its grouping or its country's length goes before the same kind without.
@@ -229,20 +232,20 @@ KINDS = (
     Kind("iban", _IBAN, _country_length, _iban, True, _AFTER_IBAN),
     Kind("iban", _IBAN, _valid_iban, _iban),
     Kind("iban", _IBAN, lambda t: t[:2] not in _IBAN_LENGTHS and _valid_iban(t), _iban, True, _AFTER_IBAN),
-    Kind("ip", re.compile(r"(?<!\w)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
+    Kind("ip", re.compile(r"(?<!\w)(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"),
          lambda t: all(int(p) < 256 for p in t.split(".")), _address),
-    Kind("card", re.compile(_BEFORE_CARD + r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})(?!\w|\.\d)"),
+    Kind("card", re.compile(_BEFORE_CARD + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?!\w|\.[0-9])"),
          _valid_card, _card, True, _AFTER_CARD),
-    Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), lambda t: True, _social),
-    Kind("date", re.compile(r"(?<![\w/-])(?<!\d\.)(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)"),
+    Kind("ssn", re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"), lambda t: True, _social),
+    Kind("date", re.compile(r"(?<![\w/-])(?<![0-9]\.)(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])"),
          lambda t: _as_date(t) is not None, _date),
-    Kind("phone", re.compile(r"(?:(?<![+\w])\+1[ .-]?(?:\(\d{3}\)|\d{3})|(?<!\w)\(\d{3}\))[ .-]?\d{3}[ .-]?\d{4}(?!\w)"), _valid_phone, _phone),
-    Kind("card", re.compile(_BEFORE_CARD + r"\d(?:[ -]?\d){12,18}(?!\w|\.\d)"), _valid_card, _card, True, _AFTER_CARD),
-    Kind("phone", re.compile(r"(?:(?<![+\d])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})|(?<!\w)\(\d{2,4}\))(?:[ .-]?\d{2,4}){2,4}(?!\w)"),
+    Kind("phone", re.compile(r"(?:(?<![+\w])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})|(?<!\w)\([0-9]{3}\))[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"), _valid_phone, _phone),
+    Kind("card", re.compile(_BEFORE_CARD + r"[0-9](?:[ -]?[0-9]){12,18}(?!\w|\.[0-9])"), _valid_card, _card, True, _AFTER_CARD),
+    Kind("phone", re.compile(r"(?:(?<![+[0-9]])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})|(?<!\w)\([0-9]{2,4}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)"),
          _valid_phone, _phone, True),
-    Kind("phone", re.compile(r"(?<![\w.-])\d{2,4}(?:[.-]\d{2,4}){2,4}(?!\w|[.-]\d)"), _valid_phone, _phone),
+    Kind("phone", re.compile(r"(?<![\w.-])[0-9]{2,4}(?:[.-][0-9]{2,4}){2,4}(?!\w|[.-][0-9])"), _valid_phone, _phone),
     # groups apart by blanks alone do not say where a number ends: the whole stretch or nothing
-    Kind("phone", re.compile(r"(?:(?<![+\d])\+\d{1,3}[ .-]?|(?<!\w)(?<!\d\.))(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"), _valid_phone, _phone),
+    Kind("phone", re.compile(r"(?:(?<![+[0-9]])\+[0-9]{1,3}[ .-]?|(?<!\w)(?<![0-9]\.))(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)"), _valid_phone, _phone),
 )
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _LOCAL = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*\Z")
@@ -333,7 +336,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", clean_col:
     all documents; the holder of the key can go back. Numbers that do not validate are left alone.
 
     Defined cases: a null text stays null, an empty one empty, both without places; repeated
-    rows come back as often and alike; an empty table gives an empty result; input columns of the
+    rows come back as often and alike; texts of any length are searched whole; a place that several kinds
+    could take goes to the first of KINDS, of equal starts the longest valid match; digits other than 0 to 9
+    are no digits of any format and stay; an empty table gives an empty result; input columns of the
     results' names are replaced.
     """
     at = place(docs, text_col, clean_col, "pii")

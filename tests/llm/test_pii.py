@@ -107,3 +107,28 @@ def test_no_number_is_left_in_any_text(spark, sf):
     for r in pii.pseudonymise(docs, b"key").collect():
         for m in formats.finditer(r.text or ""):
             assert any(p.start <= m.start() and m.end() <= p.end for p in r.pii), (r.doc_id, m.group())
+
+
+DIGITS = {"arabic": "٠١٢٣٤٥٦٧٨٩", "fullwidth": "０１２３４５６７８９", "superscript": "⁰¹²³⁴⁵⁶⁷⁸⁹"}
+VALUES = [
+    "id 900-12-3456", "666-12-3456", "000-12-3456", "123-45-6789", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "192.168.0.1",
+    "4111111111111111", "4111 1111 1111 1111", "2020-02-03", "3/4/2021", "+1 (206) 555-0100", "206-555-0100", "a9@b.com",
+]
+
+
+@pytest.mark.parametrize("script", DIGITS)
+@pytest.mark.parametrize("value", VALUES)
+def test_digits_of_other_scripts_stay(script, value):
+    """All or some digits of another script: no error, and what is replaced keeps its format."""
+    step = pii.Permutation(b"key").forward
+    foreign = str.maketrans("0123456789", DIGITS[script])
+    for text in (value.translate(foreign), value[:-3] + value[-3:].translate(foreign), value[:5].translate(foreign) + value[5:]):
+        clean, found = pii.rewrite(text, step)
+        assert len(clean) == len(text)
+        for a, b in zip(text, clean):
+            assert (a in "0123456789") == (b in "0123456789") and (a.isdigit() and a not in "0123456789") <= (a == b)
+
+
+def test_digits_of_other_scripts_through_spark(spark):
+    rows = spark.createDataFrame([("id ٩٠٠-12-3456",), ("٦٦٦-12-3456",), ("٠٠٠-12-3456",), ("DE٨٩370400440532013000",)], "text string")
+    assert [r.clean_text for r in pii.pseudonymise(rows, b"key").collect()] == [r.text for r in rows.collect()]
