@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from churnspark.llm.tables import add_columns, held_out, place, slices
@@ -27,13 +28,15 @@ NONE = "und"
 REMEMBERED = 800_000
 #: Words of a sequence that are stepped through; longer ones are cut and put together exactly.
 SEGMENT = 64
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+_PLAIN_WORDS = re.compile("[a-z]+").findall
 _EDGE = 1  # a character no word has, put before and after each word
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORDS((text or "").lower())
+    """Runs of letters and the marks on them, in lower case; numerals, also those written as letters, are no words."""
+    lower = (text or "").lower()
+    return _PLAIN_WORDS(lower) if lower.isascii() else _WORDS(lower)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -73,3 +73,11 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in langid.predict(edge_docs(spark), model).collect()} == {"und"}
     one = langid.train(edge_docs(spark).where("lang = 'en'"))
     assert {r.lang_pred for r in langid.predict(edge_docs(spark), one).collect()} == {"und", "en"}
+
+
+def test_numerals_are_no_letters_and_marks_stay_on_theirs(spark, sf):
+    assert langid.words_of("½ ² ٣ Ⅷ 12 _") == [] and langid.words_of("हिन्दी É1é Ab_c") == ["हिन्दी", "é", "é", "ab", "c"]
+    docs = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ٣"), (3, ""), (4, "plain words")], "doc_id long, text string")
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    found = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.predict(docs, model).collect()}
+    assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] != "und"
