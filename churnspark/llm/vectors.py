@@ -46,6 +46,13 @@ def _classes(vectors: DataFrame) -> DataFrame:
     )
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: exact, and no square overflows or vanishes."""
+    if not vectors.size:
+        return vectors
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _entries(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     """classes with `codes`, one per table."""
 
@@ -58,7 +65,7 @@ def _entries(classes: DataFrame, tables: int, bits: int) -> DataFrame:
             codes = np.empty((len(cids), tables), np.int64)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                codes[rows] = sign_codes(flat[(ends[rows] - size)[:, None] + np.arange(size)], tables, bits)
+                codes[rows] = sign_codes(scaled(flat[(ends[rows] - size)[:, None] + np.arange(size)]), tables, bits)
             lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([cids, lists], names=["cid", "codes"])
 
@@ -67,6 +74,7 @@ def _entries(classes: DataFrame, tables: int, bits: int) -> DataFrame:
 
 def block_pairs(vectors: np.ndarray, codes: np.ndarray, first: np.ndarray, table: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the linked pairs of a block pair that meet in no table before this one."""
+    vectors = scaled(vectors)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     a = np.arange(len(vectors)) if same else np.flatnonzero(first)
     b = np.arange(len(vectors)) if same else np.flatnonzero(~first)
@@ -131,7 +139,8 @@ def near_duplicates(
     tables miss a pair of cosine `least` with `miss_probability`.
 
     Defined cases: a null, zero or partly null or non-finite vector, a null label or a null id
-    links with nothing (n_links 0, its own component); vectors of different lengths never link;
+    links with nothing (n_links 0, its own component); vectors of different lengths never link; components
+    may be as large or small as a double holds;
     repeated rows are vectors of their own; an empty table gives an empty result; other
     columns are ignored.
     """

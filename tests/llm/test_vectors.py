@@ -89,3 +89,11 @@ def test_recall_of_the_tables():
 
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_extreme_magnitudes_link(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(k, [v * scale for v in base], "a") for k, scale in enumerate((1.0, 1e200, 1e-200, 1e307, 1e-307))]
+    rows.append((9, [1e200, -1e200, 1e200, 1e200], "a"))
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted((r.id, r.n_links, r.component_id) for r in found.collect()) == [(k, 4, 0) for k in range(5)] + [(9, 0, 9)]
