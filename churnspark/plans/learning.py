@@ -47,6 +47,18 @@ def cv_folds_null_ids(spark, sf):
     return marked.groupBy(LABEL, "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cv_folds_heavy_id(spark, sf):
+    """Rows of each class in every fold when one customer holds three tenths of the accounts."""
+    rows = books.labelled(spark, sf, ["account_id"])
+    heavy = rows.withColumn("account_id", F.when(F.col("account_id") % 10 < 3, F.lit(-1)).otherwise(F.col("account_id")))
+    marked = split.mark_folds(heavy, "account_id", 5)
+    return marked.groupBy(LABEL, "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("account_id") == -1).alias("of_the_heavy_id"),
+    )
+
+
+HEAVY = """h AS (SELECT _y, count(*) FILTER (account_id % 10 < 3) AS heavy, count(*) FILTER (account_id % 10 >= 3) AS light FROM book GROUP BY 1)"""
+
 SIZES = "c AS (SELECT _y, count(*) AS n FROM book GROUP BY 1)"
 
 
@@ -201,6 +213,10 @@ QUERIES = {
         "SELECT _y, true AS is_test, (2 * n + 5) // 10 AS n FROM c UNION ALL SELECT _y, false, n - (2 * n + 5) // 10 FROM c", F1, SIZES)),
     "cv_folds_null_ids": (cv_folds_null_ids, sql(
         "SELECT _y, f AS fold, (2 * (f + 1) * n + 5) // 10 - (2 * f * n + 5) // 10 AS n FROM c, (SELECT unnest(range(5))::int AS f)", F1, SIZES)),
+    # the heavy id is more than a fold of either class; the other rows share the four folds that are left
+    "cv_folds_heavy_id": (cv_folds_heavy_id, sql(
+        "SELECT _y, 0 AS fold, heavy AS n, heavy AS of_the_heavy_id FROM h UNION ALL "
+        "SELECT _y, f AS fold, (2 * f * light + 4) // 8 - (2 * (f - 1) * light + 4) // 8, 0 FROM h, (SELECT unnest(range(1, 5))::int AS f)", F1, HEAVY)),
     "class_weights": (class_weights, sql(
         "SELECT _y, count(*) AS n, (SELECT count(*) FROM book) / (2 * count(*)) AS weight FROM book GROUP BY 1")),
     "median_impute": (median_impute, sql("SELECT * FROM filled", F1, MEDIANS, FILLED)),
