@@ -23,7 +23,7 @@ from churnspark.session import stage
 #: Links of small groups made at a time, and how many links a group has at most to be small.
 LINKS_AT_ONCE, SMALL = 2_000_000, 65_536
 #: Pairs of ids (and bytes of text, four as one pair) of the documents that share one look-up; a longer document is alone.
-BUNDLE = 4_000_000
+BUNDLE = 2_000_000
 #: Pairs in one row of a bundle's list.
 LISTED = 20_000
 #: White space that the byte tokenizer's pattern may join with a space behind it.
@@ -320,7 +320,7 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
     figures = ["n_a", "n_b", "n_groups", "n_links"]
     fields = [T.StructField(name, f.dataType) for name, f in zip(plain, kept.schema.fields)]
     fields += [T.StructField(name, T.LongType()) for name in figures] + [T.StructField("groups", T.StringType())]
-    fields += [T.StructField(n, T.ArrayType(t)) for n, t in (("pairs", number), ("times", T.LongType()), ("listed", number), ("rows", T.LongType()))]
+    fields += [T.StructField(n, T.ArrayType(t)) for n, t in (("pairs", number), ("times", T.IntegerType()), ("listed", number), ("rows", T.LongType()))]
     schema = T.StructType([*fields, T.StructField("bundle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
                 groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
             out = [
                 *batch.columns, *(pa.array(v) for v in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(groups, pa.string()),
-                _lists(pairs, bounds, arrow), _lists(times, bounds, pa.int64()),
+                _lists(pairs, bounds, arrow), _lists(times, bounds, pa.int32()),
             ]
             types = [c.type for c in out]
             size = batch.num_rows
@@ -382,7 +382,7 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
         pairs, times = (held.column(c).combine_chunks() for c in ("pairs", "times"))
         ends = np.concatenate(([0], np.cumsum(pairs.value_lengths().to_numpy()))).astype(np.int64)
         spot = np.searchsorted(pair, pairs.flatten().to_numpy())
-        many = times.flatten().to_numpy()
+        many = times.flatten().to_numpy().astype(np.int64)
         sums = [np.concatenate(([0], np.cumsum(v))) for v in (many * best[spot], many * count[spot])] if len(pair) else [ends * 0] * 2
         n_best, count_sum = (pa.array((s[ends[1:]] - s[ends[:-1]]).astype(np.int64)) for s in sums)
         columns = [held.column(c) for c in [*plain, *figures]] + [n_best, count_sum, held.column("groups")]
