@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from churnspark.llm import simhash
 from churnspark.llm.graph import components
-from churnspark.llm.postings import crowded
-from churnspark.llm.tables import slices
+from churnspark.llm.tables import slices, unused
 from churnspark.session import stage
 
 WORDS = 5
 LEAST = (4, 5)  # a fraction, so that the test of a pair is exact
 #: A pair is a candidate if all ROWS minima of one of BANDS bands agree, or by the byte index of SimHash.
 BANDS, ROWS = 24, 5
-#: Texts of one candidate group that are compared in a task at a time, twice over.
+#: Texts of one list that are compared in a task at a time, twice over.
 BLOCK = 128
+#: Rounds that compare every list with one of its members before members are compared with each other.
+STARS = 2
 _SLICE = 4096
 _rng = np.random.default_rng(simhash.SEED)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,8 +50,8 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
-    """(row, digest of the words, SimHash, band keys) of every row of `docs`, which has `__row`."""
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(node, digest of the words, SimHash, band keys) of every row of `texts` (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             digests, fps, keys = [], [], []
@@ -61,11 +62,10 @@ def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
                 keys.append(band_keys(shingle_set(words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["__row", "digest", "fp", "keys"],
+                names=["node", "digest", "fp", "keys"],
             )
 
-    chosen = docs.select("__row", F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "__row long, digest binary, fp long, keys array<long>")
+    return texts.mapInArrow(run, "node long, digest binary, fp long, keys array<long>")
 
 
 def block_links(nodes: np.ndarray, first: np.ndarray, same: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -102,40 +102,38 @@ def block_links(nodes: np.ndarray, first: np.ndarray, same: bool, sets: list[np.
     return forest
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the nodes of `sketches` (node, fp, keys) which may be similar.
+def lists(sketches: DataFrame) -> DataFrame:
+    """(key, node): lists of two nodes or more of `sketches` (node, fp, keys) which may be similar.
 
-    Each list of a band is a star around its smallest node; so is each fingerprint, and the byte
-    index of SimHash joins the fingerprints.
+    A key stands for a band, or for the fingerprints that the byte index of SimHash connects. Of lists
+    with the same members one is left.
     """
-    entries = sketches.select("node", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = entries.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     texts = sketches.where(F.size("keys") > 0)
-    prints = stage(texts.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprint-hubs")
-    equal = texts.join(prints, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    close = simhash.links(prints)
-    left, right = (prints.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}")) for c in "ab")
-    close = close.join(left, "a").join(right, "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
-    return bands.unionByName(equal).unionByName(close).where("a <> b")
+    prints = stage(texts.select("fp").distinct(), "fingerprints")
+    close = components(simhash.links(prints)).select(F.col("node").alias("fp"), "component")
+    by_print = texts.select("node", "fp").join(close, "fp", "left").select(F.coalesce("component", "fp").alias("key"), "node")
+    entries = by_print.unionByName(sketches.select(F.explode("keys").alias("key"), "node")).distinct()
+    # the members in two independent hashes, so that a list is only left out for an equal one
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    keys = keys.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    return entries.join(keys, "key")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the nodes of `texts` (node, component, text) wherever LEAST allows.
-
-    The texts of a component are compared whole, block against block; a block pair returns
-    only a spanning forest.
-    """
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, sh): the shingles of every row of `texts` (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [shingle_set(simhash.split_words(t)).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=["node", "component", "sh"]
-            )
+            made = [shingle_set(simhash.split_words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "sh"])
+
+    return texts.mapInArrow(run, "node long, sh array<long>")
+
 
-    made = stage(texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, sh array<long>"), "sets")
+def _compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) found in the groups of `members` (key, lo, hi, node, first), each of bounded size."""
     groups = (
-        crowded(made, ["component"], "node", BLOCK).groupBy("component", "lo", "hi")
+        members.join(sets, "node").groupBy("key", "lo", "hi")
         .agg(F.collect_list(F.struct("node", "first", "sh")).alias("members"))
         .where(F.size("members") > 1)
         .select((F.col("lo") == F.col("hi")).alias("same"), F.col("members.node").alias("node"),
@@ -155,6 +153,81 @@ def links(texts: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def stars(open_lists: DataFrame, turn: int) -> DataFrame:
+    """Every member of a list against one node of it, the hub, which stands in each block of members.
+
+    `open_lists` has key, node and `rest`, true for nodes outside the largest connected part of
+    their list: the hub is one of them. A pair that several lists propose is compared once.
+    """
+    order = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
+    hubs = open_lists.where("rest").groupBy("key").agg(F.min(order)["node"].alias("hub"))
+    pairs = open_lists.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spokes = pairs.join(sizes, "hub").select(
+        F.col("hub").alias("key"), F.lit(-1).alias("lo"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("hi"),
+        "node", F.lit(False).alias("first"),
+    )
+    centres = sizes.select(
+        F.col("hub").alias("key"), F.lit(-1).alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"),
+        F.col("hub").alias("node"), F.lit(True).alias("first"),
+    )
+    return spokes.unionByName(centres)
+
+
+def across(open_lists: DataFrame) -> DataFrame:
+    """Members of open lists dealt into pairs of blocks: those outside the largest connected part against all.
+
+    Two nodes of that part are connected already and need no comparison, so a list of n nodes of which r lie outside
+    makes n * ceil(r / BLOCK) + r * ceil(n / BLOCK) rows at most.
+    """
+    sizes = open_lists.groupBy("key").agg(
+        F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).cast("int").alias("outside"),
+        F.ceil(F.sum((~F.col("rest")).cast("int")) / BLOCK).cast("int").alias("inside"),
+    )
+    rest, mixed = F.col("rest"), F.xxhash64("node")
+    mine = F.when(rest, F.pmod(mixed, F.col("outside"))).otherwise(F.col("outside") + F.pmod(mixed, F.greatest("inside", F.lit(1))))
+    last = F.when(rest, F.col("outside") + F.col("inside")).otherwise(F.col("outside")) - 1
+    return (
+        open_lists.join(sizes, "key").withColumn("mine", mine.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node",
+                (F.col("mine") <= F.col("other")).alias("first"))
+    )
+
+
+def _open(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(key, node, rest) of the lists that `parts` (node, component) does not connect yet."""
+    named = entries.withColumn("part", F.col("node"))
+    if parts is not None:
+        named = entries.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    counted = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("key").agg(
+        F.max(F.struct("n", "part"))["part"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
+    )
+    # the first star of a list of two has compared it whole
+    still = largest.where(F.col("parts") > 1).where(F.col("n") > (1 if parts is None else 2)).drop("n")
+    return named.join(still, "key").select("key", "node", (F.col("part") != F.col("largest")).alias("rest"))
+
+
+def connected(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component): what the links of LEAST or more among the nodes of a list connect.
+
+    `entries` are lists (key, node), `texts` (node, text). First STARS rounds compare each list with one of its nodes, which
+    connects most lists whole at a cost that grows with their length; then the nodes that are still outside the largest part of their
+    list are compared with all of it, in pairs of blocks, so no link between two parts is left out.
+    """
+    sets = stage(_sets(texts.join(entries.select("node").distinct().hint("merge"), "node")), "sets")
+    edges = parts = None
+    for turn in range(STARS + 1):
+        left = stage(_open(entries, parts), "open-lists")
+        if left.isEmpty():
+            break
+        found = stage(_compared(stars(left, turn) if turn < STARS else across(left), sets), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        parts = components(edges)
+    return sets.select("node", F.col("node").alias("component")).limit(0) if parts is None else parts
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar texts, the one with the smallest id, all columns.
 
@@ -165,20 +238,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id are kept only in groups that consist of them (one row stays); an empty table gives an
     empty result.
     """
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    sketches = stage(_sketches(numbered, text_col), "sketches")
-    ids = numbered.select("__row", F.col(id_col).alias("__id"))
-    best = F.min(F.struct(F.col("__id").isNull().alias("missing"), F.col("__id"), F.col("__row")))
-    classes = sketches.select("__row", "digest").join(ids, "__row").groupBy("digest").agg(best.alias("best"))
-    classes = stage(classes.select(F.col("best.__row").alias("node"), "best"), "classes")
+    row = unused(docs, "row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    texts = numbered.select(F.col(row).alias("node"), F.col(text_col).cast("string").alias("text"))
+    sketches = stage(_sketches(texts), "sketches")
+    ids = numbered.select(F.col(row).alias("node"), F.col(id_col).alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("node")))
+    classes = sketches.select("node", "digest").join(ids, "node").groupBy("digest").agg(best.alias("best"))
+    classes = stage(classes.select(F.col("best.node").alias("node"), "best"), "classes")
     # most rows stay, so these grow with the documents: merged at every size, never broadcast
-    nodes = sketches.withColumnRenamed("__row", "node").join(classes.select("node").hint("merge"), "node", "left_semi")
-    near = components(candidates(stage(nodes, "nodes")))
-    texts = numbered.select(F.col("__row").alias("node"), F.col(text_col).cast("string").alias("text"))
-    found = components(links(texts.join(near.hint("merge"), "node"))).select("node", F.col("component").alias("group"))
+    nodes = stage(sketches.join(classes.select("node").hint("merge"), "node", "left_semi"), "nodes")
+    found = connected(stage(lists(nodes), "lists"), texts).select("node", F.col("component").alias("group"))
     kept = (
         classes.join(found, "node", "left")
         .groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("best").alias("best"))
-        .select(F.col("best.__row").alias("__row"))
+        .select(F.col("best.node").alias(row))
     )
-    return numbered.join(stage(kept, "kept").hint("merge"), "__row", "left_semi").drop("__row")
+    return numbered.join(stage(kept, "kept").hint("merge"), row, "left_semi").drop(row)

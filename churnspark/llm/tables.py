@@ -50,3 +50,11 @@ def quoted(columns: list[str]) -> list[str]:
 def place(frame: DataFrame, column: str, *replaced: str) -> int:
     """Where `column` is once the `replaced` columns are gone."""
     return frame.drop(*replaced).columns.index(column)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
