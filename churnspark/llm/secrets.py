@@ -22,6 +22,7 @@ class Rule:
     probe: str  # cheaper pattern that every text with a match contains
     group: int = 0
     least: int = 1
+    sql: str = ""  # the same pattern for engines without possessive loops, if it needs another form
 
     @property
     def name(self) -> str:
@@ -40,18 +41,25 @@ BASE = (
     Rule("hex", 1, r"[0-9a-f]{24,}", r"[0-9a-f]{24}"),
 )
 _64 = "[A-Za-z0-9+/]"
-_GAP = r"""[ \t\r\n\\"'>,]+"""
+_GAP = r"""[ \t\r\n\\"'>,]"""
+_HEAD = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_FIELD = "n?(?:Proc-Type|DEK-Info): ?[A-Z0-9a-f,-]*[A-Z0-9a-f-]"
+_LAST = rf"(?:[\r\n]+[ \t>]*{_64}{{1,23}}=?=?[ \t]*(?:[\r\n]|\z))?"
 #: A key with its heading: up to the END line before any other heading, whatever stands between; without
-#: one, header fields and the lines of base64 that follow, the last however short. Counted loops, since
-#: Java's expressions recurse on each turn: the largest keys in use (RSA, 16,384 bits) have 195 lines.
+#: one, header fields and the lines of base64 that follow, the last however short. However many
+#: lines there are: Java walks possessive loops without recursion, and no turn is ever taken back here.
 _KEY = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:--?-?-?[^-]+){0,256}-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?:{_GAP}n?(?:Proc-Type|DEK-Info): ?[A-Z0-9a-f,-]+){{0,2}}"
-    rf"(?:{_GAP}{_64 * 24}{_64}*=?=?){{0,256}}(?:[\r\n]+[ \t>]*{_64}{{1,23}}=?=?[ \t]*(?:[\r\n]|\z))?)"
+    rf"{_HEAD}(?:[^-]*+(?:-{{1,4}}+(?!-)[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}++{_FIELD})*+(?:{_GAP}++{_64}{{24,}}+=?+=?+)*+{_LAST})"
+)
+#: Said again with plain loops, for SQL engines whose loops never recurse.
+_KEY_SQL = (
+    rf"{_HEAD}(?:[^-]*(?:--?-?-?[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}+{_FIELD})*(?:{_GAP}+{_64 * 24}{_64}*=?=?)*{_LAST})"
 )
 #: Kinds beyond the base ones, whose formats are unmistakable.
 MORE = (
-    Rule("key_block", 2, _KEY, r"PRIVATE KEY-----"),
+    Rule("key_block", 3, _KEY, r"PRIVATE KEY-----", sql=_KEY_SQL),
     Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10}"),
     Rule("host_token", 1, r"(?:gh[opsu]_|glpat-|xox[abprs]-)[A-Za-z0-9-]{20,}", r"(?:gh[opsu]_|glpat-|xox[abprs]-)"),
 )
@@ -182,7 +190,7 @@ def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[secret]") -
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for the digests of the findings of `documents`."""
     def one(rank: int, rule: Rule) -> str:
-        pattern = rule.pattern.replace("'", "''")
+        pattern = (rule.sql or rule.pattern).replace("'", "''")
         return f"""
     SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank,
            list_sum(g[1:i]) + coalesce(list_sum(w[1:i-1]), 0) AS s, list_sum(g[1:i]) + list_sum(w[1:i]) AS e

@@ -58,3 +58,12 @@ def unused(frame: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def set_aside(frame: DataFrame, *made: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with columns that are called like one in `made` renamed, and what selects the old columns again."""
+    names = list(frame.columns)
+    for k, name in enumerate(names):
+        if name.lower() in made:
+            names[k] = unused(frame.toDF(*names), f"{name.lower()}_")
+    return frame.toDF(*names), [F.col(q).alias(c) for q, c in zip(quoted(names), frame.columns)]

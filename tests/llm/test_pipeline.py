@@ -55,7 +55,11 @@ def test_stages(spark, tmp_path):
     redacted = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, str(tmp_path)).collect()}
     assert redacted[103].text.startswith("[secret]' ") and redacted[103].n_chars == len(redacted[103].text)
     assert redacted[101].text is None and redacted[4].text == rows[4][1]
+    names = ["quality_score", "leaks", "Blob", "findings", "fp", "node", "row", "__row", "ids_"]
+    clashing = docs.withColumns({n: queries.F.lit(n) for n in names})
     for _, f in corpus_pipeline.STAGES[:-1]:
+        back = f(spark, clashing, str(tmp_path))
+        assert back.columns == clashing.columns and all(r[n] == n for r in back.select(*names).collect() for n in names)
         assert f(spark, docs, str(tmp_path)).columns == docs.columns
         assert f(spark, no_docs(spark), str(tmp_path)).collect() == []
 

@@ -125,7 +125,7 @@ def test_no_part_of_a_key_is_left(spark):
     left = {r.doc_id: r.text for r in rows}
     for k, (_, want) in enumerate(KEYS):
         assert left[k] == want, k
-    assert {r.version for r in secrets.RULES if r.kind == "key_block"} == {2}
+    assert {r.version for r in secrets.RULES if r.kind == "key_block"} == {3}
 
 
 def test_keys_like_sql(spark, tmp_path):
@@ -134,3 +134,19 @@ def test_keys_like_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     run, sql = queries.QUERIES["op5_secret_scans"]
     assert oracle.compare(run(spark, str(tmp_path)), con, sql) == []
+
+
+@pytest.mark.parametrize("end", [True, False])
+def test_keys_of_any_length_go_whole(spark, end):
+    """Five thousand lines and a thousand header fields; in SQL and in Spark alike."""
+    fields = [f"Proc-Type: 4,ENCRYPTED{k}" for k in range(1000)]
+    lines = [hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(5000)]
+    text = "\n".join(["before", HEAD, *fields, *lines, *([END] if end else ["QUJD="]), "after it all"])
+    frame = spark.createDataFrame([(1, text), (2, "x " + HEAD + "-" * 3 + "a" * 40 + "--b" * 2000 + END + " y")], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan(frame)).collect()}
+    assert clean[1].replace("]", "] ").split() == ["before", "[secret]", "after", "it", "all"] and clean[2] == "x [secret] y"
+    (rule,) = (r for r in secrets.RULES if r.kind == "key_block")
+    import duckdb
+
+    (found,) = duckdb.sql("SELECT regexp_extract_all($t, $p)", params={"t": text, "p": rule.sql}).fetchall()[0]
+    assert text.replace(found[0], "[secret]") == clean[1] and len(found) == 1
