@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.llm import bpe, decontaminate, quality, secrets, similar
 from churnspark.llm.queries import WORD_BPE
-from churnspark.llm.tables import quoted, table
+from churnspark.llm.tables import quoted, set_aside, table
 from churnspark.session import stage
 
 REDACTED = "[secret]"
@@ -19,8 +19,9 @@ REDACTED = "[secret]"
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; the labels are those of the folder."""
+    docs, columns = set_aside(docs, "quality_score")
     scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("quality_score") >= quality.REJECT_BELOW).select(*quoted(docs.columns))
+    return scored.where(F.col("quality_score") >= quality.REJECT_BELOW).select(*columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +31,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    docs, columns = set_aside(docs, "leaks")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*quoted(docs.columns))
+    return found.where(F.size("leaks") == 0).select(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows the text where it changed."""
+    docs, columns = set_aside(docs, "blob", "findings")
     clean = secrets.redact(secrets.scan(docs), mark=REDACTED)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.size("findings") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         clean = clean.withColumn("n_chars", changed)
-    return clean.select(*quoted(docs.columns))
+    return clean.select(*columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
