@@ -158,6 +158,8 @@ class Finding:
 
 # Names of the checks and what they tell. Of the findings of one check the first that holds counts.
 FINDINGS = [
+    Finding("File Structure", "malformed > 0", "warning", "malformed", "{malformed:,} malformed lines",
+            "{malformed:,} lines have too few or too many fields or an open quote; lines with too many fields or an open quote are left out."),
     Finding("Sample Size", f"training AND rows < {MIN_TRAIN_ROWS}", "fail", "rows", "{rows} rows, {least} are needed",
             "Insufficient data: {rows} rows, training needs {least}."),
     Finding("Sample Size", f"rows < {SMALL_ROWS}", "warning", "rows", "{rows} rows, a small sample", "Small sample of {rows} rows."),
@@ -197,13 +199,16 @@ FINDINGS = [
 ]
 
 
-def validate(df: DataFrame, filename: str = "", training: bool = True, prof: TableProfile | None = None) -> ValidationReport:
-    """Hold the facts of an extract against FINDINGS; a failure makes it unusable, a warning does not."""
+def validate(df: DataFrame, filename: str = "", training: bool = True, prof: TableProfile | None = None, malformed: int = 0) -> ValidationReport:
+    """Hold the facts of an extract against FINDINGS; a failure makes it unusable, a warning does not.
+
+    `malformed` lines of the file are reported if there are any.
+    """
     df = df.toDF(*[c.strip() for c in df.columns])
     if not df.columns or df.isEmpty():
         return ValidationReport("error", ["The file has no data rows."], [], [("File Content", "fail", 0.0, "No rows")])
     prof = prof or profile(df, filename, scoring_only=not training)
-    known = facts(df, prof, training)
+    known = facts(df, prof, training) | {"malformed": malformed}
     table = df.sparkSession.createDataFrame([tuple(known.values())], ", ".join(f"{k} {_SQL_TYPES[k]}" for k in known))
     holds = table.select(*[F.expr(f.when).alias(f"f{k}") for k, f in enumerate(FINDINGS)]).first()
     first: dict[str, Finding] = {}
@@ -222,4 +227,4 @@ def validate(df: DataFrame, filename: str = "", training: bool = True, prof: Tab
 _TEXTS = ("target", "id", "columns", "heavy", "wide", "constant", "leaks", "mirrors")
 _SQL_TYPES = dict.fromkeys(_TEXTS, "string") | {"training": "boolean", "labelled": "boolean", "rate": "double"} | dict.fromkeys(
     ("rows", "churned", "retained", "classes", "unread", "copies", "features", "numeric", "categorical", "gaps",
-     "n_heavy", "n_wide", "n_constant", "n_leaks", "n_mirrors"), "bigint")
+     "n_heavy", "n_wide", "n_constant", "n_leaks", "n_mirrors", "malformed"), "bigint")

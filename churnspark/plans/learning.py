@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
-from churnspark.operators import evaluate, explain, features, report, score, split, train
+from churnspark.operators import evaluate, explain, features, levels, report, score, split, train
 from churnspark.plans.books_sql import F1, sql, stacked
 from churnspark.plans.diagnostics import BOOK_PROFILE
 from churnspark.sources import books
@@ -111,6 +111,33 @@ MODES = "m AS (SELECT " + ", ".join(
 ) + ")"
 
 
+LEVELS = ["account_id", *CATS]
+
+
+def level_dictionary(spark, sf):
+    """All levels of the texts and of the account numbers, with their index: as many as the book has rows."""
+    return levels.dictionary(books.accounts(spark, sf).select(*LEVELS), LEVELS)
+
+
+def one_hot_slots(spark, sf):
+    """The one-hot row of every account, account numbers included, as slots."""
+    rows = books.accounts(spark, sf).select(*LEVELS)
+    found = levels.dictionary(rows, LEVELS)
+    first = levels.offsets(found, LEVELS)
+    return levels.attach(rows, found, LEVELS).select("account_id", F.concat_ws(",", levels.slots(first)).alias("slots"))
+
+
+LEVEL_SQL = f"""long AS ({stacked(LEVELS, 'f1')}),
+levels AS (SELECT "column", value, count(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS index
+    FROM long WHERE value IS NOT NULL GROUP BY 1, 2)"""
+SLOT_SQL = "SELECT account_id, concat_ws(',', " + ", ".join(
+    f"cast((SELECT count(*) FROM levels WHERE \"column\" IN ({', '.join(repr(x) for x in ['', *LEVELS[:i]])})) + l{i}.index AS varchar)"
+    for i in range(len(LEVELS))
+) + ") AS slots FROM f1" + "".join(
+    f" LEFT JOIN levels l{i} ON l{i}.\"column\" = '{c}' AND l{i}.value = cast(f1.{c} AS varchar)" for i, c in enumerate(LEVELS)
+)
+
+
 # --- models ----------------------------------------------------------------------------------------
 
 
@@ -229,6 +256,8 @@ QUERIES = {
     "one_hot_totals": (one_hot_totals, sql(
         f"""SELECT cast({len(NUMS)} - 1 + row_number() OVER (ORDER BY CASE "column" {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CATS))} END, value) AS int) AS slot, rows FROM per""",
         F1, f"long AS ({stacked(CATS, 'book')})", ONE_HOT)),
+    "level_dictionary": (level_dictionary, sql('SELECT "column", value, n, index FROM levels', F1, LEVEL_SQL)),
+    "one_hot_slots": (one_hot_slots, sql(SLOT_SQL, F1, LEVEL_SQL)),
     "training_facts": (training_facts, sql(FACTS, F1, SIZES)),
     "train_champion": (train_champion, None),
     "score_book": (score_book, None),

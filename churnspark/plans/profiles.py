@@ -190,6 +190,33 @@ def parquet_roundtrip(spark, sf):
     return files.read_parquet(spark, path)
 
 
+MALFORMED = ["account_id", "Contract", "Region"]
+
+
+def csv_malformed(spark, sf):
+    """The book as CSV lines, some cut, some with a field too many, some with an open quote: rows and what is wrong with them."""
+    rows = books.accounts(spark, sf).select(*MALFORMED).na.fill("", MALFORMED[1:])
+    whole = F.concat_ws(",", *MALFORMED)
+    line = (
+        F.when(F.expr("account_id % 7 = 1"), F.concat(whole, F.lit(",one more")))
+        .when(F.expr("account_id % 7 = 2"), F.concat_ws(",", "account_id", "Contract"))
+        .when(F.expr("account_id % 7 = 3"), F.concat(F.col("account_id"), F.lit(',"'), F.concat_ws(",", "Contract", "Region")))
+        .when(F.expr("account_id % 7 = 4"), F.concat(F.col("account_id"), F.lit(',"a ""b"", c",'), "Region"))
+        .otherwise(whole)
+    )
+    path = f"{shared_folder(spark)}/csv-lines-{uuid.uuid4().hex}"
+    rows.select(line.alias("line")).write.text(path)
+    found, mark = files.read_csv_checked(spark, path, MALFORMED)
+    sound = F.coalesce(F.col(mark), F.lit("short")) == "short"
+    return found.select("account_id", *[F.when(sound, F.col(c)).alias(c) for c in MALFORMED[1:]], F.col(mark).alias("malformed"))
+
+
+CSV_MALFORMED = """SELECT cast(account_id AS varchar) AS account_id,
+    CASE WHEN account_id % 7 IN (1, 3) THEN NULL WHEN account_id % 7 = 4 THEN 'a "b", c' ELSE Contract END AS Contract,
+    CASE WHEN account_id % 7 IN (1, 2, 3) THEN NULL ELSE Region END AS Region,
+    CASE account_id % 7 WHEN 1 THEN 'long' WHEN 2 THEN 'short' WHEN 3 THEN 'quote' END AS malformed FROM f1"""
+
+
 # --- inference and validation --------------------------------------------------------------------
 
 
@@ -321,6 +348,7 @@ QUERIES = {
         "SELECT cast(tenure AS double) AS tenure, MonthlyCharges, Contract, Region, _y FROM book")),
     "rich_currency": (rich_currency, sql(CURRENCY, F3)),
     "csv_roundtrip": (csv_roundtrip, sql(CSV_BACK, F3)),
+    "csv_malformed": (csv_malformed, sql(CSV_MALFORMED)),
     "parquet_roundtrip": (parquet_roundtrip, sql("SELECT * FROM f1")),
     "numeric_parse_ratio": (numeric_parse_ratio, _ratio_sql()),
     "distinct_profile": (distinct_profile, sql(DISTINCT, F3, f"long AS ({stacked(DIRTY, 'dirty')})")),

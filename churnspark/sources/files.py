@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from churnspark.functions.text import named
+from churnspark.session import stage
 
 # Cell texts read as missing.
 NA_TOKENS = [
@@ -44,13 +45,43 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = F
     return raw.select([F.when(~named(c).isin(NA_TOKENS), named(c)).alias(c) for c in raw.columns])
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str] | None = None,
+) -> tuple[DataFrame, str]:
+    """The rows of read_csv and the name of a further column that says what is wrong with a row.
+
+    `short`: fewer fields than columns, the rest is null; `long`: more fields; `quote`: a quote that is not closed in
+    its line. Null: as it should be. The cells of long and quote rows may stand in the wrong columns. With `names` the files have no
+    header. Parsed once and written to the shared folder, so any columns may be read from the result.
+    """
+    reader = spark.read.option("header", names is None).option("quote", '"').option("escape", '"')
+    names = list(names) if names is not None else reader.csv(path).columns
+    mark = "malformed"
+    while mark in {c.strip().lower() for c in names}:
+        mark += "_"
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*names, mark]])
+    raw = reader.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark).csv(path)
+    bare = F.regexp_replace(named(mark), '"[^"]*"', "")  # a doubled quote is two quoted stretches in a row
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    kind = (
+        F.when(named(mark).isNull(), F.lit(None)).when(bare.contains('"'), "quote")
+        .when(count > len(names), "long").when(count < len(names), "short")
+    )
+    cells = [F.when(~named(c).isin(NA_TOKENS), named(c)).alias(c.strip()) for c in names]
+    return stage(raw.select(*cells, kind.alias(mark)), "csv"), mark
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return strip_names(spark.read.parquet(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV when the path says so, Parquet otherwise."""
-    return read_csv(spark, path) if path.lower().rstrip("/").endswith((".csv", ".csv.gz")) else read_parquet(spark, path)
+    return read_csv(spark, path) if is_csv(path) else read_parquet(spark, path)
+
+
+def is_csv(path: str) -> bool:
+    return path.lower().rstrip("/").endswith((".csv", ".csv.gz"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -32,7 +32,7 @@ from churnspark.operators.clean import clean
 from churnspark.operators.profile import TableProfile, category_fields, numeric_fields, preview
 from churnspark.operators.validate import validate
 from churnspark.session import stage, tune
-from churnspark.sources.files import read_table, require_rows, strip_names, write_csv
+from churnspark.sources.files import is_csv, read_csv_checked, read_table, require_rows, strip_names, write_csv
 
 
 # Names of the audited actions.
@@ -130,14 +130,18 @@ class Workspace:
     # --- ingest -------------------------------------------------------------------------
 
     def ingest(self, source: DataFrame | str, filename: str = "") -> dict:
-        """Validate, clean and store an extract under a new run."""
+        """Validate, clean and store an extract under a new run.
+
+        Lines of a CSV file with too many fields or an open quote are left out, lines with too few are filled with
+        nulls; the validation counts both.
+        """
+        malformed = 0
         if isinstance(source, str):
             filename = filename or source.rstrip("/").rsplit("/", 1)[-1]
-            source = read_table(self.spark, source)
-            if source.columns:  # parsed once; profile, checks and cleaning then read the columns they need
-                source = stage(source, "upload")
+            # parsed once; profile, checks and cleaning then read the columns they need
+            source, malformed = self._uploaded(source)
         df = require_rows(strip_names(source))
-        checked = validate(df, filename)
+        checked = validate(df, filename, malformed=malformed)
         if not checked.is_valid:
             raise ValueError("; ".join(checked.errors))
         prof = checked.profile
@@ -154,6 +158,17 @@ class Workspace:
         with self.one_run():
             return {"run_id": run, "validation": checked.to_dict(), "kpis": self.overview().first().asDict()}
 
+    def _uploaded(self, path: str) -> tuple[DataFrame, int]:
+        """The rows of a file, parsed and written once, and the number of its malformed lines."""
+        if not is_csv(path):
+            found = read_table(self.spark, path)
+            return (stage(found, "upload") if found.columns else found), 0
+        if not (plain := read_table(self.spark, path)).columns:
+            return plain, 0
+        found, mark = read_csv_checked(self.spark, path)
+        malformed = found.where(F.col(mark).isNotNull()).count()
+        return found.where(F.coalesce(F.col(mark), F.lit("short")) == "short").drop(mark), malformed
+
     def extract(self) -> DataFrame:
         return self.spark.read.parquet(self._path("extract"))
 
