@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnspark.functions.stats import correlation
 from churnspark.functions.text import clean_number, is_missing, named, norm_name, strip
+from churnspark.operators.moments import pair_moments
 from churnspark.operators.summary import frequencies, long_text, numeric_summary, text_summary
 
 # Column names read as the outcome (compared after norm_name).
@@ -324,17 +324,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair, pairwise complete rows, one pass."""
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
-    numbers = df.select(*[F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")).alias(at[c]) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = numbers.agg(*[correlation(F.col(at[a]), F.col(at[b])).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    index = {pair: i for i, pair in enumerate(pairs)}
-    rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{index.get((a, b), index.get((b, a)))}").alias("r"))
-        for a in columns for b in columns
-    ]
-    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    """(a, b, r) for every pair over its complete rows, null when a side does not vary; one pass, see pair_moments."""
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    names = F.array(*[F.lit(c) for c in columns])
+    found = pair_moments(df, columns).select("i", "j", F.try_divide("xy", spread).alias("r"))
+    both = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    once = F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)
+    return found.select("r", F.explode(once).alias("x")).select(
+        F.get(names, F.col("x.a")).alias("a"), F.get(names, F.col("x.b")).alias("b"), "r"
+    )
 
 
 def five_numbers(df: DataFrame, columns: Sequence[str], label: str, rounds: int | None = None) -> DataFrame:
