@@ -50,12 +50,11 @@ def learn(df: DataFrame, n_numeric: int, n_categorical: int, max_levels: int = M
     """Medians, moments, modes and levels of the x_ columns."""
     median, mean, std = [0.0] * n_numeric, [0.0] * n_numeric, [1.0] * n_numeric
     if n_numeric:
-        total = df.count()
         found = numeric_summary(df, [f"x_n{i}" for i in range(n_numeric)], [0.5]).select(
-            "column", "count", "mean", "std_pop", F.get("quantiles", F.lit(0)).alias("median")
+            "column", "rows", "count", "mean", "std_pop", F.get("quantiles", F.lit(0)).alias("median")
         )
         for r in found.collect():
-            i, n = int(r["column"][3:]), r["count"]
+            i, n, total = int(r["column"][3:]), r["count"], r["rows"]
             # moments after filling the gaps with the median, from the moments before
             mu = (n * r["mean"] + (total - n) * r["median"]) / total
             var = (n * (r["std_pop"] ** 2 + (r["mean"] - mu) ** 2) + (total - n) * (r["median"] - mu) ** 2) / total

@@ -7,10 +7,15 @@ inside the narrow bracket are then counted exactly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnspark.functions.text import named
 from churnspark.session import stage
@@ -30,6 +35,21 @@ def long_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return wide.unpivot([named(k) for k in keep], [named(c) for c in columns], "column", "value")
 
 
+@dataclass(frozen=True)
+class Numbers:
+    """The columns of a summary as they stand: the label first, if there is one, then v0, v1, …"""
+
+    frame: DataFrame
+    columns: list[str]
+    label: str | None
+
+
+def numbers_of(df: DataFrame, columns: Sequence[str], label: str | None = None) -> Numbers:
+    """Doubles, with NaN as null; other columns are left behind."""
+    cells = [F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
+    return Numbers(df.select(*([named(label).alias("label")] if label else []), *cells), list(columns), label)
+
+
 def numeric_summary(
     df: DataFrame,
     columns: Sequence[str],
@@ -38,35 +58,36 @@ def numeric_summary(
     accuracy: int = 10_000,
     rounds: int | None = None,
 ) -> DataFrame:
-    """Per ([label], column): count, mean, std, std_pop, min, max, quantiles (array, one per prob).
+    """Per ([label], column): rows, count, mean, std, std_pop, min, max, quantiles (array, one per prob).
 
-    Quantiles interpolate linearly between neighbours, as `percentile` does.
+    Quantiles interpolate linearly between neighbours, as `percentile` does; rows counts gaps too.
 
-    Pass 1 sketches the ranks `prob ± 2/accuracy`; the last pass counts the values
-    between the two sketched bounds and lumps everything below and above into one row
-    each, so about 4/accuracy of the values are shuffled. Every further round is one
+    Two passes over the columns as they stand, however many there are. Pass 1 sketches the ranks `prob ± 2/accuracy`
+    of every column in one aggregate. The second counts the values between the two sketched bounds and lumps
+    everything below and above into one entry per task, so about 4/accuracy of the values are shuffled. Every further round is one
     more pass that narrows the brackets about 150 times, for columns so long that
     4/accuracy of them is still too much for one task; without `rounds` their number follows
     from the longest column's count, which the sketch pass returns. Should a sketch miss its
-    rank, its bracket is widened and counted again. The bracket table is broadcast; it has columns × probs rows, twice that with the 0/1 label, whatever
-    the data size.
+    rank, its bracket is widened and counted again. The driver and the tasks hold the bracket table:
+    columns × probs rows, twice that with the 0/1 label, whatever the data size.
     """
-    by = [label] if label else []
-    keys = [*by, "column"]
-    values = long_numeric(df, columns, by)
+    keys = [*([label] if label else []), "column"]
+    numbers = numbers_of(df, columns, label)
     margin = 2.0 / accuracy
     wanted = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     n_probs = len(probs)
-    stats = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.stddev_pop("value").alias("std_pop"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", wanted, accuracy).alias("bounds"),
-    )
-    stats = stage(stats, "sketches")  # columns x labels rows, used three times below
+    figures = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(v).alias("count"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.percentile_approx(v, wanted, accuracy).alias("bounds"),
+        ).alias(f"s{i}")
+        for i, (c, v) in enumerate((c, f"v{i}") for i, c in enumerate(numbers.columns))
+    ]
+    wide = numbers.frame.groupBy(*(["label"] if label else [])).agg(*figures)
+    each = F.explode(F.array(*[f"s{i}" for i in range(len(figures))])).alias("s")
+    stats = wide.select(*([F.col("label").alias(label)] if label else []), each).select(*map(named, keys[:-1]), "s.*")
+    stats = stage(stats.where(F.col("count") > 0), "sketches")  # columns x labels rows, used three times below
     if rounds is None:
         rounds = rounds_for(stats.agg(F.max("count").alias("n")).first()["n"] or 0, accuracy)
     bracket = F.transform(
@@ -78,34 +99,90 @@ def numeric_summary(
             F.get(F.col("bounds"), s["i"] + n_probs).alias("high"),
         ),
     )
-    brackets = stats.select(*keys, F.explode(bracket).alias("b")).select(*keys, "b.*")
+    brackets = stats.select(*map(named, keys), F.explode(bracket).alias("b")).select(*map(named, keys), "b.*")
+    values = long_numeric(df, columns, keys[:-1])
     for _ in range(rounds - 1):
         brackets = _narrowed(values, brackets, keys, accuracy)
-    picked = stage(_picked(values, brackets, keys), "ranks")
+    picked = stage(_picked(numbers, brackets, keys), "ranks")
     slack = 3
     while not (missed := picked.where("lower IS NULL OR upper IS NULL")).isEmpty():
         # a sketch missed its rank: bracket anew from the whole range, with ever more room
         slack *= 4
-        whole = missed.join(stats, keys).select(*keys, "i", "rank", F.col("min").alias("low"), F.col("max").alias("high"))
-        again = _picked(values, _narrowed(values, whole, keys, accuracy, slack), keys)
+        whole = missed.join(stats, keys).select(*map(named, keys), "i", "rank", F.col("min").alias("low"), F.col("max").alias("high"))
+        again = _picked(numbers, _narrowed(values, whole, keys, accuracy, slack), keys)
         picked = stage(picked.where("lower IS NOT NULL AND upper IS NOT NULL").unionByName(again), "ranks")
     quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("rank") - F.floor("rank"))
-    quantiles = picked.groupBy(*keys).agg(
+    quantiles = picked.groupBy(*map(named, keys)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", quantile.alias("q")))), lambda s: s["q"]).alias("quantiles")
     )
     return stats.drop("bounds").join(F.broadcast(quantiles), keys)
 
 
-def _picked(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _counter(brackets: Sequence[tuple], labelled: bool):
+    """For mapInArrow: values inside each bracket with their counts, and per task one entry for all
+    below and one for all above. A bracket is (number, label, place of the column, low, high)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[tuple[int, int], tuple] = {}
+
+        def lump(bracket: int, side: int, found: np.ndarray) -> None:
+            if len(found):
+                n, first, last = ends.get((bracket, side), (0, np.inf, -np.inf))
+                ends[bracket, side] = (n + len(found), min(first, found.min()), max(last, found.max()))
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part, kind) for part, kind in zip(zip(*rows), _COUNTED.values())], names=list(_COUNTED)
+            )
+
+        for batch in batches:
+            cells: dict[tuple, np.ndarray] = {}
+            out = []
+            for number, label, place, low, high in brackets:
+                if (label, place) not in cells:
+                    column = batch.column(place + labelled)
+                    if labelled:
+                        column = column.filter(pc.equal(batch.column(0), pa.scalar(label, batch.column(0).type)))
+                    cells[label, place] = column.drop_null().to_numpy(zero_copy_only=False)
+                found = cells[label, place]
+                below, above = found < low, found > high
+                lump(number, -1, found[below])
+                lump(number, 1, found[above])
+                for value, n in zip(*map(np.ndarray.tolist, np.unique(found[~below & ~above], return_counts=True))):
+                    out.append((number, 0, value, n, value, value))
+            if out:
+                yield sent(out)
+        if ends:
+            yield sent([(number, side, None, *entry) for (number, side), entry in ends.items()])
+
+    return run
+
+
+_COUNTED = {
+    "number": pa.int32(), "side": pa.int32(), "inside": pa.float64(), "n": pa.int64(), "first": pa.float64(), "last": pa.float64(),
+}
+
+
+def _picked(numbers: Numbers, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, i, rank, lower, upper): the values at the ranks around each wanted rank, null where the bracket missed."""
-    side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
+    spark = numbers.frame.sparkSession
+    found = [r for r in brackets.collect() if not numbers.label or r[0] is not None]
+    places = {c: k for k, c in enumerate(numbers.columns)}
+    wanted = [
+        (number, r[0] if numbers.label else None, places[r["column"]], r["low"], r["high"]) for number, r in enumerate(found)
+    ]
+    kind = brackets.select(*map(named, keys), "i", "rank").schema
+    ranks = spark.createDataFrame([(number, *(r[f] for f in kind.names)) for number, r in enumerate(found)], T.StructType(
+        [T.StructField("number", T.IntegerType()), *kind.fields]
+    ))
     counted = (
-        values.join(F.broadcast(brackets), keys)
-        .select(*keys, "i", "rank", "value", side.alias("side"))
-        .groupBy(*keys, "i", "rank", "side", F.when(F.col("side") == 0, F.col("value")).alias("inside"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
+        numbers.frame.mapInArrow(
+            _counter(wanted, bool(numbers.label)), "number int, side int, inside double, n bigint, first double, last double"
+        )
+        .groupBy("number", "side", "inside").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .join(F.broadcast(ranks), "number")
     )
-    in_order = Window.partitionBy(*keys, "i").orderBy("side", "inside")
+    in_order = Window.partitionBy("number").orderBy("side", "inside")
     placed = counted.withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
 
     def at(rank: Column) -> Column:
@@ -118,7 +195,7 @@ def _picked(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> Data
         )
         return F.max(F.when(hit, value))
 
-    return placed.groupBy(*keys, "i", "rank").agg(at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper"))
+    return placed.groupBy(*map(named, keys), "i", "rank").agg(at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper"))
 
 
 def rounds_for(rows: int, accuracy: int = 10_000, per_task: int = 5_000_000) -> int:

@@ -79,3 +79,34 @@ def test_sketch_work_is_bounded(spark, monkeypatch):
     plans.append(numeric_summary(df, ["x"], [0.5])._jdf.queryExecution().toString())
     assert not any("percentile(" in p or "collect_set(" in p for p in plans)
     assert any("percentile_approx" in p for p in plans)
+
+
+def test_two_scans_for_any_number_of_columns(spark, monkeypatch):
+    """One sketch aggregate and one counting pass read the columns as they stand: no unpivot, no join of the rows."""
+    from churnspark.operators import summary
+
+    plans, write = [], summary.stage
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(summary, "stage", noted)
+    names = [f"n.{k}" for k in range(40)]
+    df = spark.range(2_000).select(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(997)).cast("double").alias(n) for k, n in enumerate(names)])
+    rows = {r["column"]: r for r in numeric_summary(df, names, PROBS).collect()}
+    right = df.toPandas().quantile(PROBS)
+    for n in names:
+        np.testing.assert_allclose(rows[n]["quantiles"], right[n].to_numpy(), rtol=1e-12)
+        assert rows[n]["rows"] == rows[n]["count"] == 2_000
+    over_data = [p for p in plans if "Range (" in p]
+    assert len(over_data) == len(plans) == 2 and not any("Expand" in p for p in plans)
+
+
+def test_text_labels_and_empty_columns(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, None), ("b", 2.0, None), ("b", 4.0, None), (None, 9.0, None)], "group string, x double, gone double"
+    )
+    rows = {(r["group"], r["column"]): r["quantiles"] for r in numeric_summary(df, ["x", "gone"], [0.5], label="group").collect()}
+    assert rows == {("a", "x"): [1.0], ("b", "x"): [3.0]}
+    assert numeric_summary(df.where("false"), ["x"], [0.5]).count() == 0
