@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from churnspark.llm import recurrent
-from churnspark.llm.blocks import Block, parse
+from churnspark.llm.blocks import Block, Element, parse
 from churnspark.llm.layouts import MAIN, Layouts
 from churnspark.llm.tables import add_columns, place, slices
 
@@ -29,7 +29,11 @@ SEED = 5
 class Rows:
     """Blocks of several pages in a row: hashed names of the tag path, hashed words, and numbers."""
 
-    path: np.ndarray        # entries: row * PATH_BUCKETS + bucket
+    path: np.ndarray        # entries of the names an element adds to its path: element * PATH_BUCKETS + bucket
+    last: np.ndarray        # entries of the last two names once more: row * PATH_BUCKETS + bucket
+    above: np.ndarray       # the element above each element, elements by depth; itself at the top
+    levels: np.ndarray      # where each depth starts among the elements, and their number
+    inside: np.ndarray      # the element of each row, -1 for none
     word: np.ndarray        # entries: row * WORD_BUCKETS + bucket
     numbers: np.ndarray
     sizes: np.ndarray       # blocks of each page
@@ -49,22 +53,35 @@ def _hash(word: str) -> int:
 
 def rows_of(pages: list[list[Block]]) -> Rows:
     blocks = [b for p in pages for b in p]
-    path = [k * PATH_BUCKETS + _hash(n) % PATH_BUCKETS for k, b in enumerate(blocks) for n in dict.fromkeys(b.path)]
-    # the last names of the path once more, as such
-    path += [k * PATH_BUCKETS + _hash("last " + n) % PATH_BUCKETS for k, b in enumerate(blocks) for n in b.path[-2:]]
+    # every element once, though many blocks stand inside it
+    seen: dict[int, Element] = {}
+    for b in blocks:
+        at = b.element
+        while at and id(at) not in seen:
+            seen[id(at)] = at
+            at = at.above
+    elements = sorted(seen.values(), key=lambda e: e.depth)
+    number = {id(e): k for k, e in enumerate(elements)}
+    depths = np.array([e.depth for e in elements], np.int64)
+    path = [k * PATH_BUCKETS + _hash(n) % PATH_BUCKETS for k, e in enumerate(elements) for n in e.new]
+    last = [k * PATH_BUCKETS + _hash("last " + n) % PATH_BUCKETS for k, b in enumerate(blocks) if b.element for n in b.element.last]
     words = [b.text.split() for b in blocks]
     word = [k * WORD_BUCKETS + _hash(w) % WORD_BUCKETS for k, ws in enumerate(words) for w in dict.fromkeys(ws)]  # a repeated word says no more
     length = np.array([len(b.text) for b in blocks], np.float64)
     linked = np.array([b.linked for b in blocks], np.float64)
     return Rows(
-        np.array(path, np.int64), np.array(word, np.int64),
+        np.array(path, np.int64), np.array(last, np.int64),
+        np.array([number[id(e.above)] if e.above else k for k, e in enumerate(elements)], np.int64),
+        np.concatenate(([0], np.flatnonzero(np.diff(depths)) + 1, [len(depths)])) if elements else np.zeros(1, np.int64),
+        np.array([number[id(b.element)] if b.element else -1 for b in blocks], np.int64),
+        np.array(word, np.int64),
         np.stack([np.log1p(length) / 5, np.minimum(1, linked / np.maximum(1, length)), np.ones(len(blocks))], axis=1).reshape(-1, 3),
         np.array([len(p) for p in pages], np.int64),
     )
 
 
-def _bags(entries: np.ndarray, rows: int, buckets: int, weights: np.ndarray) -> np.ndarray:
-    """Mean of the weight rows of each block's entries, block by block without a dense table."""
+def _sums(entries: np.ndarray, rows: int, buckets: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weight rows of each row's entries, without a dense table, and their number."""
     order = np.argsort(entries // buckets, kind="stable")
     entries = entries[order]
     counts = np.bincount(entries // buckets, minlength=rows)
@@ -73,13 +90,63 @@ def _bags(entries: np.ndarray, rows: int, buckets: int, weights: np.ndarray) ->
     if len(full):
         starts = (np.cumsum(counts) - counts)[full]
         out[full] = np.add.reduceat(weights[entries % buckets], starts, axis=0)
-    return out / np.sqrt(np.maximum(1, counts))[:, None]
+    return out, counts
+
+
+def _scale(counts: np.ndarray) -> np.ndarray:
+    return 1 / np.sqrt(np.maximum(1, counts))[:, None]
+
+
+def _spread(entries: np.ndarray, buckets: int, d: np.ndarray) -> np.ndarray:
+    """Gradient of the weights from the gradient of the sums."""
+    each = d[entries // buckets]
+    return np.stack([np.bincount(entries % buckets, each[:, k], buckets) for k in range(d.shape[1])], axis=1)
 
 
-def _bag_gradient(entries: np.ndarray, rows: int, buckets: int, d: np.ndarray) -> np.ndarray:
-    counts = np.maximum(1, np.bincount(entries // buckets, minlength=rows))
-    spread = (d / np.sqrt(counts)[:, None])[entries // buckets]
-    return np.stack([np.bincount(entries % buckets, spread[:, k], buckets) for k in range(d.shape[1])], axis=1)
+def _word_bags(rows: Rows, weights: np.ndarray) -> np.ndarray:
+    sums, counts = _sums(rows.word, len(rows.numbers), WORD_BUCKETS, weights)
+    return sums * _scale(counts)
+
+
+def _word_gradient(rows: Rows, d: np.ndarray) -> np.ndarray:
+    counts = np.bincount(rows.word // WORD_BUCKETS, minlength=len(rows.numbers))
+    return _spread(rows.word, WORD_BUCKETS, d * _scale(counts))
+
+
+def _path_counts(rows: Rows, own: np.ndarray) -> np.ndarray:
+    """Distinct names on the path of each row and its last two."""
+    whole = _down(rows, own.astype(float)[:, None])[:, 0]
+    return np.where(rows.inside >= 0, whole[rows.inside] if len(whole) else 0, 0) + np.bincount(
+        rows.last // PATH_BUCKETS, minlength=len(rows.numbers)
+    )
+
+
+def _down(rows: Rows, own: np.ndarray) -> np.ndarray:
+    """Of each element, the sum over itself and all above it: one step per depth, whatever stands inside."""
+    total = own.copy()
+    for at, end in zip(rows.levels[1:-1], rows.levels[2:]):
+        total[at:end] += total[rows.above[at:end]]
+    return total
+
+
+def _path_bags(rows: Rows, weights: np.ndarray) -> np.ndarray:
+    """Sum of the distinct names of each row's path and of the last two once more, over the root of their number."""
+    own, added = _sums(rows.path, len(rows.above), PATH_BUCKETS, weights)
+    out, _ = _sums(rows.last, len(rows.numbers), PATH_BUCKETS, weights)
+    held = rows.inside >= 0
+    out[held] += _down(rows, own)[rows.inside[held]]
+    return out * _scale(_path_counts(rows, added))
+
+
+def _path_gradient(rows: Rows, d: np.ndarray) -> np.ndarray:
+    added = np.bincount(rows.path // PATH_BUCKETS, minlength=len(rows.above))
+    d = d * _scale(_path_counts(rows, added))
+    of_element = np.zeros((len(rows.above), d.shape[1]))
+    held = rows.inside >= 0
+    np.add.at(of_element, rows.inside[held], d[held])
+    for at, end in reversed(list(zip(rows.levels[1:-1], rows.levels[2:]))):
+        np.add.at(of_element, rows.above[at:end], of_element[at:end])
+    return _spread(rows.path, PATH_BUCKETS, of_element) + _spread(rows.last, PATH_BUCKETS, d)
 
 
 class Labeller:
@@ -97,9 +164,9 @@ class Labeller:
         }
 
     def chances(self, rows: Rows, keep: bool = False):
-        w, n = self.w, len(rows.numbers)
+        w = self.w
         x = np.concatenate((
-            _bags(rows.path, n, PATH_BUCKETS, w["path"]), _bags(rows.word, n, WORD_BUCKETS, w["word"]), rows.numbers), axis=1)
+            _path_bags(rows, w["path"]), _word_bags(rows, w["word"]), rows.numbers), axis=1)
         sizes = rows.sizes[rows.sizes > 0]
         ahead, behind = recurrent.steps(sizes, False), recurrent.steps(sizes, True)
         a, a_saved = recurrent.run(x, ahead, w["ax"], w["ah"], w["ab"], keep)
@@ -118,8 +185,8 @@ class Labeller:
         dxb, dbx, dbh, dbb = recurrent.gradients(x, behind, w["bx"], w["bh"], b_saved, d_top[:, width + HIDDEN:])
         dx = d_top[:, :width] + dxa + dxb
         return {
-            "path": _bag_gradient(rows.path, n, PATH_BUCKETS, dx[:, :PATH_SIZE]),
-            "word": _bag_gradient(rows.word, n, WORD_BUCKETS, dx[:, PATH_SIZE:PATH_SIZE + WORD_SIZE]),
+            "path": _path_gradient(rows, dx[:, :PATH_SIZE]),
+            "word": _word_gradient(rows, dx[:, PATH_SIZE:PATH_SIZE + WORD_SIZE]),
             "ax": dax, "ah": dah, "ab": dab, "bx": dbx, "bh": dbh, "bb": dbb, "out": top.T @ d, "bias": d.sum(axis=0),
         }
 

@@ -113,3 +113,29 @@ def test_edge_rows(spark, model):
     assert by_id[1] == by_id[2] == "" and by_id[4] == " ".join(["long text here"] * 5000)
     assert html.extract(pages.limit(0), model).collect() == []
     assert html.train(pages.limit(0)).main_text([None, ""]) == ["", ""]
+
+
+def test_deep_pages_cost_what_they_open():
+    """100,000 open elements: shared paths, one step per depth; stray and crossing end tags cost nothing."""
+    import time
+
+    start = time.perf_counter()
+    page = "".join(f"<div class='k{k}'>word <b>" for k in range(50_000)) + "</i></b>" * 50_000
+    found = parse(page)
+    rows = html.rows_of([found])
+    assert len(found) == 50_000 and len(rows.above) == 100_000 - 1
+    assert html.Labeller(1).chances(rows).shape == (50_000,)
+    assert time.perf_counter() - start < 60
+    assert found[2].path == ["div", ".k0", "b", "div", ".k1", "b", "div", ".k2", "b"]
+
+
+def test_shared_paths_sum_like_whole_paths():
+    """The bag of a block is made of the distinct names on its path and the last two once more."""
+    page = "<div class='a b'><section class=a>one<p class=c>two</section>three<a href=x><div class='d'>four</div></a></div>five"
+    found = parse(page)
+    rows = html.rows_of([found, parse("<ul><li>six<li>seven</ul>")])
+    weights = np.random.default_rng(1).normal(size=(html.PATH_BUCKETS, 3))
+    for block, bag in zip([*found, *parse("<ul><li>six<li>seven</ul>")], html._path_bags(rows, weights)):
+        names = [*dict.fromkeys(block.path), *("last " + n for n in block.path[-2:])]
+        right = sum((weights[html._hash(n) % html.PATH_BUCKETS] for n in names), np.zeros(3)) / max(1, len(names)) ** 0.5
+        np.testing.assert_allclose(bag, right, atol=1e-12)
