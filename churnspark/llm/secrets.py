@@ -107,28 +107,25 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """`docs` with `blob` (SHA-256 of the text) and `findings`, one row per row.
+def _addressed(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.drop("blob", "findings").withColumn("blob", F.unhex(F.sha2(text, 256)))
 
-    The ledger at `ledger` holds, for each blob, the rule versions it was scanned with and what
-    they found. A blob is read once, from any row that holds it, and only by the rule versions
-    it has not met; every row gets its blob's findings by a join on the address. Findings are
-    structs of start, rank of the kind, end and kind, by start and then rank. Without `ledger` a
-    fresh one is kept in the shared folder.
 
-    Blobs are gathered by a partial aggregate, so a text that a third of the rows hold costs a
-    row per task. Defined cases: a null text is the empty blob; repeated rows all come back; an
-    empty table gives an empty result; input columns called blob or findings are replaced.
+def new_ledger(spark: SparkSession) -> str:
+    """Where a ledger of this session's own is kept, in the shared folder."""
+    return f"{shared_folder(spark)}/blob-ledger-{uuid.uuid4().hex}"
+
+
+def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
+    """Scan the blobs of `docs` by the rule versions they have not met and append what comes out to the ledger.
+
+    Blobs are gathered by a partial aggregate, so a text that a third of the rows hold costs a row per task.
     """
-    spark = docs.sparkSession
-    ledger = ledger or f"{shared_folder(spark)}/blob-ledger-{uuid.uuid4().hex}"
-    docs = docs.drop("blob", "findings")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    addressed = docs.withColumn("blob", F.unhex(F.sha2(text, 256)))
     names = [rule.name for rule in rules]
-
-    blobs = addressed.select("blob", text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    seen = _read(spark, ledger)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    blobs = _addressed(docs, text_col).select("blob", text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    seen = _read(docs.sparkSession, ledger)
     if seen is None:
         todo = blobs.withColumn("rules", F.array(*map(F.lit, names)))
     else:
@@ -146,6 +143,23 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
         "blob", "rules", F.transform(found, lambda s: s.withField("rule", versions[s["kind"]])).alias("found")
     ).write.mode("append").parquet(ledger)
 
+
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """`docs` with `blob` (SHA-256 of the text) and `findings`, one row per row.
+
+    The ledger at `ledger` holds, for each blob, the rule versions it was scanned with and what
+    they found. A blob is read once, from any row that holds it, and only by the rule versions
+    it has not met (see `record`); every row gets its blob's findings by a join on the address. Findings are
+    structs of start, rank of the kind, end and kind, by start and then rank. Without `ledger` a
+    fresh one is kept in the shared folder.
+
+    Defined cases: a null text is the empty blob; repeated rows all come back; a text of any length is one
+    blob, read whole; an empty table gives an empty result; input columns called blob or findings are replaced.
+    """
+    spark = docs.sparkSession
+    ledger = ledger or new_ledger(spark)
+    record(docs, ledger, rules, text_col)
+    names = [rule.name for rule in rules]
     ranks = F.create_map(*[F.lit(x) for rank, rule in enumerate(rules) for x in (rule.name, rank)])
     hits = spark.read.parquet(ledger).where(F.size("found") > 0).select("blob", F.explode("found").alias("s"))
     hits = hits.where(F.col("s.rule").isin(names)).select("blob", F.struct(
@@ -154,8 +168,9 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     ).alias("s"))
     # bounded by the findings of one text; a rerun that appended a blob twice adds nothing
     by_blob = stage(hits.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("findings")), "findings")
-    return addressed.join(by_blob, "blob", "left").select(
-        *quoted(docs.columns), "blob", F.coalesce(F.col("findings").cast(_SPANS), _nothing()).alias("findings")
+    return _addressed(docs, text_col).join(by_blob, "blob", "left").select(
+        *quoted(docs.drop("blob", "findings").columns), "blob",
+        F.coalesce(F.col("findings").cast(_SPANS), _nothing()).alias("findings"),
     )
 
 

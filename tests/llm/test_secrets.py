@@ -7,6 +7,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 import oracle
+from pyspark.sql import functions as F
 from frames import edge_docs, no_docs
 
 from churnspark.llm import queries, secrets
@@ -150,3 +151,23 @@ def test_keys_of_any_length_go_whole(spark, end):
 
     (found,) = duckdb.sql("SELECT regexp_extract_all($t, $p)", params={"t": text, "p": rule.sql}).fetchall()[0]
     assert text.replace(found[0], "[secret]") == clean[1] and len(found) == 1
+
+
+def test_query_scans_each_pair_once(spark, sf, monkeypatch):
+    """The second pass of the query meets every blob again, but only by the rule versions that are left."""
+    made = []
+    own = secrets.new_ledger
+
+    def noted(session):
+        made.append(own(session))
+        return made[-1]
+
+    monkeypatch.setattr(secrets, "new_ledger", noted)
+    queries.op5_secret_scans(spark, sf).write.format("noop").mode("overwrite").save()
+    (ledger,) = made
+    pairs = spark.read.parquet(ledger).select("blob", F.explode("rules").alias("rule"), F.size("rules").alias("together"))
+    blobs = pairs.select("blob").distinct().count()
+    assert pairs.count() == pairs.select("blob", "rule").distinct().count() == blobs * len(secrets.RULES)
+    assert {tuple(r) for r in pairs.groupBy("together").count().collect()} == {
+        (len(secrets.BASE), blobs * len(secrets.BASE)), (len(secrets.MORE), blobs * len(secrets.MORE))
+    }
