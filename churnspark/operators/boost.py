@@ -1,7 +1,7 @@
 """Boosted trees of several candidates and folds, grown level by level in the same jobs.
 
 All models of a training, candidates times folds, share one table of binned rows. A level of
-the current tree of every model is one job: each task walks its rows down the trees so far and adds
+the current tree of every model is one job: each task reads its rows in blocks of bytes, walks them down the trees so far and adds
 gradients, hessians and rows into histograms keyed by (model, node, column, bin); the sums of all
 tasks, as many as models, nodes and bins allow whatever the number of rows, come to the driver, which
 picks the splits. Margins are written with the rows every few rounds, so a job repeats only the
@@ -25,8 +25,10 @@ from churnspark.session import iterative_session, written
 
 #: Cuts of a numeric column at most, and the rounds after which margins are written.
 CUTS, WRITTEN_EVERY = 127, 4
-#: Rows of a task at least: below, the start of a task costs more than its rows.
-ROWS_A_TASK = 50_000
+#: Rows times models of a task at least: below, the start of a task costs more than its rows. Rows of a block.
+WORK_A_TASK, BLOCK = 400_000, 16_384
+#: Sums of so many tasks are added on the driver; those of more meet in a shuffle first.
+FEW_TASKS = 32
 TEST = -1  # the part of rows that no model learns from
 
 
@@ -84,43 +86,91 @@ def learn_bins(encoded: DataFrame, n_numeric: int, levels: Sequence[int], cuts:
     return Bins(tuple(found), tuple(levels))
 
 
-def _walk(x: np.ndarray, column: np.ndarray, value: np.ndarray, depth: int, n_numeric: int) -> np.ndarray:
-    """Node that each row reaches after `depth` steps."""
-    at = np.zeros(len(x), np.int64)
-    flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
-    is_level = column >= n_numeric
-    for _ in range(depth):
-        seen, cut = flat.take(row + column.take(at)), value.take(at)
-        at = 2 * at + 1 + np.where(is_level.take(at), seen == cut, seen > cut)
+def walk(x: np.ndarray, column: np.ndarray, value: np.ndarray, depth: int, n_numeric: int, row: np.ndarray | None = None) -> np.ndarray:
+    """Node of its level, counted from 0, that each row (or those numbered `row`) reaches after `depth` steps; x holds a line for each column."""
+    rows = x.shape[1]
+    row = np.arange(rows) if row is None else row
+    at = np.zeros(len(row), np.int64)
+    if not depth:
+        return at
+    value = value.astype(np.int64)
+    flat, begin = x.ravel(), column.astype(np.int64) * rows
+    # right if low < seen <= high: numbers above the cut, or the one level
+    low, high = np.where(column >= n_numeric, value - 1, value), np.where(column >= n_numeric, value, np.iinfo(np.int64).max)
+    for level in range(depth):
+        here = slice(2**level - 1, 2**(level + 1) - 1)
+        seen = flat.take(row + begin[here].take(at))
+        right = seen > low[here].take(at)
+        if (column[here] >= n_numeric).any():
+            right &= seen <= high[here].take(at)
+        at = 2 * at + right
     return at
 
 
-def _matrix(batch: pa.RecordBatch, name: str, kind: type, width: int) -> np.ndarray:
-    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(kind, copy=False).reshape(batch.num_rows, width)
+@dataclass
+class Block:
+    """Up to BLOCK rows, those of a part next to each other: labels, parts, a line of bins for each column and one of margins for each model."""
+
+    y: np.ndarray
+    part: np.ndarray
+    x: np.ndarray
+    margins: np.ndarray
+
+    def spans(self, held: int) -> list[slice]:
+        """The rows that a model without the part `held` learns from."""
+        first, low, high = (int(np.searchsorted(self.part, v, side)) for v, side in ((TEST, "right"), (held, "left"), (held, "right")))
+        return [slice(a, b) for a, b in ((first, max(first, low)), (max(first, high), len(self.part))) if a < b]
+
+    def record(self) -> pa.RecordBatch:
+        packed = [pa.array([v.tobytes()], pa.binary()) for v in (self.y, self.part, self.x, self.margins)]
+        return pa.RecordBatch.from_arrays([pa.array([len(self.y)], pa.int32()), *packed], names=["n", "y", "part", "bins", "margins"])
+
+
+BLOCKS = "n int, y binary, part binary, bins binary, margins binary"
+
+
+def _bin_type(starts: np.ndarray) -> np.dtype:
+    return np.min_scalar_type(int(np.diff(starts).max(initial=1)))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[Block]:
+    kinds = (np.uint8, np.int32, _bin_type(starts), np.float64)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            n, *packed = (column[r].as_py() for column in batch.columns)
+            y, part, x, margins = (np.frombuffer(v, kind) for v, kind in zip(packed, kinds))
+            yield Block(y, part, x.reshape(len(starts) - 1, n), margins.reshape(-1, n))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least `rows` rows, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= rows:
+            yield pa.Table.from_batches(kept)
+            kept = []
+    if sum(b.num_rows for b in kept):
+        yield pa.Table.from_batches(kept)
 
 
 def bin_rows(encoded: DataFrame, bins: Bins, bases: Sequence[float], part: str = "part") -> DataFrame:
-    """label, part, binned values and the starting margin of every model."""
+    """Blocks of rows: label, part, binned values and the starting margin of every model."""
     n, k = len(bins.cuts), len(bins.levels)
     kept = [F.col(LABEL).cast("int").alias("y"), F.col(part).cast("int").alias("part")]
     values = [F.col(f"z_n{i}") for i in range(n)] + [F.col(f"i_k{j}") for j in range(k)]
-    cuts, start = bins.cuts, list(bases)
+    cuts, start, kind = bins.cuts, np.array(bases, np.float64), _bin_type(bins.starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.num_rows
-            x = np.empty((rows, n + k), np.int32)
-            for c in range(n + k):
-                seen = b.column(2 + c).to_numpy(zero_copy_only=False)
-                x[:, c] = np.searchsorted(cuts[c], seen, side="left") if c < n else seen
-            ends = np.arange(rows + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends * (n + k)), pa.array(x.ravel())),
-                pa.ListArray.from_arrays(pa.array(ends * len(start)), pa.array(np.tile(start, rows))),
-            ], names=["y", "part", "bins", "margins"])
+        for table in gathered(batches, BLOCK):
+            y, held, *seen = (c.to_numpy() for c in table.columns)
+            order = np.argsort(held, kind="stable")
+            x = np.empty((n + k, len(y)), kind)
+            for c, v in enumerate(seen):
+                x[c] = (np.searchsorted(cuts[c], v, side="left") if c < n else v)[order]
+            yield Block(y[order].astype(np.uint8), held[order].astype(np.int32), x, np.tile(start[:, None], len(y))).record()
 
-    return encoded.select(*kept, *values).mapInArrow(run, "y int, part int, bins array<int>, margins array<double>")
+    return encoded.select(*kept, *values).mapInArrow(run, BLOCKS)
 
 
 @dataclass(frozen=True)
@@ -133,44 +183,55 @@ class _Task:
     starts: np.ndarray
     n_numeric: int
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        width = len(self.starts) - 1
-        x, margins = _matrix(batch, "bins", np.int32, width), _matrix(batch, "margins", np.float64, len(self.laws)).copy()
-        for m, trees in enumerate(self.done):
-            for column, value, leaf in trees:
-                depth = self.laws[m].depth
-                margins[:, m] += leaf[_walk(x, column, value, depth, self.n_numeric) - (2**depth - 1)]
-        y, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "part"))
-        return x, margins, y, part
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        for block in blocks(batches, self.starts):
+            block.margins = block.margins.copy()
+            for m, trees in enumerate(self.done):
+                for column, value, leaf in trees:
+                    block.margins[m] += leaf.take(walk(block.x, column, value, self.laws[m].depth, self.n_numeric))
+            yield block
 
     def histograms(self, growing: list[tuple[np.ndarray, np.ndarray] | None], level: int):
         """Function of Arrow batches: sums by key, one row for each filled bin of a task."""
-        nodes, size, starts = 2**level, int(self.starts[-1]), self.starts[:-1]
+        nodes, size, starts = 2**level, int(self.starts[-1]), self.starts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = {m: np.zeros((3, nodes * size)) for m, tree in enumerate(growing) if tree is not None}
-            for batch in batches:
-                x, margins, y, part = self.read(batch)
+            sums = {m: np.zeros((3, nodes, size)) for m, tree in enumerate(growing) if tree is not None}
+            for block in self.read(batches):
                 for m, total in sums.items():
-                    mine = np.flatnonzero((part != TEST) & (part != self.held[m]))
-                    at = _walk(x[mine], *growing[m], level, self.n_numeric) - (nodes - 1)
-                    key = (at[:, None] * size + starts + x[mine]).ravel()
-                    p = 1 / (1 + np.exp(-margins[mine, m]))
-                    for k, what in enumerate((p - y[mine], p * (1 - p), None)):
-                        weight = None if what is None else np.repeat(what, x.shape[1])
-                        total[k] += np.bincount(key, weight, nodes * size)
+                    for span in block.spans(self.held[m]):
+                        x = np.ascontiguousarray(block.x[:, span])
+                        at = walk(x, *growing[m], level, self.n_numeric)
+                        p = 1 / (1 + np.exp(-block.margins[m, span]))
+                        weights = p - block.y[span], p * (1 - p), None
+                        for c in range(len(x)):
+                            width = int(starts[c + 1] - starts[c])
+                            key = at * width + x[c]
+                            for k, weight in enumerate(weights):
+                                total[k, :, starts[c]:starts[c + 1]] += np.bincount(key, weight, nodes * width).reshape(nodes, width)
             for m, total in sums.items():
-                filled = np.flatnonzero(total[2])
-                yield pa.RecordBatch.from_arrays([pa.array(m * nodes * size + filled), *(pa.array(total[k][filled]) for k in range(3))], names=["key", "g", "h", "n"])
+                g, h, n = total.reshape(3, -1)
+                filled = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(m * nodes * size + filled), *(pa.array(v[filled]) for v in (g, h, n))], names=["key", "g", "h", "n"])
 
         return run
 
     def advance(self):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, margins, _, _ = self.read(batch)
-                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * margins.shape[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(margins.ravel()))], names=["y", "part", "bins", "margins"])
+            for block in self.read(batches):
+                yield block.record()
+
+        return run
+
+    def margins(self):
+        """The rows one by one again."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in self.read(batches):
+                ends = pa.array(np.arange(len(block.y) + 1, dtype=np.int32) * len(block.margins))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.y.astype(np.int32)), pa.array(block.part), pa.ListArray.from_arrays(ends, pa.array(block.margins.T.ravel()))],
+                    names=["y", "part", "margins"],
+                )
 
         return run
 
@@ -230,9 +291,10 @@ def grow(
         grown.append(Grown(law, held, float(np.log(share / (1 - share)))))
         if not (neg and pos):
             grown[-1].law = Boosting(0, law.depth, law.rate, law.second_order, law.l2, law.least)
-    tasks = max(1, sum(r["count"] for r in counted) // ROWS_A_TASK)
-    session = iterative_session(spark, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    binned = bin_rows(encoded.coalesce(tasks), bins, [m.base for m in grown], part)
+    rows = sum(r["count"] for r in counted)
+    tasks = max(1, rows * len(grown) // WORK_A_TASK)
+    session = iterative_session(spark, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), blobs=True)
+    binned = bin_rows(encoded.coalesce(min(tasks, max(1, rows // BLOCK))), bins, [m.base for m in grown], part)
     table = session.read.schema(binned.schema).parquet(written(binned, "boosting"))
     size, since = int(bins.starts[-1]), 0
 
@@ -253,10 +315,12 @@ def grow(
         for level in range(max(m.law.depth for m in going)):
             nodes = 2**level
             growing = [(m.column[r], m.value[r]) if r < m.law.rounds and level < m.law.depth else None for m in grown]
-            rows = table.mapInArrow(task(r).histograms(growing, level), "key long, g double, h double, n double")
-            summed = rows.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-            held = np.zeros((3, len(grown) * nodes * size))
-            held[:, summed.column("key").to_numpy()] = [summed.column(c).to_numpy() for c in "ghn"]
+            parts = table.mapInArrow(task(r).histograms(growing, level), "key long, g double, h double, n double")
+            if tasks > FEW_TASKS:
+                parts = parts.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+            summed = parts.toArrow()
+            key = summed.column("key").to_numpy()
+            held = np.stack([np.bincount(key, summed.column(c).to_numpy(), len(grown) * nodes * size) for c in "ghn"])
             held = held.reshape(3, len(grown), nodes, size)
             for k, m in enumerate(grown):
                 if growing[k] is None:
@@ -267,7 +331,7 @@ def grow(
                     if level == m.law.depth - 1:
                         m.leaf[r][2 * i:2 * i + 2] = step(*left, m.law), step(*right, m.law)
     final = task(max(m.law.rounds for m in grown))
-    margins = table.mapInArrow(final.advance(), table.schema).drop("bins")
+    margins = table.mapInArrow(final.margins(), "y int, part int, margins array<double>")
     return grown, spark.read.schema(margins.schema).parquet(written(margins, "boosting"))
 
 
