@@ -11,14 +11,14 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL, outcome
 from churnspark.functions.text import named
-from churnspark.operators import boost, features
+from churnspark.operators import boost, features, forest
 from churnspark.operators.evaluate import classification_report, evaluate
 from churnspark.operators.profile import TableProfile
 from churnspark.operators.split import FOLDS, SEED, fold_count, mark_folds, mark_holdout
@@ -46,13 +46,14 @@ def _columns(stage):
 class Candidate:
     """A named classifier; `make` gets the number of training rows. Any Spark classifier fits.
 
-    A candidate with `boosting` has no `make`: the boosters of all candidates and folds grow together.
+    A candidate with `boosting` or `forest` has no `make`: its models of all folds grow together.
     """
 
     name: str
     make: Callable[[int], Estimator] | None = None
     weighted: bool = False
     boosting: boost.Boosting | None = None
+    forest: forest.Forest | None = None
 
     def estimator(self, rows: int) -> Estimator:
         out = _columns(self.make(rows)).setLabelCol(LABEL)
@@ -67,9 +68,7 @@ def default_candidates(
         # ridge strength 1/n on the mean loss equals a unit penalty on the summed loss
         Candidate("logistic_regression", lambda n: LogisticRegression(
             maxIter=lr_iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False), weighted=True),
-        Candidate("random_forest", lambda n: RandomForestClassifier(
-            numTrees=trees, maxDepth=tree_depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=SEED,
-            maxMemoryInMB=1024), weighted=True),
+        Candidate("random_forest", weighted=True, forest=forest.Forest(trees, tree_depth, 3)),
         Candidate("gradient_boosting", boosting=boost.Boosting(rounds, boost_depth, 0.08)),
         Candidate("regularised_boosting", boosting=boost.Boosting(rounds, boost_depth, 0.08, second_order=True, l2=1.0)),
     ]
@@ -130,6 +129,11 @@ def fit_one(
         bins = boost.learn_bins(rows, len(prof.numeric), [len(v) for v in features.levels_of(encoder)])
         (grown,), _ = boost.grow(rows, bins, [(candidate.boosting, boost.TEST)])
         return PipelineModel([encoder, _columns(boost.to_spark(train.sparkSession, grown, bins))])
+    if candidate.forest:
+        rows = encoder.transform(train).withColumn("part", F.lit(0))
+        bins = boost.learn_bins(rows, len(prof.numeric), [len(v) for v in features.levels_of(encoder)], forest.CUTS)
+        (grown,), _ = forest.grow(rows, bins, [(candidate.forest, boost.TEST)], weighted=candidate.weighted)
+        return PipelineModel([encoder, _columns(forest.to_spark(train.sparkSession, grown, bins))])
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     try:
@@ -207,6 +211,23 @@ def _boosted(
     return {(r["candidate"], r["part"]): r.asDict() for r in evaluate(scored, "x_score", "x_prediction", by=["candidate", "part"]).collect()}
 
 
+def _forests(
+    marked: DataFrame, prof: TableProfile, candidate: Candidate, parts: Sequence[int], max_levels: int = features.MAX_LEVELS,
+) -> dict[tuple[str, int], dict]:
+    """Metrics of a forest by held-out part, grown and measured as the boosters are."""
+    encoder = features.fit(marked.where(F.col("part") != boost.TEST).drop("part"), prof, max_levels)
+    rows = encoder.transform(marked)
+    bins = boost.learn_bins(rows.where(F.col("part") != boost.TEST), len(prof.numeric), [len(v) for v in features.levels_of(encoder)], forest.CUTS)
+    try:
+        grown, table = forest.grow(rows, bins, [(candidate.forest, part) for part in parts], weighted=candidate.weighted)
+    except Exception as problem:  # a candidate that cannot be fitted scores zero, the others go on
+        log.warning("%s could not be fitted: %s", candidate.name, problem)
+        return {}
+    scored = stage(forest.held_scores(table, grown, bins), "forest").withColumnRenamed("y", LABEL)
+    scored = scored.withColumn("x_prediction", (F.col("x_score") > 0.5).cast("double"))
+    return {(candidate.name, r["part"]): r.asDict() for r in evaluate(scored, "x_score", "x_prediction", by=["part"]).collect()}
+
+
 def _spread(values: Sequence[float]) -> tuple[float, float]:
     mean = sum(values) / len(values)
     return mean, (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
@@ -217,19 +238,20 @@ def _measure(
 ) -> tuple[dict[str, dict], dict[str, dict]]:
     """Cross-validation on `train`, and metrics of models of all of it on `test`.
 
-    The boosters are one run; the other candidates are fitted fold by fold, `parallelism` folds at a time, beside it.
+    The boosters are one run, a forest is one; the other candidates are fitted fold by fold, `parallelism` folds at a time, beside them.
     """
     k = fold_count(class_sizes(train), folds)
     marked = mark_folds(train, "x_id" if prof.id_column else None, k)
     filled = sorted(r["fold"] for r in marked.groupBy("fold").count().collect())  # at most k rows
-    boosted, others = [c for c in candidates if c.boosting], [c for c in candidates if not c.boosting]
+    boosted, forests = [c for c in candidates if c.boosting], [c for c in candidates if c.forest]
+    others = [c for c in candidates if not c.boosting and not c.forest]
     got: dict[tuple[str, int], dict] = {}
 
-    def together() -> None:
+    def together(grown: Callable, what: Sequence[Candidate] | Candidate) -> None:
         rows = marked.withColumnRenamed("fold", "part")
         if test is not None:
             rows = rows.unionByName(test.withColumn("part", F.lit(boost.TEST)))
-        got.update(_boosted(rows, prof, boosted, filled + ([boost.TEST] if test is not None else []), max_levels))
+        got.update(grown(rows, prof, what, filled + ([boost.TEST] if test is not None else []), max_levels))
 
     def apart(part: int) -> None:
         if part == boost.TEST:
@@ -239,10 +261,10 @@ def _measure(
             found = _fit_and_evaluate(outside, inside, prof, others, parallelism, max_levels)
         got.update({(name, part): row for name, row in found.items()})
 
-    jobs = [together] if boosted else []
+    jobs = ([partial(together, _boosted, boosted)] if boosted else []) + [partial(together, _forests, c) for c in forests]
     if others:
         jobs += [partial(apart, part) for part in ([boost.TEST] if test is not None else []) + filled]
-    with ThreadPool(max(1, min(parallelism + bool(boosted), len(jobs)))) as pool:
+    with ThreadPool(max(1, min(parallelism + bool(boosted) + len(forests), len(jobs)))) as pool:
         # one at a time from the list: the boosters first, as they take longest
         pool.map(inheritable_thread_target(train.sparkSession)(lambda job: job()), jobs, chunksize=1)
 
