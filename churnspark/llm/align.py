@@ -22,6 +22,8 @@ from churnspark.session import stage
 
 #: Links of small groups made at a time, and how many links a group has at most to be small.
 LINKS_AT_ONCE, SMALL = 2_000_000, 65_536
+#: Entries whose bytes are written at a time.
+WRITTEN_AT_ONCE = 65_536
 #: Pairs of ids (and bytes of text, four as one pair) of the documents that share one look-up; a longer document is alone.
 BUNDLE = 2_000_000
 #: Pairs in one row of a bundle's list.
@@ -111,9 +113,11 @@ def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     equal and halve once they are not: a stretch of one-to-one tokens is jumped in logarithmically many comparisons.
     Behind it the side that ends first moves on until both end together, which makes the new shift.
     """
+    # a last end that no end of the other side equals stops every comparison
+    a, b = np.append(a, -1), np.append(b, -2)
     width = a.itemsize
     in_a, in_b, ends_a, ends_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    n, m, i, j = len(ends_a), len(ends_b), 0, 0
+    n, i, j = len(ends_a) - 1, 0, 0
     begins: list[int] = []  # of a stretch of shared ends: index in a, index in b, length
     while i < n:
         x, y = ends_a[i], ends_b[j]
@@ -124,18 +128,23 @@ def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             else:
                 j += 1
                 y = ends_b[j]
-        p, q, most = i + 1, j + 1, i + min(n - i, m - j)
-        step, growing = 1, True
-        while step and p < most:
-            if step > most - p:
-                step = most - p
-            if in_a[p * width:(p + step) * width] == in_b[q * width:(q + step) * width]:
+        p, q = i + 1, j + 1
+        if ends_a[p] == ends_b[q]:  # a window of one
+            p += 1
+            q += 1
+            step = 2
+            while in_a[p * width:(p + step) * width] == in_b[q * width:(q + step) * width]:
                 p += step
                 q += step
-                step = step * 2 if growing else step // 2
-            else:
-                growing = False
+                step *= 2
+            while step > 2:
                 step //= 2
+                if in_a[p * width:(p + step) * width] == in_b[q * width:(q + step) * width]:
+                    p += step
+                    q += step
+            if ends_a[p] == ends_b[q]:
+                p += 1
+                q += 1
         begins += (i, j, p - i)
         i, j = p, q
     first_a, first_b, length = np.array(begins, np.int64).reshape(-1, 3).T
@@ -148,6 +157,24 @@ def _within(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(firsts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
+class Spelling:
+    """The bytes of numbered entries, to be written one after another."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([len(e) for e in entries], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+
+    def write(self, numbers: np.ndarray) -> np.ndarray:
+        out, at = np.empty(int(self.size[numbers].sum()), np.uint8), 0
+        for p in range(0, len(numbers), WRITTEN_AT_ONCE):
+            part = numbers[p:p + WRITTEN_AT_ONCE]
+            spot = _within(self.first[part], self.size[part])
+            self.flat.take(spot, out=out[at:at + len(spot)], mode="clip")
+            at += len(spot)
+        return out
+
+
 class Aligned:
     """Tokens of both sides of a batch of texts, and the groups they fall into.
 
@@ -160,15 +187,10 @@ class Aligned:
         raw = [t.encode("utf-8") for t in spaced]
         a, a_at = tools.a.encode(spaced)
         b, b_at = tools.b.encode(texts)
-        whole = [
-            b"".join(map(side.__getitem__, ids[p:q])) == want
-            for side, ids, at in ((tools.a.surface, a.tolist(), a_at.tolist()), (tools.b.surface, b.tolist(), b_at.tolist()))
-            for p, q, want in zip(at, at[1:], raw)
-        ]
-        fine = np.logical_and(*np.array(whole, bool).reshape(2, -1))
+        fine = self._gives(raw, tools.spelled_a, a, a_at) & self._gives(raw, tools.spelled_b, b, b_at)
         self.a, self.n_a = self._only(a, np.diff(a_at), fine)
         self.b, self.n_b = self._only(b, np.diff(b_at), fine)
-        self.end_a, self.end_b = shared_ends(np.cumsum(tools.size_a[self.a]), np.cumsum(tools.size_b[self.b]))
+        self.end_a, self.end_b = shared_ends(np.cumsum(tools.spelled_a.size[self.a]), np.cumsum(tools.spelled_b.size[self.b]))
         self.in_a = np.diff(self.end_a, prepend=0)  # tokens in each group
         self.in_b = np.diff(self.end_b, prepend=0)
         bounds = np.searchsorted(self.end_a, np.concatenate(([0], np.cumsum(self.n_a))), side="right")
@@ -176,6 +198,13 @@ class Aligned:
         self.group_at = bounds
         self.n_groups = np.diff(bounds)
 
+    @staticmethod
+    def _gives(raw: list[bytes], spelled: Spelling, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each text give back its bytes."""
+        ends = np.concatenate(([0], np.cumsum(spelled.size[ids])))[at].tolist()
+        got = memoryview(spelled.write(ids))
+        return np.array([got[p:q] == want for p, q, want in zip(ends, ends[1:], raw)], bool)
+
     @staticmethod
     def _only(ids: np.ndarray, sizes: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return ids if fine.all() else ids[np.repeat(fine, sizes)], np.where(fine, sizes, 0)
@@ -211,8 +240,8 @@ class Aligned:
         np.add.at(many, at, np.concatenate(times))
         return found % tools.pairs, many, np.searchsorted(found, np.arange(len(self.n_a) + 1) * tools.pairs)
 
-    def listed(self) -> list[str]:
-        """The groups of each text as `a1,a2|b1;a3|b2,b3`."""
+    def listed(self) -> list[bytes]:
+        """The groups of each text as `a1,a2|b1;a3|b2,b3`, in ASCII."""
         a_first, b_first = self.end_a - self.in_a, self.end_b - self.in_b
         n_a, n_b = self.tools.n_a, self.tools.n_b
         # a token's own comma, or the mark behind the last one of a group's side
@@ -224,9 +253,9 @@ class Aligned:
         out[_within(a_first + b_first, self.in_a)] = a
         out[_within(self.end_a + b_first, self.in_b)] = b
         marks = self.tools.marks
-        parts = list(map(marks.__getitem__, out.tolist()))
-        edges = np.concatenate(([0], np.cumsum(self.n_a + self.n_b))).tolist()
-        return ["".join(parts[p:q])[:-1] for p, q in zip(edges, edges[1:])]
+        edges = np.concatenate(([0], np.cumsum(marks.size[out])))[np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))].tolist()
+        text = marks.write(out).tobytes()
+        return [text[p:max(p, q - 1)] for p, q in zip(edges, edges[1:])]
 
 
 class Tools:
@@ -234,14 +263,13 @@ class Tools:
 
     def __init__(self, a: str, b: bytes):
         self.a, self.b = Bytes(a), Pieces(b)
-        self.size_a = np.array([len(s) for s in self.a.surface], np.int64)
-        self.size_b = np.array([len(s) for s in self.b.surface], np.int64)
-        self.n_a, self.n_b = len(self.size_a), len(self.size_b)
+        self.spelled_a, self.spelled_b = Spelling(self.a.surface), Spelling(self.b.surface)
+        self.n_a, self.n_b = len(self.a.surface), len(self.b.surface)
         self.pairs = self.n_a * self.n_b
 
     @cached_property
-    def marks(self) -> list[str]:
-        return [f"{k}{mark}" for n, marks in ((self.n_a, ",|"), (self.n_b, ",;")) for mark in marks for k in range(n)]
+    def marks(self) -> Spelling:
+        return Spelling([b"%d%c" % (k, mark) for n, marks in ((self.n_a, b",|"), (self.n_b, b",;")) for mark in marks for k in range(n)])
 
 
 _ready: dict[tuple[str, str], Tools] = {}
@@ -343,9 +371,9 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text
             pairs, times, bounds = found.pairs()
             groups = found.listed()
             if hashed:
-                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
             out = [
-                *batch.columns, *(pa.array(v) for v in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(groups, pa.string()),
+                *batch.columns, *(pa.array(v) for v in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(groups, pa.string() if hashed else pa.binary()).cast(pa.string()),
                 _lists(pairs, bounds, arrow), _lists(times, bounds, pa.int32()),
             ]
             types = [c.type for c in out]

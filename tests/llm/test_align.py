@@ -111,3 +111,23 @@ def test_query_equals_brute_force(spark, sf):
         *figures, listed = want[r.doc_id]
         assert [r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum] == figures
         assert r.groups_sha256 == (sha256(listed.encode()).hexdigest() if listed else "")
+
+
+def test_entries_are_written_side_by_side_across_chunks(monkeypatch):
+    entries = [b"", b"ab", b"\xff", "é".encode(), b"long one"]
+    numbers = np.random.default_rng(3).integers(0, len(entries), 1000)
+    for chunk in (1, 7, 1000, 5000):
+        monkeypatch.setattr(align, "WRITTEN_AT_ONCE", chunk)
+        assert align.Spelling(entries).write(numbers).tobytes() == b"".join(entries[k] for k in numbers)
+    assert align.Spelling(entries).write(numbers[:0]).tobytes() == b""
+
+
+def test_only_texts_that_come_back_have_tokens():
+    """The check of one text does not read the bytes of its neighbours."""
+    tools = align.Tools(SIDE_A.tool.to_str(), open(queries.PIECES, "rb").read())
+    texts = ["one two", None, "a▁b", "", "one two", "▁", "three"]
+    found = align.Aligned(tools, texts)
+    assert [bool(n) for n in found.n_a] == [True, False, False, False, True, False, True]
+    listed = found.listed()
+    assert listed[0] == listed[4] and [bool(g) for g in listed] == [bool(n) for n in found.n_a]
+    assert not listed[6].endswith((b",", b";", b"|")) and listed[6].count(b"|") == found.n_groups[6]
