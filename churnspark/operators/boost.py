@@ -4,8 +4,9 @@ All models of a training, candidates times folds, share one table of binned rows
 the current tree of every model is one job: each task reads its rows in blocks of bytes, walks them down the trees so far and adds
 gradients, hessians and rows into histograms keyed by (model, node, column, bin); the sums of all
 tasks, as many as models, nodes and bins allow whatever the number of rows, come to the driver, which
-picks the splits. Margins are written with the rows every few rounds, so a job repeats only the
-trees since then and a lost executor costs a re-read.
+picks the splits. The blocks are persisted as an RDD, because hundreds of jobs of a fraction of a second have nothing to plan.
+Margins are brought up to date every few rounds, so a job repeats only the trees since then, and are checkpointed
+now and then, so a lost executor costs the rounds since.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
-from churnspark.session import iterative_session, written
+from churnspark.session import iterative_session, shared_folder, written
 
-#: Cuts of a numeric column at most, and the rounds after which margins are written.
-CUTS, WRITTEN_EVERY = 127, 4
-#: Rows times models of a task at least: below, the start of a task costs more than its rows. Rows of a block.
-WORK_A_TASK, BLOCK = 400_000, 16_384
+#: Cuts of a numeric column at most, the rounds after which margins are brought up to date, and how many times until they are checkpointed.
+CUTS, UPDATED_EVERY, CHECKPOINTED_EVERY = 127, 4, 8
+#: Rows times models of a task at least, and once every core has one: below, the start of a task costs more than its rows. Rows of a block.
+LEAST_WORK, WORK_A_TASK, BLOCK = 50_000, 400_000, 16_384
 #: Sums of so many tasks are added on the driver; those of more meet in a shuffle first.
 FEW_TASKS = 32
 TEST = -1  # the part of rows that no model learns from
@@ -121,9 +123,12 @@ class Block:
         first, low, high = (int(np.searchsorted(self.part, v, side)) for v, side in ((TEST, "right"), (held, "left"), (held, "right")))
         return [slice(a, b) for a, b in ((first, max(first, low)), (max(first, high), len(self.part))) if a < b]
 
+    def packed(self) -> tuple[int, bytes, bytes, bytes, bytes]:
+        return len(self.y), *(v.tobytes() for v in (self.y, self.part, self.x, self.margins))
+
     def record(self) -> pa.RecordBatch:
-        packed = [pa.array([v.tobytes()], pa.binary()) for v in (self.y, self.part, self.x, self.margins)]
-        return pa.RecordBatch.from_arrays([pa.array([len(self.y)], pa.int32()), *packed], names=["n", "y", "part", "bins", "margins"])
+        n, *packed = self.packed()
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([v], pa.binary()) for v in packed)], names=["n", "y", "part", "bins", "margins"])
 
 
 BLOCKS = "n int, y binary, part binary, bins binary, margins binary"
@@ -133,13 +138,15 @@ def _bin_type(starts: np.ndarray) -> np.dtype:
     return np.min_scalar_type(int(np.diff(starts).max(initial=1)))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[Block]:
+def unpacked(rows: Iterator[Sequence], starts: np.ndarray) -> Iterator[Block]:
     kinds = (np.uint8, np.int32, _bin_type(starts), np.float64)
-    for batch in batches:
-        for r in range(batch.num_rows):
-            n, *packed = (column[r].as_py() for column in batch.columns)
-            y, part, x, margins = (np.frombuffer(v, kind) for v, kind in zip(packed, kinds))
-            yield Block(y, part, x.reshape(len(starts) - 1, n), margins.reshape(-1, n))
+    for n, *packed in rows:
+        y, part, x, margins = (np.frombuffer(v, kind) for v, kind in zip(packed, kinds))
+        yield Block(y, part, x.reshape(len(starts) - 1, n), margins.reshape(-1, n))
+
+
+def blocks(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[Block]:
+    return unpacked(([column[r].as_py() for column in batch.columns] for batch in batches for r in range(batch.num_rows)), starts)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -173,6 +180,15 @@ def bin_rows(encoded: DataFrame, bins: Bins, bases: Sequence[float], part: str =
     return encoded.select(*kept, *values).mapInArrow(run, BLOCKS)
 
 
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def added(a: Sums, b: Sums) -> Sums:
+    """Sums by key of two tasks as one."""
+    key, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return key, *(np.bincount(at, np.concatenate(pair), len(key)) for pair in zip(a[1:], b[1:]))
+
+
 @dataclass(frozen=True)
 class _Task:
     """What a task has to know: the trees since the margins were written, and the tree that grows."""
@@ -183,8 +199,8 @@ class _Task:
     starts: np.ndarray
     n_numeric: int
 
-    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-        for block in blocks(batches, self.starts):
+    def read(self, rows: Iterator[Sequence]) -> Iterator[Block]:
+        for block in unpacked(rows, self.starts):
             block.margins = block.margins.copy()
             for m, trees in enumerate(self.done):
                 for column, value, leaf in trees:
@@ -192,12 +208,12 @@ class _Task:
             yield block
 
     def histograms(self, growing: list[tuple[np.ndarray, np.ndarray] | None], level: int):
-        """Function of Arrow batches: sums by key, one row for each filled bin of a task."""
+        """Function of packed blocks: for each model the filled bins of a task and their sums."""
         nodes, size, starts = 2**level, int(self.starts[-1]), self.starts
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(rows: Iterator[Sequence]) -> Iterator[tuple[int, Sums]]:
             sums = {m: np.zeros((3, nodes, size)) for m, tree in enumerate(growing) if tree is not None}
-            for block in self.read(batches):
+            for block in self.read(rows):
                 for m, total in sums.items():
                     for span in block.spans(self.held[m]):
                         x = np.ascontiguousarray(block.x[:, span])
@@ -212,21 +228,21 @@ class _Task:
             for m, total in sums.items():
                 g, h, n = total.reshape(3, -1)
                 filled = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(m * nodes * size + filled), *(pa.array(v[filled]) for v in (g, h, n))], names=["key", "g", "h", "n"])
+                yield m, (filled, g[filled], h[filled], n[filled])
 
         return run
 
     def advance(self):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in self.read(batches):
-                yield block.record()
+        def run(rows: Iterator[Sequence]) -> Iterator[tuple]:
+            for block in self.read(rows):
+                yield block.packed()
 
         return run
 
     def margins(self):
         """The rows one by one again."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in self.read(batches):
+            for block in blocks(batches, self.starts):
                 ends = pa.array(np.arange(len(block.y) + 1, dtype=np.int32) * len(block.margins))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.y.astype(np.int32)), pa.array(block.part), pa.ListArray.from_arrays(ends, pa.array(block.margins.T.ravel()))],
@@ -275,7 +291,7 @@ def step(g: float, h: float, law: Boosting) -> float:
 
 
 def grow(
-    encoded: DataFrame, bins: Bins, models: Sequence[tuple[Boosting, int]], part: str = "part", every: int = WRITTEN_EVERY,
+    encoded: DataFrame, bins: Bins, models: Sequence[tuple[Boosting, int]], part: str = "part", every: int = UPDATED_EVERY,
 ) -> tuple[list[Grown], DataFrame]:
     """Grow all models, (law, held part) each, over the rows of `encoded`; and y, part and the margin of every model for all rows.
 
@@ -292,10 +308,13 @@ def grow(
         if not (neg and pos):
             grown[-1].law = Boosting(0, law.depth, law.rate, law.second_order, law.l2, law.least)
     rows = sum(r["count"] for r in counted)
-    tasks = max(1, rows * len(grown) // WORK_A_TASK)
-    session = iterative_session(spark, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), blobs=True)
-    binned = bin_rows(encoded.coalesce(min(tasks, max(1, rows // BLOCK))), bins, [m.base for m in grown], part)
-    table = session.read.schema(binned.schema).parquet(written(binned, "boosting"))
+    work, context = rows * len(grown), spark.sparkContext
+    tasks = max(1, min(work // LEAST_WORK, max(context.defaultParallelism, work // WORK_A_TASK)))
+    binned = bin_rows(encoded.coalesce(tasks), bins, [m.base for m in grown], part)
+    table = iterative_session(spark, 1, blobs=True).read.schema(binned.schema).parquet(written(binned, "boosting"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    current = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
     size, since = int(bins.starts[-1]), 0
 
     def task(upto: int) -> _Task:
@@ -304,7 +323,11 @@ def grow(
 
     for r in range(max(m.law.rounds for m in grown)):
         if r and r % every == 0:
-            table = session.read.schema(table.schema).parquet(written(table.mapInArrow(task(r).advance(), table.schema), "boosting"))
+            before, current = current, current.mapPartitions(task(r).advance()).persist(StorageLevel.MEMORY_AND_DISK)
+            if r % (every * CHECKPOINTED_EVERY) == 0:
+                current.checkpoint()
+            current.count()  # before what it is made from is given up
+            before.unpersist()
             since = r
         going = [m for m in grown if r < m.law.rounds]
         for m in going:
@@ -315,12 +338,13 @@ def grow(
         for level in range(max(m.law.depth for m in going)):
             nodes = 2**level
             growing = [(m.column[r], m.value[r]) if r < m.law.rounds and level < m.law.depth else None for m in grown]
-            parts = table.mapInArrow(task(r).histograms(growing, level), "key long, g double, h double, n double")
-            if tasks > FEW_TASKS:
-                parts = parts.groupBy("key").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-            summed = parts.toArrow()
-            key = summed.column("key").to_numpy()
-            held = np.stack([np.bincount(key, summed.column(c).to_numpy(), len(grown) * nodes * size) for c in "ghn"])
+            parts = current.mapPartitions(task(r).histograms(growing, level))
+            if current.getNumPartitions() > FEW_TASKS:
+                parts = parts.reduceByKey(added, len(going))
+            held = np.zeros((3, len(grown), nodes * size))
+            for k, (key, *sums) in parts.collect():
+                for total, v in zip(held, sums):
+                    total[k, key] += v
             held = held.reshape(3, len(grown), nodes, size)
             for k, m in enumerate(grown):
                 if growing[k] is None:
@@ -331,8 +355,11 @@ def grow(
                     if level == m.law.depth - 1:
                         m.leaf[r][2 * i:2 * i + 2] = step(*left, m.law), step(*right, m.law)
     final = task(max(m.law.rounds for m in grown))
-    margins = table.mapInArrow(final.margins(), "y int, part int, margins array<double>")
-    return grown, spark.read.schema(margins.schema).parquet(written(margins, "boosting"))
+    finished = spark.createDataFrame(current.mapPartitions(final.advance()), BLOCKS, verifySchema=False)
+    margins = finished.mapInArrow(final.margins(), "y int, part int, margins array<double>")
+    path = written(margins, "boosting")
+    current.unpersist()
+    return grown, spark.read.schema(margins.schema).parquet(path)
 
 
 def to_spark(spark: SparkSession, model: Grown, bins: Bins) -> GBTClassificationModel:

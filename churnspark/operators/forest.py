@@ -98,25 +98,27 @@ def best_splits(counts: np.ndarray, weights: np.ndarray, least: int) -> tuple[np
 
     counts: drawn slot, node, bin, class. The first of equal gains wins; a gain of 0 is no split.
     """
-    left = counts.cumsum(axis=2)
-    total = left[:1, :, -1:]
-    right = total - left
+    # an array for each class: sums over an axis of two are slow
+    left = [counts[..., y].cumsum(axis=2) for y in (0, 1)]
+    total = [v[:1, :, -1:] for v in left]
+    right = [t - v for t, v in zip(total, left)]
 
-    def gini(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = rows * weights
-        both = w.sum(axis=3)
+    def gini(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (v * weight for v, weight in zip(rows, weights))
+        both = a + b
         with np.errstate(invalid="ignore", divide="ignore"):
-            return both, 1 - (w**2).sum(axis=3) / both**2
+            return both, 1 - (a**2 + b**2) / both**2
 
     (wl, gl), (wr, gr), (w, g) = gini(left), gini(right), gini(total)
-    fine = (left.sum(axis=3) >= least) & (right.sum(axis=3) >= least)
+    fine = (left[0] + left[1] >= least) & (right[0] + right[1] >= least)
     with np.errstate(invalid="ignore", divide="ignore"):
         gain = np.where(fine, g - (wl / w) * gl - (wr / w) * gr, 0)
     bins, nodes = counts.shape[2], counts.shape[1]
     flat = gain.transpose(1, 0, 2).reshape(nodes, -1)
     at = flat.argmax(axis=1)
     every = np.arange(nodes)
-    return flat[every, at], at // bins, at % bins, left[at // bins, every, at % bins], total[0, :, 0]
+    sides = np.stack([v[at // bins, every, at % bins] for v in left], axis=1)
+    return flat[every, at], at // bins, at % bins, sides, np.stack([v[0, :, 0] for v in total], axis=1)
 
 
 @dataclass(frozen=True)

@@ -143,14 +143,12 @@ def fit_one(
 
 
 def _fit_and_evaluate(
-    train: DataFrame, test: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], parallelism: int,
-    max_levels: int = features.MAX_LEVELS,
+    train: DataFrame, test: DataFrame, encoder: PipelineModel, candidates: Sequence[Candidate], parallelism: int,
 ) -> dict[str, dict]:
-    """Metrics per candidate. Features are learned on `train` only and shared by the candidates.
+    """Metrics per candidate. `encoder` is learned on `train` only and shared by the candidates.
 
     All candidates' predictions are evaluated in one grouped job.
     """
-    encoder = features.fit(train, prof, max_levels)
     sizes = class_sizes(train)
     encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
     held = encoder.transform(test).select(LABEL, "x_features").persist()
@@ -183,17 +181,16 @@ def _fit_and_evaluate(
 
 
 def _boosted(
-    marked: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], parts: Sequence[int], max_levels: int = features.MAX_LEVELS,
+    marked: DataFrame, prof: TableProfile, candidates: Sequence[Candidate], parts: Sequence[int], encoder: PipelineModel,
 ) -> dict[tuple[str, int], dict]:
     """Metrics of the boosters by candidate and held-out part; all of them grow in the same jobs.
 
     `marked` has `part`: a fold, or boost.TEST for held-out rows. A booster of a fold learns from
     the other folds and is measured on its own; with TEST among `parts` one more learns from all folds and is
-    measured there. Gaps are filled and columns are cut by statistics of all folds, never of TEST rows.
+    measured there. Gaps are filled (by `encoder`) and columns are cut by statistics of all folds, never of TEST rows.
     """
     if not candidates:
         return {}
-    encoder = features.fit(marked.where(F.col("part") != boost.TEST).drop("part"), prof, max_levels)
     rows = encoder.transform(marked)
     bins = boost.learn_bins(rows.where(F.col("part") != boost.TEST), len(prof.numeric), [len(v) for v in features.levels_of(encoder)])
     try:
@@ -212,10 +209,9 @@ def _boosted(
 
 
 def _forests(
-    marked: DataFrame, prof: TableProfile, candidate: Candidate, parts: Sequence[int], max_levels: int = features.MAX_LEVELS,
+    marked: DataFrame, prof: TableProfile, candidate: Candidate, parts: Sequence[int], encoder: PipelineModel,
 ) -> dict[tuple[str, int], dict]:
     """Metrics of a forest by held-out part, grown and measured as the boosters are."""
-    encoder = features.fit(marked.where(F.col("part") != boost.TEST).drop("part"), prof, max_levels)
     rows = encoder.transform(marked)
     bins = boost.learn_bins(rows.where(F.col("part") != boost.TEST), len(prof.numeric), [len(v) for v in features.levels_of(encoder)], forest.CUTS)
     try:
@@ -246,19 +242,21 @@ def _measure(
     boosted, forests = [c for c in candidates if c.boosting], [c for c in candidates if c.forest]
     others = [c for c in candidates if not c.boosting and not c.forest]
     got: dict[tuple[str, int], dict] = {}
+    # one for all that learn features from every fold, and before the pool, so that the boosters start at once
+    whole = features.fit(train, prof, max_levels) if boosted or forests or test is not None else None
 
     def together(grown: Callable, what: Sequence[Candidate] | Candidate) -> None:
         rows = marked.withColumnRenamed("fold", "part")
         if test is not None:
             rows = rows.unionByName(test.withColumn("part", F.lit(boost.TEST)))
-        got.update(grown(rows, prof, what, filled + ([boost.TEST] if test is not None else []), max_levels))
+        got.update(grown(rows, prof, what, filled + ([boost.TEST] if test is not None else []), whole))
 
     def apart(part: int) -> None:
         if part == boost.TEST:
-            found = _fit_and_evaluate(train, test, prof, others, parallelism, max_levels)
+            found = _fit_and_evaluate(train, test, whole, others, parallelism)
         else:
             inside, outside = marked.where(F.col("fold") == part), marked.where(F.col("fold") != part)
-            found = _fit_and_evaluate(outside, inside, prof, others, parallelism, max_levels)
+            found = _fit_and_evaluate(outside, inside, features.fit(outside, prof, max_levels), others, parallelism)
         got.update({(name, part): row for name, row in found.items()})
 
     jobs = ([partial(together, _boosted, boosted)] if boosted else []) + [partial(together, _forests, c) for c in forests]

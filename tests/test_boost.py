@@ -133,3 +133,22 @@ def test_jobs_do_not_grow_with_models(spark, book):
         group[count] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost-{count}"))
     spark.sparkContext.setJobGroup("tests", "")
     assert 0 < group[6] <= group[1] + 1
+
+
+def test_sums_that_meet_in_a_shuffle_and_checkpoints_change_nothing(spark, book, monkeypatch):
+    a = np.array([1, 4, 9]), *(np.array([1.0, 2.0, 3.0]) * k for k in (1, 2, 3))
+    b = np.array([0, 4]), *(np.array([5.0, 7.0]) * k for k in (1, 2, 3))
+    key, *sums = boost.added(a, b)
+    assert key.tolist() == [0, 1, 4, 9] and [s.tolist() for s in sums] == [[5 * k, k, 9 * k, 3 * k] for k in (1, 2, 3)]
+    encoded, bins, _ = book
+    models = [(LAWS[0], 1), (LAWS[1], boost.TEST)]
+    found = []
+    for few, work in ((boost.FEW_TASKS, boost.LEAST_WORK), (0, 500)):
+        monkeypatch.setattr(boost, "FEW_TASKS", few)
+        monkeypatch.setattr(boost, "LEAST_WORK", work)
+        monkeypatch.setattr(boost, "CHECKPOINTED_EVERY", 1)
+        grown, margins = boost.grow(encoded, bins, models, every=1)
+        found.append(sorted(tuple(np.round(r[0], 9)) for r in margins.select("margins").collect()))
+        assert [len(g.column) for g in grown] == [3, 2]
+    assert len(found[0]) == 2000
+    np.testing.assert_allclose(*found, atol=1e-8)

@@ -250,3 +250,16 @@ def test_uniform_when_all_weights_are_zero(spark):
     slots = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("b", 0.0), ("c", 0.0)], "feature string, importance double")
     got = {r["feature"]: r["importance_pct"] for r in explain.importance_rollup(slots, ["a", "b", "c"], []).collect()}
     assert got == {"a": 25.0, "b": 50.0, "c": 25.0}
+
+
+def test_features_of_all_folds_are_learned_once(spark, small, monkeypatch):
+    """Boosters, forest and the models for the held-out rows share them; each fold has its own besides."""
+    df, prof = small
+    learned, fit = [], features.fit
+    monkeypatch.setattr(features, "fit", lambda *given: learned.append(1) or fit(*given))
+    rows, _ = train.staged_inputs(df, prof)
+    marked = train.mark_holdout(rows, "x_id", share=(1, 4))
+    learn, test = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
+    tiny = train.default_candidates(lr_iterations=5, trees=2, tree_depth=2, rounds=1, boost_depth=1)
+    cv, held = train._measure(learn, test, prof, tiny, 2, 2, features.MAX_LEVELS)
+    assert len(learned) == 3 and list(held) == [c.name for c in tiny] and all(v["cv_folds"] == 2 for v in cv.values())
