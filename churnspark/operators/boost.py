@@ -1,34 +1,35 @@
 """Boosted trees of several candidates and folds, grown level by level in the same jobs.
 
 All models of a training, candidates times folds, share one table of binned rows. A level of
-the current tree of every model is one job: each task reads its rows in blocks of bytes, walks them down the trees so far and adds
-gradients, hessians and rows into histograms keyed by (model, node, column, bin); the sums of all
+the current tree of every model is one job: each task adds gradients, hessians and rows of its blocks into histograms by
+model, node, column and bin, where of two children only the smaller is counted and the larger is what is left of their parent; the sums of all
 tasks, as many as models, nodes and bins allow whatever the number of rows, come to the driver, which
-picks the splits. The blocks are persisted as an RDD, because hundreds of jobs of a fraction of a second have nothing to plan.
-Margins are brought up to date every few rounds, so a job repeats only the trees since then, and are checkpointed
-now and then, so a lost executor costs the rounds since.
+picks the splits. The loops run in the JVM (Kernels.java) on persisted blocks, which remember margins and nodes for the tree and level they
+hold for: a job goes one level further, and a lost block is read again and walked down the trees so far. Blocks that do not fit in
+memory are brought up to date every few rounds and checkpointed now and then.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
+from churnspark.operators import kernels
 from churnspark.session import iterative_session, shared_folder, written
 
-#: Cuts of a numeric column at most, the rounds after which margins are brought up to date, and how many times until they are checkpointed.
+#: Cuts of a numeric column at most, the rounds after which blocks outside memory are brought up to date, and how many times until they are checkpointed.
 CUTS, UPDATED_EVERY, CHECKPOINTED_EVERY = 127, 4, 8
 #: Rows times models of a task at least, and once every core has one: below, the start of a task costs more than its rows. Rows of a block.
-LEAST_WORK, WORK_A_TASK, BLOCK = 50_000, 400_000, 16_384
+LEAST_WORK, WORK_A_TASK, BLOCK = 50_000, 20_000_000, 16_384
+STORED = "MEMORY_AND_DISK"
 #: Sums of so many tasks are added on the driver; those of more meet in a shuffle first.
 FEW_TASKS = 32
 TEST = -1  # the part of rows that no model learns from
@@ -88,27 +89,6 @@ def learn_bins(encoded: DataFrame, n_numeric: int, levels: Sequence[int], cuts:
     return Bins(tuple(found), tuple(levels))
 
 
-def walk(x: np.ndarray, column: np.ndarray, value: np.ndarray, depth: int, n_numeric: int, row: np.ndarray | None = None) -> np.ndarray:
-    """Node of its level, counted from 0, that each row (or those numbered `row`) reaches after `depth` steps; x holds a line for each column."""
-    rows = x.shape[1]
-    row = np.arange(rows) if row is None else row
-    at = np.zeros(len(row), np.int64)
-    if not depth:
-        return at
-    value = value.astype(np.int64)
-    flat, begin = x.ravel(), column.astype(np.int64) * rows
-    # right if low < seen <= high: numbers above the cut, or the one level
-    low, high = np.where(column >= n_numeric, value - 1, value), np.where(column >= n_numeric, value, np.iinfo(np.int64).max)
-    for level in range(depth):
-        here = slice(2**level - 1, 2**(level + 1) - 1)
-        seen = flat.take(row + begin[here].take(at))
-        right = seen > low[here].take(at)
-        if (column[here] >= n_numeric).any():
-            right &= seen <= high[here].take(at)
-        at = 2 * at + right
-    return at
-
-
 @dataclass
 class Block:
     """Up to BLOCK rows, those of a part next to each other: labels, parts, a line of bins for each column and one of margins for each model."""
@@ -118,11 +98,6 @@ class Block:
     x: np.ndarray
     margins: np.ndarray
 
-    def spans(self, held: int) -> list[slice]:
-        """The rows that a model without the part `held` learns from."""
-        first, low, high = (int(np.searchsorted(self.part, v, side)) for v, side in ((TEST, "right"), (held, "left"), (held, "right")))
-        return [slice(a, b) for a, b in ((first, max(first, low)), (max(first, high), len(self.part))) if a < b]
-
     def packed(self) -> tuple[int, bytes, bytes, bytes, bytes]:
         return len(self.y), *(v.tobytes() for v in (self.y, self.part, self.x, self.margins))
 
@@ -161,12 +136,12 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(kept)
 
 
-def bin_rows(encoded: DataFrame, bins: Bins, bases: Sequence[float], part: str = "part") -> DataFrame:
-    """Blocks of rows: label, part, binned values and the starting margin of every model."""
+def bin_rows(encoded: DataFrame, bins: Bins, part: str = "part", extra: dict[str, Callable[[Block], bytes]] | None = None) -> DataFrame:
+    """Blocks of rows: label, part, binned values, no margins yet, and what `extra` functions of the block return."""
     n, k = len(bins.cuts), len(bins.levels)
     kept = [F.col(LABEL).cast("int").alias("y"), F.col(part).cast("int").alias("part")]
     values = [F.col(f"z_n{i}") for i in range(n)] + [F.col(f"i_k{j}") for j in range(k)]
-    cuts, start, kind = bins.cuts, np.array(bases, np.float64), _bin_type(bins.starts)
+    cuts, kind, extra = bins.cuts, _bin_type(bins.starts), extra or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, BLOCK):
@@ -175,9 +150,13 @@ def bin_rows(encoded: DataFrame, bins: Bins, bases: Sequence[float], part: str =
             x = np.empty((n + k, len(y)), kind)
             for c, v in enumerate(seen):
                 x[c] = (np.searchsorted(cuts[c], v, side="left") if c < n else v)[order]
-            yield Block(y[order].astype(np.uint8), held[order].astype(np.int32), x, np.tile(start[:, None], len(y))).record()
+            block = Block(y[order].astype(np.uint8), held[order].astype(np.int32), x, np.zeros((0, len(y))))
+            record = block.record()
+            for name, make in extra.items():
+                record = record.append_column(name, pa.array([make(block)], pa.binary()))
+            yield record
 
-    return encoded.select(*kept, *values).mapInArrow(run, BLOCKS)
+    return encoded.select(*kept, *values).mapInArrow(run, ", ".join([BLOCKS, *[f"{name} binary" for name in extra]]))
 
 
 Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -189,67 +168,38 @@ def added(a: Sums, b: Sums) -> Sums:
     return key, *(np.bincount(at, np.concatenate(pair), len(key)) for pair in zip(a[1:], b[1:]))
 
 
-@dataclass(frozen=True)
-class _Task:
-    """What a task has to know: the trees since the margins were written, and the tree that grows."""
-
-    laws: tuple[Boosting, ...]
-    held: tuple[int, ...]
-    done: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # per model: column, value, leaf
-    starts: np.ndarray
-    n_numeric: int
-
-    def read(self, rows: Iterator[Sequence]) -> Iterator[Block]:
-        for block in unpacked(rows, self.starts):
-            block.margins = block.margins.copy()
-            for m, trees in enumerate(self.done):
-                for column, value, leaf in trees:
-                    block.margins[m] += leaf.take(walk(block.x, column, value, self.laws[m].depth, self.n_numeric))
-            yield block
-
-    def histograms(self, growing: list[tuple[np.ndarray, np.ndarray] | None], level: int):
-        """Function of packed blocks: for each model the filled bins of a task and their sums."""
-        nodes, size, starts = 2**level, int(self.starts[-1]), self.starts
-
-        def run(rows: Iterator[Sequence]) -> Iterator[tuple[int, Sums]]:
-            sums = {m: np.zeros((3, nodes, size)) for m, tree in enumerate(growing) if tree is not None}
-            for block in self.read(rows):
-                for m, total in sums.items():
-                    for span in block.spans(self.held[m]):
-                        x = np.ascontiguousarray(block.x[:, span])
-                        at = walk(x, *growing[m], level, self.n_numeric)
-                        p = 1 / (1 + np.exp(-block.margins[m, span]))
-                        weights = p - block.y[span], p * (1 - p), None
-                        for c in range(len(x)):
-                            width = int(starts[c + 1] - starts[c])
-                            key = at * width + x[c]
-                            for k, weight in enumerate(weights):
-                                total[k, :, starts[c]:starts[c + 1]] += np.bincount(key, weight, nodes * width).reshape(nodes, width)
-            for m, total in sums.items():
-                g, h, n = total.reshape(3, -1)
-                filled = np.flatnonzero(n)
-                yield m, (filled, g[filled], h[filled], n[filled])
-
-        return run
-
-    def advance(self):
-        def run(rows: Iterator[Sequence]) -> Iterator[tuple]:
-            for block in self.read(rows):
-                yield block.packed()
-
-        return run
-
-    def margins(self):
-        """The rows one by one again."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches, self.starts):
-                ends = pa.array(np.arange(len(block.y) + 1, dtype=np.int32) * len(block.margins))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.y.astype(np.int32)), pa.array(block.part), pa.ListArray.from_arrays(ends, pa.array(block.margins.T.ravel()))],
-                    names=["y", "part", "margins"],
-                )
-
-        return run
+def _row_by_row(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Labels, parts and margins of the rows of blocks."""
+    for block in blocks(batches, starts):
+        ends = pa.array(np.arange(len(block.y) + 1, dtype=np.int32) * len(block.margins))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block.y.astype(np.int32)), pa.array(block.part), pa.ListArray.from_arrays(ends, pa.array(block.margins.T.ravel()))],
+            names=["y", "part", "margins"],
+        )
+
+
+def smaller_children(histograms: np.ndarray, column: np.ndarray, value: np.ndarray, gain: np.ndarray, starts: np.ndarray, numeric: int) -> np.ndarray:
+    """For each node of a level: 0 or 1 for the child with fewer rows, -1 where the node is not split. `histograms`: nodes, bins, sums."""
+    out = np.full(len(histograms), -1)
+    for node in np.flatnonzero(gain > 0):
+        c, v = column[node], value[node]
+        n = histograms[node, starts[c]:starts[c + 1], 2]
+        right = n[v + 1:].sum() if c < numeric else n[v]
+        out[node] = int(2 * right < n.sum())
+    return out
+
+
+def children(histograms: np.ndarray, counted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Histograms of the next level from those of a level and the `counted` ones of smaller children, in their order.
+
+    The larger child holds what is left; a node without a split sends all to its left child.
+    """
+    out = np.zeros((2 * len(histograms), *histograms.shape[1:]))
+    out[::2] = histograms
+    split = np.flatnonzero(smaller >= 0)
+    out[2 * split + 1 - smaller[split]] = histograms[split] - counted
+    out[2 * split + smaller[split]] = counted
+    return out
 
 
 def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray, bins: Bins, law: Boosting) -> list[tuple]:
@@ -310,53 +260,70 @@ def grow(
     rows = sum(r["count"] for r in counted)
     work, context = rows * len(grown), spark.sparkContext
     tasks = max(1, min(work // LEAST_WORK, max(context.defaultParallelism, work // WORK_A_TASK)))
-    binned = bin_rows(encoded.coalesce(tasks), bins, [m.base for m in grown], part)
-    table = iterative_session(spark, 1, blobs=True).read.schema(binned.schema).parquet(written(binned, "boosting"))
+    binned = bin_rows(encoded.coalesce(tasks), bins, part)
+    table = iterative_session(spark, tasks, blobs=True).read.schema(binned.schema).parquet(written(binned, "boosting"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
-    current = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
-    size, since = int(bins.starts[-1]), 0
-
-    def task(upto: int) -> _Task:
-        done = [list(zip(m.column, m.value, m.leaf))[since:upto] for m in grown]
-        return _Task(tuple(m.law for m in grown), tuple(m.held for m in grown), done, bins.starts, len(bins.cuts))
+    jvm = kernels.load(spark)
+    ints, starts, numeric = kernels.ints, bins.starts, len(bins.cuts)
+    trees = jvm.trees(numeric, ints([m.held for m in grown]), ints([m.law.depth for m in grown]), ints(starts), kernels.doubles([m.base for m in grown]))
+    level_of = getattr(context._jvm.org.apache.spark.api.java.StorageLevels, STORED)
+    current = jvm.blocks(kernels.rows_of(table), trees).persist(level_of)
+    size, few = int(starts[-1]), current.getNumPartitions() <= FEW_TASKS
+
+    def advanced(tree: int):
+        """Blocks that did not fit in memory forget what they learn in a job, so they are written anew now and then."""
+        after = jvm.advanced(current, trees, tree).persist(level_of)
+        if tree % (every * CHECKPOINTED_EVERY) == 0:
+            after.checkpoint()
+        after.count()  # before what it is made from is given up
+        current.unpersist()
+        return after
 
     for r in range(max(m.law.rounds for m in grown)):
-        if r and r % every == 0:
-            before, current = current, current.mapPartitions(task(r).advance()).persist(StorageLevel.MEMORY_AND_DISK)
-            if r % (every * CHECKPOINTED_EVERY) == 0:
-                current.checkpoint()
-            current.count()  # before what it is made from is given up
-            before.unpersist()
-            since = r
-        going = [m for m in grown if r < m.law.rounds]
-        for m in going:
+        if r and r % every == 0 and kernels.on_disk(spark, current):
+            current = advanced(r)
+        going = [k for k, m in enumerate(grown) if r < m.law.rounds]
+        for m in (grown[k] for k in going):
             inner = 2**m.law.depth - 1
             for kept, fill, kind in ((m.column, 0, np.int64), (m.value, 0, np.int64), (m.gain, 0, float), (m.rows, 0, float)):
                 kept.append(np.full(inner, fill, kind))
             m.leaf.append(np.zeros(inner + 1))
-        for level in range(max(m.law.depth for m in going)):
+        held: dict[int, np.ndarray] = {}  # histograms of the level, of each model
+        for level in range(max(grown[k].law.depth for k in going)):
             nodes = 2**level
-            growing = [(m.column[r], m.value[r]) if r < m.law.rounds and level < m.law.depth else None for m in grown]
-            parts = current.mapPartitions(task(r).histograms(growing, level))
-            if current.getNumPartitions() > FEW_TASKS:
-                parts = parts.reduceByKey(added, len(going))
-            held = np.zeros((3, len(grown), nodes * size))
-            for k, (key, *sums) in parts.collect():
-                for total, v in zip(held, sums):
-                    total[k, key] += v
-            held = held.reshape(3, len(grown), nodes, size)
-            for k, m in enumerate(grown):
-                if growing[k] is None:
-                    continue
-                for i, (column, value, gain, left, right, n) in enumerate(best_splits(*held[:, k], bins, m.law)):
+            here, above = slice(nodes - 1, 2 * nodes - 1), slice(nodes // 2 - 1, nodes - 1)
+            growing = [k for k in going if level < grown[k].law.depth]
+            slot, smaller = np.full((len(grown), nodes), -1), {}
+            for k in growing:
+                m = grown[k]
+                trees.grow(k, r, ints(m.column[r]), ints(m.value[r]))
+                if level:
+                    smaller[k] = smaller_children(held[k], m.column[r][above], m.value[r][above], m.gain[r][above], starts, numeric)
+                    split = np.flatnonzero(smaller[k] >= 0)
+                    slot[k, 2 * split + smaller[k][split]] = np.arange(len(split))
+                else:
+                    slot[k, 0] = 0
+            slots = (slot >= 0).sum(axis=1)
+            counted = np.zeros((slots.sum(), size, 3))
+            if slots.any():
+                found = jvm.histograms(current, trees, r, level, ints(slot), ints(slots), few)
+                if len(found):  # nothing of a table without rows
+                    counted = np.frombuffer(found).reshape(counted.shape)
+            ends = np.cumsum(slots)
+            for k in growing:
+                m, mine = grown[k], counted[ends[k] - slots[k]:ends[k]]
+                held[k] = children(held[k], mine, smaller[k]) if level else mine
+                for i, (column, value, gain, left, right, n) in enumerate(best_splits(*np.ascontiguousarray(held[k].transpose(2, 0, 1)), bins, m.law)):
                     node = nodes - 1 + i
                     m.column[r][node], m.value[r][node], m.gain[r][node], m.rows[r][node] = column, value, gain, n
                     if level == m.law.depth - 1:
                         m.leaf[r][2 * i:2 * i + 2] = step(*left, m.law), step(*right, m.law)
-    final = task(max(m.law.rounds for m in grown))
-    finished = spark.createDataFrame(current.mapPartitions(final.advance()), BLOCKS, verifySchema=False)
-    margins = finished.mapInArrow(final.margins(), "y int, part int, margins array<double>")
+                if level == m.law.depth - 1:
+                    trees.grow(k, r, ints(m.column[r]), ints(m.value[r]))
+                    trees.finish(k, kernels.doubles(m.leaf[r]))
+    finished = kernels.frame(spark, jvm.rows(current, trees, max(m.law.rounds for m in grown)), BLOCKS)
+    margins = finished.mapInArrow(lambda batches: _row_by_row(batches, starts), "y int, part int, margins array<double>")
     path = written(margins, "boosting")
     current.unpersist()
     return grown, spark.read.schema(margins.schema).parquet(path)

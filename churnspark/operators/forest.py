@@ -1,10 +1,10 @@
 """Random forests of several folds, grown level by level in the same jobs.
 
-All trees of all folds share the table of binned blocks of the boosters. A level of all trees is a
-job, or a few where its histograms are wide: a task walks its rows down the trees so far and counts rows by
+All trees of all folds share the table of binned blocks of the boosters. A level of a group of trees is a
+job, or a few where its histograms are wide: a task (Kernels.java) takes its rows one level down and counts them by
 class in histograms (tree, node, drawn slot, bin); the counts of a tree are added up and its splits picked where
 they meet, so the driver sees splits, never histograms or rows. Rows of a tree are drawn anew from the
-content of their block each time, so nothing is kept for each row and tree.
+content of their block each time; the nodes of a group are remembered in the blocks, and found again from the roots where a block was lost.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnspark.functions.label import LABEL
-from churnspark.operators.boost import TEST, Bins, bin_rows, blocks, walk
+from churnspark.operators import kernels
+from churnspark.operators.boost import STORED, TEST, Bins, bin_rows
 from churnspark.operators.split import SEED
 from churnspark.session import iterative_session, shared_folder, written
 
 #: Cuts of a numeric column at most, rows of a task at least and once every core has one, bytes of a task's histograms.
-CUTS, LEAST_ROWS, ROWS_A_TASK, HISTOGRAM_BYTES = 31, 10_000, 400_000, 128 << 20
+CUTS, LEAST_ROWS, ROWS_A_TASK, HISTOGRAM_BYTES = 31, 10_000, 1_600_000, 64 << 20
+REMEMBERED_BYTES = 96 << 20  # nodes of a group of trees that the blocks of a task remember, two bytes a row and tree
 NOWHERE = np.iinfo(np.int32).max  # a value that no bin exceeds
 
 #: How often a row is drawn for a tree, by a number below 65,536: Poisson of mean one.
@@ -57,6 +59,19 @@ class Grown:
     counts: np.ndarray = field(repr=False)  # tree, node, class: drawn rows
     live: np.ndarray = field(repr=False)  # tree, node: rows come here and may be split
 
+    def take(self, tree: int, level: int, found: np.ndarray) -> None:
+        """The splits of the live nodes of a level."""
+        nodes = np.flatnonzero(self.live[tree, 2**level - 1:2**(level + 1) - 1]) + 2**level - 1
+        column, value, gain, *sides = found.reshape(len(nodes), -1).T
+        left, total = (np.stack(s, axis=1).astype(np.int64) for s in (sides[:2], sides[2:]))
+        self.counts[tree, nodes] = total
+        cut = gain > 0
+        at = nodes[cut]
+        self.column[tree, at], self.value[tree, at], self.gain[tree, at] = column[cut], value[cut], gain[cut]
+        for child, rows_there in ((2 * at + 1, left[cut]), (2 * at + 2, (total - left)[cut])):
+            self.counts[tree, child] = rows_there
+            self.live[tree, child] = (rows_there.min(axis=1) > 0) & (rows_there.sum(axis=1) >= 2 * self.law.least)
+
     def prune(self, nothing: int) -> None:
         """Two leaves that predict the same become one, as Spark's forests have it, from the bottom up."""
         total = self.counts * self.weights
@@ -123,12 +138,9 @@ def best_splits(counts: np.ndarray, weights: np.ndarray, least: int) -> tuple[np
 
 @dataclass(frozen=True)
 class _Level:
-    """What a task has to know: the trees (number, model) whose level is counted, and the models."""
+    """What a task has to know: the trees (number, model) whose level is split."""
 
     trees: list[tuple[int, int]]
-    held: list[int]
-    columns: list[np.ndarray]  # of the trees so far
-    values: list[np.ndarray]
     live: list[np.ndarray]  # nodes of the level
     level: int
     starts: np.ndarray
@@ -139,41 +151,23 @@ class _Level:
     def bins(self) -> int:
         return int(max(2, *np.diff(self.starts)[:self.n_numeric], 2)) if self.n_numeric else 2
 
-    def slots(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Column and level (or -1) of the drawn slots of the live nodes: drawn slot, node."""
+    def every_slot(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Column and level (or -1) of the drawn slots of all nodes: node, drawn slot."""
         column = np.concatenate((np.arange(self.n_numeric), np.repeat(np.arange(len(self.levels)) + self.n_numeric, self.levels)))
         level = np.concatenate((np.full(self.n_numeric, -1), *[np.arange(n) for n in self.levels])).astype(np.int64)
-        chosen = drawn_slots(self.trees[k][0], self.level, len(column))[self.live[k]].T
+        chosen = drawn_slots(self.trees[k][0], self.level, len(column))
         return column[chosen], level[chosen]
 
-    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = self.bins
-        slots = [self.slots(k) for k in range(len(self.trees))]
-        place = []
-        for nodes in self.live:
-            place.append(np.full(2**self.level, -1))
-            place[-1][nodes] = np.arange(len(nodes))
-        sums = [np.zeros((len(c), len(nodes) * bins * 2)) for (c, _), nodes in zip(slots, self.live)]
-        for block in blocks(batches, self.starts):
-            mark, rows, flat = zlib.crc32(block.x), block.x.shape[1], block.x.ravel()
-            mine = {m: np.concatenate([np.zeros(0, np.int64), *[np.arange(s.start, s.stop) for s in block.spans(self.held[m])]]) for m in {m for _, m in self.trees}}
-            for k, (tree, m) in enumerate(self.trees):
-                times = drawn(mark, tree, rows)[mine[m]]
-                row = mine[m][times > 0]
-                at = place[k].take(walk(block.x, self.columns[k], self.values[k], self.level, self.n_numeric, row))
-                if (at < 0).any():
-                    row, at, times = row[at >= 0], at[at >= 0], times[times > 0][at >= 0]
-                else:
-                    times = times[times > 0]
-                key, weight = at * (2 * bins) + block.y.take(row), times.astype(np.float64)
-                column, level = slots[k]
-                for j, total in enumerate(sums[k]):
-                    seen, wanted = flat.take(row + (column[j] * rows).take(at)), level[j].take(at)
-                    here = np.where(wanted < 0, seen, seen == wanted)
-                    total += np.bincount(key + 2 * here.astype(np.int64), weight, len(total))
-        for (tree, m), total in zip(self.trees, sums):
-            packed = total.astype(np.min_scalar_type(int(total.max(initial=0))))
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (tree, m, packed.dtype.itemsize, packed.tobytes())], names=["tree", "model", "size", "counts"])
+    def slots(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the live nodes: drawn slot, node."""
+        column, level = self.every_slot(k)
+        return column[self.live[k]].T, level[self.live[k]].T
+
+    def numbers(self, k: int) -> np.ndarray:
+        """Of each node its number among the live ones, or -1."""
+        out = np.full(2**self.level, -1)
+        out[self.live[k]] = np.arange(len(self.live[k]))
+        return out
 
     def split(self, laws: list[Forest], weights: list[np.ndarray]):
         """Function of Arrow batches: the splits of a tree's nodes, of the counts of all tasks."""
@@ -200,6 +194,11 @@ def drawn(mark: int, tree: int, rows: int) -> np.ndarray:
     return DRAWN.take(np.random.Generator(np.random.SFC64([SEED, mark, tree])).integers(0, 65536, rows, np.uint16))
 
 
+def seeds(mark: int, trees: int) -> bytes:
+    """States of the generators from which the rows of a block are drawn, tree by tree."""
+    return np.array([np.random.SFC64([SEED, mark, tree]).state["state"]["state"] for tree in range(trees)], "<u8").tobytes()
+
+
 def grow(
     encoded: DataFrame, bins: Bins, models: Sequence[tuple[Forest, int]], part: str = "part", weighted: bool = True,
 ) -> tuple[list[Grown], DataFrame]:
@@ -222,41 +221,46 @@ def grow(
     rows = sum(r["count"] for r in counted)
     tasks = max(1, min(rows // LEAST_ROWS, max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK)))
     session = iterative_session(spark, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), blobs=True)
-    binned = bin_rows(encoded.repartition(tasks), bins, [], part)
+    trees = max(law.trees for law, _ in models)
+    binned = bin_rows(encoded.repartition(tasks), bins, part, {"seeds": lambda block: seeds(zlib.crc32(block.x), trees)})
     table = session.read.schema(binned.schema).parquet(written(binned, "forest"))
     slots = len(bins.cuts) + sum(bins.levels)
-    for level in range(max(law.depth for law, _ in models)):
-        here = slice(2**level - 1, 2**(level + 1) - 1)
-        going = [(t, m) for m, g in enumerate(grown) if level < g.law.depth for t in range(g.law.trees) if g.live[t, here].any()]
-        width = 2 * 8 * int(np.ceil(np.sqrt(slots))) * max([2, *[len(c) + 1 for c in bins.cuts]])
-        groups, room = [], 0
-        for t, m in going:  # so that the histograms of a job fit in a task
-            need = width * int(grown[m].live[t, here].sum())
-            if not groups or room < need:
-                groups.append([])
-                room = HISTOGRAM_BYTES
-            groups[-1].append((t, m))
-            room -= need
-        for trees in groups:
-            job = _Level(
-                trees, [g.held for g in grown], [grown[m].column[t, :2**level - 1] for t, m in trees], [grown[m].value[t, :2**level - 1] for t, m in trees],
-                [np.flatnonzero(grown[m].live[t, here]) for t, m in trees], level, bins.starts, len(bins.cuts), bins.levels,
-            )
-            counts = table.mapInArrow(job.count, "tree long, model long, size long, counts binary")
-            splits = counts.repartition("tree", "model").mapInArrow(
-                job.split([g.law for g in grown], [g.weights for g in grown]), "tree long, model long, found binary")
-            for tree, m, found in _rows(splits):
-                g = grown[m]
-                nodes = np.flatnonzero(g.live[tree, here]) + 2**level - 1
-                column, value, gain, *sides = np.frombuffer(found).reshape(len(nodes), -1).T
-                left, total = (np.stack(s, axis=1).astype(np.int64) for s in (sides[:2], sides[2:]))
-                g.counts[tree, nodes] = total
-                cut = gain > 0
-                at = nodes[cut]
-                g.column[tree, at], g.value[tree, at], g.gain[tree, at] = column[cut], value[cut], gain[cut]
-                for child, rows_there in ((2 * at + 1, left[cut]), (2 * at + 2, (total - left)[cut])):
-                    g.counts[tree, child] = rows_there
-                    g.live[tree, child] = (rows_there.min(axis=1) > 0) & (rows_there.sum(axis=1) >= 2 * g.law.least)
+    jvm = kernels.load(spark)
+    ints, numeric, drawn_a_node = kernels.ints, len(bins.cuts), int(np.ceil(np.sqrt(slots)))
+    current = jvm.drawn(kernels.rows_of(table), len(bins.starts) - 1).persist(getattr(spark.sparkContext._jvm.org.apache.spark.api.java.StorageLevels, STORED))
+    # trees next to each other share what is drawn; a group's nodes are remembered in the blocks while its levels grow
+    every = [(t, m) for t in range(trees) for m, g in enumerate(grown) if t < g.law.trees]
+    together = max(1, REMEMBERED_BYTES // (2 * max(1, rows // tasks)))
+    for first in range(0, len(every), together):
+        group = every[first:first + together]
+        splits = jvm.splits(first, ints([t for t, _ in group]), ints([m for _, m in group]), ints([g.held for g in grown]), max(2**grown[m].law.depth - 1 for _, m in group))
+        for level in range(max(grown[m].law.depth for _, m in group)):
+            here = slice(2**level - 1, 2**(level + 1) - 1)
+            going = [(p, t, m) for p, (t, m) in enumerate(group) if level < grown[m].law.depth and grown[m].live[t, here].any()]
+            width = 2 * 4 * drawn_a_node * max([2, *[len(c) + 1 for c in bins.cuts]])
+            jobs, room = [], 0
+            for p, t, m in going:  # so that the histograms of a job fit in a task
+                need = width * int(grown[m].live[t, here].sum())
+                if not jobs or room < need:
+                    jobs.append([])
+                    room = HISTOGRAM_BYTES
+                jobs[-1].append((p, t, m))
+                room -= need
+            for wanted in jobs:
+                job = _Level(
+                    [(t, m) for _, t, m in wanted], [np.flatnonzero(grown[m].live[t, here]) for _, t, m in wanted], level, bins.starts, numeric, bins.levels)
+                column, only = (np.stack(v) for v in zip(*[job.every_slot(k) for k in range(len(wanted))]))
+                rows_there = jvm.counts(
+                    current, splits, level, job.bins, drawn_a_node, numeric, ints([p for p, _, _ in wanted]),
+                    ints([job.numbers(k) for k in range(len(wanted))]), ints(column), ints(only), DRAWN.tobytes())
+                counts = kernels.frame(session, rows_there, "tree long, model long, size long, counts binary")
+                found = counts.repartition("tree", "model").mapInArrow(
+                    job.split([g.law for g in grown], [g.weights for g in grown]), "tree long, model long, found binary")
+                for tree, m, packed in _rows(found):
+                    grown[m].take(tree, level, np.frombuffer(packed))
+            known = [(g.column[t, here], g.value[t, here]) if level < g.law.depth else (np.zeros(2**level),) * 2 for t, g in ((t, grown[m]) for t, m in group)]
+            splits.put(level, *(ints(v) for v in zip(*known)))
+    current.unpersist()
     for g in grown:
         g.prune(NOWHERE if bins.cuts else -1)
     return grown, table
@@ -269,20 +273,11 @@ def _rows(splits: DataFrame):
 
 def held_scores(table: DataFrame, grown: Sequence[Grown], bins: Bins, schema: str = "part int, y int, model int, x_score double") -> DataFrame:
     """Score of every row by each model that it is held from: the mean share of class 1 over the trees."""
-    shares = [g.shares() for g in grown]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, bins.starts):
-            for m, g in enumerate(grown):
-                row = np.flatnonzero(block.part == g.held)
-                score = np.zeros(len(row))
-                for t in range(g.law.trees):
-                    score += shares[m][t].take(walk(block.x, g.column[t], g.value[t], g.law.depth, len(bins.cuts), row))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(block.part[row]), pa.array(block.y[row].astype(np.int32)), pa.array(np.full(len(row), m, np.int32)), pa.array(score / g.law.trees),
-                ], names=["part", "y", "model", "x_score"])
-
-    return table.mapInArrow(run, schema)
+    spark, jvm, ints = table.sparkSession, kernels.load(table.sparkSession), kernels.ints
+    job = jvm.scores(len(bins.starts) - 1, len(bins.cuts), len(grown))
+    for m, g in enumerate(grown):
+        jvm.add(job, m, g.held, g.law.trees, ints(g.column), ints(g.value), kernels.doubles(g.shares()))
+    return kernels.frame(spark, jvm.scored(kernels.rows_of(table), job), schema)
 
 
 def to_spark(spark: SparkSession, model: Grown, bins: Bins) -> RandomForestClassificationModel:

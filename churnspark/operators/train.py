@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import partial
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +28,8 @@ from churnspark.session import shared_folder, stage
 log = logging.getLogger(__name__)
 
 WEIGHT = "x_weight"
+#: Training rows a core from which on folds are fitted one at a time.
+BUSY_ROWS = 250_000
 CV_METRICS = ["roc_auc", "pr_auc", "f1"]
 HOLDOUT_METRICS = [
     "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc",
@@ -150,8 +153,10 @@ def _fit_and_evaluate(
     All candidates' predictions are evaluated in one grouped job.
     """
     sizes = class_sizes(train)
-    encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features").persist()
-    held = encoder.transform(test).select(LABEL, "x_features").persist()
+    encoded = weighted(encoder.transform(train), sizes).select(LABEL, WEIGHT, "x_features")
+    held = encoder.transform(test).select(LABEL, "x_features")
+    if len(candidates) > 1:  # one alone keeps what it needs by itself
+        encoded, held = encoded.persist(), held.persist()
 
     def one(candidate: Candidate):
         estimator = candidate.estimator(sum(sizes))
@@ -237,13 +242,38 @@ def _measure(
     The boosters are one run, a forest is one; the other candidates are fitted fold by fold, `parallelism` folds at a time, beside them.
     """
     k = fold_count(class_sizes(train), folds)
-    marked = mark_folds(train, "x_id" if prof.id_column else None, k)
-    filled = sorted(r["fold"] for r in marked.groupBy("fold").count().collect())  # at most k rows
+    marked = mark_folds(train, "x_id" if prof.id_column else None, k).drop("x_id").persist(StorageLevel.DISK_ONLY)
+    if test is not None:
+        test = test.drop("x_id").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _measured(marked, test, prof, candidates, k, parallelism, max_levels)
+    finally:
+        for rows in (marked, test):
+            if rows is not None:
+                rows.unpersist()
+
+
+def _measured(
+    marked: DataFrame, test: DataFrame | None, prof: TableProfile, candidates: Sequence[Candidate], k: int, parallelism: int, max_levels: int,
+) -> tuple[dict[str, dict], dict[str, dict]]:
+    """`_measure` of training rows marked with their fold."""
+    train = marked.drop("fold")
+    sizes = {r["fold"]: r["count"] for r in marked.groupBy("fold").count().collect()}  # at most k rows
+    filled = sorted(sizes)
     boosted, forests = [c for c in candidates if c.boosting], [c for c in candidates if c.forest]
     others = [c for c in candidates if not c.boosting and not c.forest]
     got: dict[tuple[str, int], dict] = {}
     # one for all that learn features from every fold, and before the pool, so that the boosters start at once
     whole = features.fit(train, prof, max_levels) if boosted or forests or test is not None else None
+    known: dict[int, features.Statistics] = {}
+    first = Lock()
+
+    def without(part: int) -> features.Statistics:
+        """Those of all folds are learned together, by whoever needs one first."""
+        with first:
+            if not known:
+                known.update(features.learn_without_each(marked, "fold", {f: sizes[f] for f in filled}, len(prof.numeric), len(prof.categorical), max_levels))
+        return known[part]
 
     def together(grown: Callable, what: Sequence[Candidate] | Candidate) -> None:
         rows = marked.withColumnRenamed("fold", "part")
@@ -256,13 +286,18 @@ def _measure(
             found = _fit_and_evaluate(train, test, whole, others, parallelism)
         else:
             inside, outside = marked.where(F.col("fold") == part), marked.where(F.col("fold") != part)
-            found = _fit_and_evaluate(outside, inside, features.fit(outside, prof, max_levels), others, parallelism)
+            found = _fit_and_evaluate(outside, inside, features.fit(outside, prof, max_levels, without(part)), others, parallelism)
         got.update({(name, part): row for name, row in found.items()})
 
     jobs = ([partial(together, _boosted, boosted)] if boosted else []) + [partial(together, _forests, c) for c in forests]
     if others:
         jobs += [partial(apart, part) for part in ([boost.TEST] if test is not None else []) + filled]
-    with ThreadPool(max(1, min(parallelism + bool(boosted) + len(forests), len(jobs)))) as pool:
+    if sum(sizes.values()) > BUSY_ROWS * marked.sparkSession.sparkContext.defaultParallelism:
+        parallelism = 1  # every job has work for all cores, and the rows that fits keep in memory are many
+        jobs = jobs[:bool(boosted)] + jobs[bool(boosted) + len(forests):] + jobs[bool(boosted):bool(boosted) + len(forests)]
+    else:
+        parallelism += len(forests)
+    with ThreadPool(max(1, min(parallelism + bool(boosted), len(jobs)))) as pool:
         # one at a time from the list: the boosters first, as they take longest
         pool.map(inheritable_thread_target(train.sparkSession)(lambda job: job()), jobs, chunksize=1)
 
